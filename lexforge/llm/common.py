@@ -12,6 +12,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: One word, as a Java or RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +21,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_NO_LETTER = np.ones(256, dtype=bool)
+_NO_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -45,6 +48,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(schema: T.StructType, ddl: str) -> T.StructType:
+    """A copy of schema with the fields of ddl behind it."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values."""
     h = h ^ (h >> np.uint64(30))
@@ -73,17 +81,17 @@ def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base
     return mix((total[ends] - total[starts]) * down[starts])
 
 
-def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words of a text."""
+def word_spans(raw: bytes, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words of a text; of its runs of letters and digits if asked."""
     space = np.ones(len(raw) + 2, dtype=bool)
-    space[1:-1] = _IS_SPACE[np.frombuffer(raw, dtype=np.uint8)]
+    space[1:-1] = (_NO_LETTER if letters else _IS_SPACE)[np.frombuffer(raw, dtype=np.uint8)]
     edge = np.flatnonzero(space[1:] != space[:-1])
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(raw: bytes, lower: bool = False) -> np.ndarray:
+def word_hashes(raw: bytes, lower: bool = False, letters: bool = False) -> np.ndarray:
     """A 64-bit hash for each word of a text, with A-Z lower-cased if asked."""
-    starts, ends = word_spans(raw)
+    starts, ends = word_spans(raw, letters)
     data = np.frombuffer(raw, dtype=np.uint8)
     if lower:
         data = _LOWER[data]

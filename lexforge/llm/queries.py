@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sharding, url_filter
+from .byte_bpe import bpe_decode, bpe_encode, load_ranks
+from .html_extract import html_extract
+from .media import pack_media, read_media
+from .mixing import mix_plan, word_count
 from .ngram_jaccard import ngram_jaccard_join
+from .common import staged
 from .substring_dedup import substring_dedup
 
 
@@ -74,5 +80,102 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(c, w.doc_id), w.do
 FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id USING (doc_id)
 """
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard}
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op8_ngram_jaccard": OP8_SQL}
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    sizes = staged(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
+    return mix_plan(sizes, size_col="size").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.url_filter(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op3_sql() -> str:
+    def hit(term: str) -> str:
+        return f"CAST(regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}]){term}($|[^\\p{{L}}\\p{{N}}])') AS INT)".replace("\\\\", "\\")
+
+    fit = [(h, p, v) for h, p, v in sorted(url_filter.RULES, key=lambda r: -len(r[0]) - len(r[1]))]
+    test = "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}'))"
+    rule = " ".join(f"WHEN {test.format(h, p)} THEN '{h}{p}'" for h, p, _ in fit)
+    verdict = " ".join(f"WHEN {test.format(h, p)} THEN '{v}'" for h, p, v in fit)
+    strict, soft = (" + ".join(map(hit, x)) for x in (url_filter.STRICT, url_filter.SOFT))
+    return f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut
+), hits AS (
+  SELECT *, {strict} AS n_strict, {soft} AS n_soft FROM (SELECT *, lower(host || path) AS u FROM parts)
+)
+SELECT page_id, host, path, CASE {rule} END AS rule,
+       CASE {verdict} WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END AS verdict
+FROM hits
+"""
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"))
+
+
+def _op5_sql() -> str:
+    owner = ",".join(map(str, sharding.lookup_table()))
+    names = ",".join(f"'{s}'" for s in sharding.SHARDS)
+    return f"""
+WITH placed AS (
+  SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.SIZE} AS INTEGER) AS slot FROM documents
+)
+SELECT doc_id, slot, [{names}][[{owner}][slot + 1] + 1] AS shard FROM placed
+"""
+
+
+def tokenizer() -> tuple[dict[bytes, int], str]:
+    """Ranks and pattern of the installed public vocabulary."""
+    import public_tokenizers
+
+    return load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = tokenizer()
+    ids = bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    return bpe_decode(ids.select("doc_id", "ids"), ranks).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract(_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    media = read_media(pack_media(docs))
+    return media.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.to_json(F.struct("codec", "duration", "packets", "keyframes")).alias("feature"),
+    )
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_mixing": op2_mixing,
+    "op3_url_filter": op3_url_filter,
+    "op5_sharding": op5_sharding,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_html_extract": op7_html_extract,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_media": op9_media,
+}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op3_url_filter": _op3_sql(), "op5_sharding": _op5_sql(), "op8_ngram_jaccard": OP8_SQL}
