@@ -89,9 +89,11 @@ def word_spans(raw: bytes, letters: bool = False) -> tuple[np.ndarray, np.ndarra
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(raw: bytes, lower: bool = False, letters: bool = False) -> np.ndarray:
-    """A 64-bit hash for each word of a text, with A-Z lower-cased if asked."""
+def word_hashes(raw: bytes, lower: bool = False, letters: bool = False, prefix: int | None = None) -> np.ndarray:
+    """A 64-bit hash for each word of a text (of its first `prefix` bytes), with A-Z lower-cased if asked."""
     starts, ends = word_spans(raw, letters)
+    if prefix:
+        ends = np.minimum(ends, starts + prefix)
     data = np.frombuffer(raw, dtype=np.uint8)
     if lower:
         data = _LOWER[data]

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from . import sharding, url_filter
 from .byte_bpe import bpe_decode, bpe_encode, load_ranks
+from .hilbert_search import hilbert_search
 from .html_extract import html_extract
 from .media import pack_media, read_media
 from .mixing import mix_plan, word_count
 from .ngram_jaccard import ngram_jaccard_join
 from .common import staged
 from .substring_dedup import substring_dedup
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,14 +170,25 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
     "op3_url_filter": op3_url_filter,
+    "op4_hilbert_search": op4_hilbert_search,
     "op5_sharding": op5_sharding,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_html_extract": op7_html_extract,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_media": op9_media,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op3_url_filter": _op3_sql(), "op5_sharding": _op5_sql(), "op8_ngram_jaccard": OP8_SQL}
