@@ -113,7 +113,7 @@ def _one_of_copies(texts: list[np.ndarray]) -> list[int]:
 
 
 def train(texts: list[np.ndarray], toxic: np.ndarray, kept: np.ndarray, langs: list[str], seed: int = 5) -> Model:
-    """Fit on the rows not kept, then calibrate thresholds on the kept ones.
+    """Fit on the rows not kept, then calibrate thresholds on the kept ones; empties texts.
 
     Fewer than two classes among the fitted rows give a model that scores all texts alike.
     """
@@ -146,7 +146,11 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, kept: np.ndarray, langs: l
         model.words[i] = np.column_stack([weight(t, n), np.concatenate([np.zeros((1, PART - 1)), rng.normal(0, 0.05, (len(t), PART - 1))])])
         for label, (tt, nn) in enumerate(((t, np.maximum(n - 1, 0)), (np.maximum(t - 1, 0), n))):
             without[label].append(np.column_stack([weight(tt, nn), model.words[i][:, 1:]]))
-    rows = [model.rows(x) for x in texts]
+    # The hashes aren't needed any more; their rows take half the room.
+    rows = []
+    for i in range(len(texts)):
+        rows.append(model.rows(texts[i]).astype(np.int32))
+        texts[i] = None
 
     parameters = [*model.filters, model.bias, model.out]
     model.out[:] = rng.uniform(0.1, 0.3, len(model.out))
@@ -179,9 +183,9 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, kept: np.ndarray, langs: l
             np.maximum(model.out, 0, out=model.out)  # a clean passage doesn't excuse a toxic one
             model.out_bias -= 0.05 * bias_grad / len(batch)
 
-    logits = np.array([model.logit(rows[i]) for i in range(len(texts))])
+    logits = np.array([model.logit(x) for x in rows])
     # Judged rows are kept ones where there are enough; else all, whose words are then known.
-    judge = kept if kept.sum() >= 40 and toxic[kept].sum() >= 5 else np.ones(len(texts), bool)
+    judge = kept if kept.sum() >= 40 and toxic[kept].sum() >= 5 else np.ones(len(rows), bool)
 
     def threshold(which: np.ndarray, prior: float | None) -> float:
         """Of fewest errors, clean texts counting twice; ties nearest the prior or the widest gap."""
@@ -203,7 +207,7 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, kept: np.ndarray, langs: l
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "toxic", most_rows: int = 8000,
+    label_col: str = "toxic", most_rows: int = 5000,
 ) -> DataFrame:
     """Adds held_out, score (0 to 1) and predicted (1 if score >= 0.5) to every row of docs.
 
@@ -236,9 +240,10 @@ def toxicity(
     rows = chosen.mapInArrow(hashed, f"id {dict(labels.dtypes)[id_col]}, toxic int, words binary, lang string").limit(2 * most_rows).toPandas()
     rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
     kept = np.array([zlib.crc32(str(i).encode()) % 5 == 4 for i in rows["id"]], bool)
-    model = None
-    if len(rows):
-        model = train([np.frombuffer(w, np.uint64).reshape(len(PREFIXES), -1) for w in rows["words"]], rows["toxic"].to_numpy(), kept, list(rows["lang"]))
+    toxic, langs = rows["toxic"].to_numpy(), list(rows["lang"])
+    texts = [np.frombuffer(w, np.uint64).reshape(len(PREFIXES), -1) for w in rows["words"]]
+    del rows
+    model = train(texts, toxic, kept, langs) if texts else None
     # Words and filters: bounded by most_rows texts.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
