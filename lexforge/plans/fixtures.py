@@ -5,6 +5,8 @@ Each view may use the test tables and the views before it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("customer", "orders", "lineitem", "events", "documents", "embeddings", "labels", "conversations")
@@ -69,7 +71,7 @@ def with_sql(select: str) -> str:
     while rest:
         text = rest.pop()
         for name, body in VIEWS.items():
-            if name not in need and any(f"{w} {name}{e}" in f"{' '.join(text.split())} " for w in ("FROM", "JOIN") for e in (" ", ")", ",")):
+            if name not in need and re.search(rf"\b(FROM|JOIN) {name}\b", text):
                 need.append(name)
                 rest.append(body)
     ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in need)
@@ -84,10 +86,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     body = VIEWS[name]
-    tables = {t: view(spark, sf_dir, t) for t in TABLES if f" {t}" in body}
+    tables = {t: view(spark, sf_dir, t) for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", body)}
     for t in tables:
-        for word in ("FROM", "JOIN"):
-            body = body.replace(f"{word} {t} ", f"{word} {{{t}}} ").replace(f"{word} {t})", f"{word} {{{t}}})")
-            body = body + " " if body.endswith(f"{word} {t}") else body
-            body = body.replace(f"{word} {t} ", f"{word} {{{t}}} ")
+        body = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", body)
     return spark.sql(body, **tables)
