@@ -13,19 +13,21 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import extended, short_batches
 
 #: White space as the pattern takes it (the Unicode property).
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: Distinct units that a task keeps.
-CACHE = 400_000
+#: Distinct units in each of a worker's two generations of folded units.
+CACHE = 120_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,21 +55,39 @@ def fold(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Units(dict):
-    """Little-endian ids of each unit, folded when first met."""
+    """Little-endian ids of each unit, folded when first met.
+
+    When full it becomes the old generation, from which units in use come back.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks, self.pieces = ranks, regex.compile(pattern).findall
+        self.ranks, self.pieces, self.old = ranks, regex.compile(pattern).findall, {}
 
     def __missing__(self, unit: str) -> bytes:
-        ids = [i for piece in self.pieces(unit) for i in fold(piece.encode(), self.ranks)]
+        out = self.old.get(unit)
+        if out is None:
+            ids = [i for piece in self.pieces(unit) for i in fold(piece.encode(), self.ranks)]
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        self[unit] = out = np.array(ids, "<u4").tobytes()
+        self[unit] = out
         return out
 
 
+#: The last tables used in this worker, by broadcast id; tasks after the first find them filled.
+_kept: dict[int, _Units] = {}
+
+
+def _units(key: int, ranks: dict[bytes, int], pattern: str) -> _Units:
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = _Units(ranks, pattern)
+    return _kept[key]
+
+
 def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds ids_col, the ids of each text as binary, four little-endian bytes an id.
 
@@ -75,11 +95,13 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col:
     called ids_col is replaced; each row gives one.  The rank table has a fixed size (that of
     the vocabulary) and is broadcast.
     """
+    short_batches(docs.sparkSession)
     docs = docs.drop(ids_col)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    number = uuid.uuid4().int
 
     def run(batches):
-        units = _Units(shared.value, pattern)
+        units = _units(number, shared.value, pattern)
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text_col))
             ids = [b"".join(map(units.__getitem__, _UNIT.findall(x.as_py() or ""))) for x in texts]

@@ -36,6 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """At most 512 rows in the session's Arrow batches: whole texts are long rows, and a
+    Python worker holds a batch or two of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 512:
+        spark.conf.set(key, "512")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 

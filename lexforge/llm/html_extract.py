@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import extended
+from .common import extended, short_batches
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -297,6 +297,7 @@ def html_extract(pages: DataFrame, html_col: str = "html", text_col: str = "text
     Null or empty html, or none found: an empty string.  Broken markup is read as far as it
     goes.  A column called text_col is replaced; each row gives one.
     """
+    short_batches(pages.sparkSession)
     pages = pages.drop(text_col)
     w, a = train(training_pages)
 

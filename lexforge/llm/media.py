@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import extended
+from .common import extended, short_batches
 
 PACKET = 192
 RATE = 8000
@@ -128,6 +128,7 @@ def pack_media(docs: DataFrame, text_col: str = "text", media_col: str = "media"
 
     A column of that name is replaced; every row gives one; equal texts give equal bytes.
     """
+    short_batches(docs.sparkSession)
     docs = docs.drop(media_col)
 
     def run(batches):

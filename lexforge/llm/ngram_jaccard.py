@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, mix, ngram_hashes, staged, word_hashes
+from .common import connected_components, mix, ngram_hashes, short_batches, staged, word_hashes
 
 GROUPS = 64
 LEAF = 32
@@ -150,6 +150,7 @@ def ngram_jaccard_join(
     none has an id).  Rows that repeat an id are one node.  Other columns are not read.
     Empty input: empty.
     """
+    short_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("raw"))
 
     def features(batches):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ngram_hashes, word_hashes, word_spans
+from .common import ngram_hashes, short_batches, word_hashes, word_spans
 
 _AUX = ("_sd_text", "_sd_firsts", "_sd_single", "_sd_first_runs")
 
@@ -62,6 +62,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of one document, none earlier than another.  Texts under `length` words stay whole.
     Input columns called n_words, n_removed or repeats are replaced.  Empty input: empty.
     """
+    short_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "repeats", *_AUX)
     kept_columns = docs.columns
     source = docs.withColumn("_sd_text", F.unhex(F.md5(F.col(text_col).cast("binary"))))

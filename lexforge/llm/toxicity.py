@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, mix, word_hashes
+from .common import extended, mix, short_batches, word_hashes
 
 WIDTHS = (1, 2, 3)
 FILTERS = 6
@@ -217,6 +217,7 @@ def toxicity(
     greatest counts; no usable labels give a constant score of 0.  Null and empty texts are
     scored as empty; a null id is not held out.  Columns of the added names are replaced.
     """
+    short_batches(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
     training = docs if training is None else training
 
