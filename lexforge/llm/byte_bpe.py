@@ -27,7 +27,7 @@ from .common import extended, short_batches
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Distinct units in each of a worker's two generations of folded units.
-CACHE = 120_000
+CACHE = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
