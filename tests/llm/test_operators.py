@@ -133,6 +133,7 @@ def test_bpe_matches_the_library(spark):
     encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(3)
     texts = [None, "", " ", "don't  stop\n\n", "<|endoftext|>", "é漢字²½  x", *("".join(rng.choices(" \n\t'sabdé漢1.,! \x1c", k=40)) for _ in range(200))]
+    texts += ["".join(rng.choices([chr(i) for i in range(0x250)], k=30)) for _ in range(2000)] + ["ab" * 500, "a" * 300 + " " * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     for x in byte_bpe.bpe_decode(byte_bpe.bpe_encode(df, ranks, pattern), ranks).collect():
         assert np.frombuffer(bytes(x.ids), "<u4").tolist() == encoding.encode_ordinary(x.text or "") and bytes(x.decoded).decode() == (x.text or "")
@@ -141,6 +142,8 @@ def test_bpe_matches_the_library(spark):
 def test_native_fold_matches(spark):
     ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abc": 257, b"bc": 258, b"abcabc": 259}
     df = spark.createDataFrame([(w,) for w in ("", "a", "abc", "abcabc", "bcab", "xbcx")], "word string")
+    many = byte_bpe._Merges(ranks).fold([x.word.encode() for x in df.collect() if x.word])
+    assert all(np.frombuffer(ids, "<u4").tolist() == byte_bpe.fold(word, ranks) for word, ids in many.items())
     for x in byte_bpe.fold_words(df, ranks).collect():
         assert x.ids == (byte_bpe.fold(x.word.encode(), ranks) if x.word else [])
 
