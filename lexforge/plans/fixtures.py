@@ -78,6 +78,8 @@ def with_sql(select: str) -> str:
     text = select.strip()
     if not ctes:
         return text
+    if text.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {text[14:]}"
     return f"WITH {ctes}, {text[4:]}" if text.startswith("WITH ") else f"WITH {ctes} {text}"
 
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import cleaning
+from .functions import segments as g
+from .operators import answers as a
+from .operators import lineage
 from .operators import relations as r
 from .operators import retrieval as t
 from .operators import warehouse as w
 from .plans.fixtures import view, with_sql
+from .sources.staging import new_folder
+from .streaming.ingest import ingest, not_yet_ingested
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -202,3 +207,122 @@ SELECT pipeline_used, count(*) AS n, round(avg(CAST(fallback_used AS INT)), 9) A
 _register("ops_02_latency_stats", lambda v: t.latency_stats(v("traces")), """
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY pipeline_used ORDER BY latency_ms, request_id) AS i, count(*) OVER (PARTITION BY pipeline_used) AS n FROM traces )
 SELECT pipeline_used, count(*) AS n, round(avg(latency_ms), 4) AS avg_ms, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms, max(latency_ms) FILTER (i = floor(n * 0.95) + 1) AS p95_ms FROM o GROUP BY 1""")
+
+
+_SP = g.SPACE
+_TRIM = rf"regexp_replace({{}}, '^{_SP}+|{_SP}+$', '', 'g')"
+
+
+def _others(x: str, pattern: str) -> str:
+    return f"length(regexp_replace({x}, '{pattern}', '', 'g'))"
+
+
+_T = f"length({_TRIM.format('x')})"
+_ASCII, _LETTERS = _others("x", r"[^\x20-\x7E]"), _others("x", r"[^\p{L}]")
+_KEEP = (
+    f"CASE WHEN {_T} = 0 THEN true WHEN {_ASCII} >= {_T} * 0.7 THEN true WHEN {_others('x', g.SYMBOLS)} > {_T} * 0.15 THEN false WHEN {_ASCII} < {_T} * 0.4 AND {_LETTERS} < 5 THEN false "
+    f"WHEN {_T} < 10 AND {_ASCII} < {_T} * 0.5 THEN false WHEN {_LETTERS} < {_T} * 0.3 THEN " + "(" + " OR ".join(f"contains(lower(x), '{k}')" for k in g.KEEP_WORDS) + ") ELSE true END"
+)
+_register("cln_02_drop_ocr_garbage_lines", lambda v: v("dirty").withColumn("kept", g.drop_garbage_lines(F.col("text"))).select("doc_id", F.md5("kept").alias("kept_md5"), F.length("kept").cast("long").alias("n_chars")),
+          f"SELECT doc_id, md5(k) AS kept_md5, length(k) AS n_chars FROM (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: {_KEEP}), chr(10)) AS k FROM dirty) y")
+
+
+def _split_sql(marked: str) -> str:
+    return f"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split({marked}, chr(1)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS l FROM dirty)
+SELECT doc_id, CAST(i AS BIGINT) AS place, md5(l[i + 1]) AS part_md5 FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM p) y"""
+
+
+def _parts(v, cut):
+    return g.numbered(v("dirty"), cut(F.col("text")), "doc_id").select("doc_id", F.col("place").cast("long").alias("place"), F.md5("part").alias("part_md5"))
+
+
+_register("chk_01_split_paragraphs", lambda v: _parts(v, g.paragraphs), _split_sql(
+    rf"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{_SP}*\n', chr(1), 'g'), '\n({_SP}*(?:[0-9]+\.|[•*-]){_SP}+)', chr(1) || '\1', 'g')"))
+_register("chk_03_split_sentences", lambda v: _parts(v, g.sentences), _split_sql(rf"regexp_replace(text, '([.!?]){_SP}+([A-Z])', '\1' || chr(1) || '\2', 'g')"))
+
+
+def _query_types(v):
+    kind, confidence, others = g.query_type(F.col("text"))
+    return v("conversations").filter("role = 'user'").select("conv_id", "turn", kind.alias("query_type"), confidence.alias("confidence"), others.alias("others"))
+
+
+def _query_types_sql() -> str:
+    score = {}
+    for name, patterns in g.QUERY_TYPES.items():
+        hits = " + ".join(f"CAST(regexp_matches(q, '{p}') AS INT)" for p in patterns)
+        score[name] = f"CASE WHEN {hits} > 1 THEN least(1.0::DOUBLE, ({hits}) * 1.5::DOUBLE / {len(patterns)}) ELSE ({hits})::DOUBLE / {len(patterns)} END AS {name}"
+    best = f"greatest({', '.join(score)})"
+    top = "CASE " + " ".join(f"WHEN {n} = {best} THEN '{n}'" for n in score) + " END"
+    others = f"concat_ws(',', {', '.join(f"CASE WHEN {n} > 0.3 AND top <> '{n}' THEN '{n}' END" for n in score)})"
+    return f"""
+WITH s AS (SELECT conv_id, turn, {', '.join(score.values())} FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS q FROM conversations WHERE role = 'user') x),
+t AS (SELECT *, {best} AS best, {top} AS top FROM s)
+SELECT conv_id, turn, CASE WHEN best < 0.2 THEN 'factual' ELSE top END AS query_type, round(CASE WHEN best < 0.2 THEN 0.5::DOUBLE ELSE best END, 9) AS confidence, {others} AS others FROM t"""
+
+
+_register("cls_06_query_type", _query_types, _query_types_sql())
+
+_register("grf_03_trace_lineage", lambda v: lineage.trace_lineage(v("go_master"), v("relations")), """
+WITH RECURSIVE f AS MATERIALIZED (SELECT source_id AS s, arg_min(target_id, (seq, target_id)) AS t FROM relations WHERE relation_type IN ('supersedes', 'amends') GROUP BY 1),
+w AS (SELECT go_id, go_id AS node, CAST(0 AS BIGINT) AS depth FROM go_master UNION ALL SELECT go_id, t, depth + 1 FROM w JOIN f ON s = node)
+SELECT go_id, arg_max(node, depth) AS root, max(depth) AS depth FROM w GROUP BY 1""")
+
+_register("ret_12_timeline", lambda v: a.timeline(v("hits").filter("rnk <= 20"), v("docs")), """
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_date, document_id) AS place, year(doc_date) AS year, document_id, title
+FROM (SELECT DISTINCT query_id, document_id FROM hits WHERE rnk <= 20) x JOIN docs USING (document_id)""")
+_LAYERS = {"primary": (0.5, ["go", "regulation"]), "binding": (0.3, ["judgment"]), "impact": (0.2, ["policy", "report"])}
+_register("ret_10_layered_retrieve", lambda v: a.layered(v("hits"), v("docs"), _LAYERS, 20), """
+WITH l AS (SELECT query_id, chunk_id, min(CASE WHEN doc_type IN ('go', 'regulation') THEN 0 WHEN doc_type = 'judgment' THEN 1 ELSE 2 END) AS n, max(score) AS score FROM hits JOIN docs USING (document_id) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, n ORDER BY score DESC, chunk_id) AS i FROM l)
+SELECT query_id, chunk_id, ['primary', 'binding', 'impact'][n + 1] AS layer, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM k WHERE i <= [10, 6, 4][n + 1]""")
+_register("ret_14_judicial_validation", lambda v: a.judicial_validation(v("hits"), v("relations"), v("docs")), """
+SELECT h.query_id, h.document_id, d.title, p.source_id AS overruled_by, o.title AS overruling_title, coalesce(d.binding_strength, 'unknown') AS binding_strength
+FROM (SELECT DISTINCT query_id, document_id FROM hits) h JOIN (SELECT DISTINCT source_id, target_id FROM relations WHERE relation_type = 'overrules') p ON p.target_id = h.document_id
+LEFT JOIN docs d ON d.document_id = h.document_id LEFT JOIN docs o ON o.document_id = p.source_id""")
+_register("ret_16_citations", lambda v: a.citations(v("hits"), v("docs")), """
+WITH b AS (SELECT query_id, document_id, max(score) AS score FROM hits GROUP BY 1, 2),
+j AS (SELECT b.*, title, doc_date, binding_strength, CASE WHEN doc_type = 'judgment' THEN CASE court WHEN 'Supreme Court' THEN court WHEN 'hc' THEN 'High Court' ELSE 'Tribunal' END WHEN doc_type = 'regulation' THEN 'Statutory Law' WHEN doc_type = 'go' THEN 'Government Order' ELSE 'Policy Document' END AS authority FROM b JOIN docs USING (document_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE authority WHEN 'Supreme Court' THEN 10 WHEN 'High Court' THEN 7 WHEN 'Statutory Law' THEN 8 WHEN 'Government Order' THEN 5 WHEN 'Policy Document' THEN 4 ELSE 1 END DESC, score DESC, document_id) AS rank FROM j)
+SELECT query_id, rank, document_id, authority, concat_ws(', ', title, authority, CAST(year(doc_date) AS VARCHAR), binding_strength) AS citation FROM k WHERE rank <= 5""")
+_register("ret_18_context_pack", lambda v: a.context_pack(v("hits"), v("docs")), """
+WITH k AS (SELECT query_id, chunk_id, coalesce(title, document_id) AS t, coalesce(CAST(doc_date AS VARCHAR), 'undated') AS d, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id, source) AS rank FROM hits LEFT JOIN docs USING (document_id))
+SELECT query_id, count(*) AS n, string_agg('[' || rank || '] ' || t || ' (' || d || '): ' || chunk_id, chr(10) ORDER BY rank) AS context FROM k WHERE rank <= 10 GROUP BY 1""")
+_SIGNALS = """
+WITH c AS (SELECT query_id, count(*) FILTER (document_id IN (SELECT target_id FROM relations WHERE relation_type = 'overrules')) AS overruled_precedent, count(*) FILTER (status = 'superseded') AS temporal_conflict,
+CAST(count(*) FILTER (doc_type = 'judgment' AND court = 'Supreme Court') > 1 AS BIGINT) AS conflicts_with_sc_judgment, CAST(count(*) FILTER (doc_type = 'go') > 0 AND count(*) FILTER (doc_type = 'regulation') > 0 AS BIGINT) AS conflicts_with_legal_act
+FROM hits LEFT JOIN docs USING (document_id) WHERE rnk <= 3 GROUP BY 1),
+s AS (SELECT query_id, 'overruled_precedent' AS signal, overruled_precedent AS n, 6.0::DOUBLE AS w FROM c UNION ALL SELECT query_id, 'temporal_conflict', temporal_conflict, 5 FROM c
+UNION ALL SELECT query_id, 'conflicts_with_sc_judgment', conflicts_with_sc_judgment, 10 FROM c UNION ALL SELECT query_id, 'conflicts_with_legal_act', conflicts_with_legal_act, 8 FROM c)
+"""
+_signals = lambda v: a.risk_signals(v("hits").filter("rnk <= 3"), v("relations"), v("docs"))
+_register("rsk_01_risk_signals", _signals, _SIGNALS + "SELECT query_id, signal, n FROM s WHERE n > 0")
+_register("rsk_02_risk_score", lambda v: a.risk_score(_signals(v)), _SIGNALS + """, z AS (SELECT query_id, CAST(sum(n) AS BIGINT) AS n_signals, least(sum(n * w) * 5, 100.0::DOUBLE) AS risk_score FROM s WHERE n > 0 GROUP BY 1)
+SELECT *, CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 40 THEN 'medium' WHEN risk_score >= 20 THEN 'low' ELSE 'none' END AS risk_level FROM z""")
+
+
+def _claims(v):
+    said = v("conversations").groupBy(F.col("conv_id").alias("query_id"))
+    joined = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]), ". ")
+    rows = said.agg(joined("assistant").alias("answer"), joined("user").alias("context"))
+    return a.claim_support(rows.select("query_id", "answer"), rows.select("query_id", "context"))
+
+
+_register("evl_04_claim_support", _claims, rf"""
+WITH r AS (SELECT conv_id AS query_id, coalesce(string_agg(text, '. ' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS answer, lower(coalesce(string_agg(text, '. ' ORDER BY turn, text) FILTER (role = 'user'), '')) AS context FROM conversations GROUP BY 1),
+c AS (SELECT query_id, context, unnest(list_filter(list_transform(string_split(answer, '.'), lambda x: {_TRIM.format('x')}), lambda x: length(x) > 20)) AS claim FROM r),
+w AS (SELECT query_id, context, list_filter(list_distinct(regexp_split_to_array(lower(claim), '{_SP}+')), lambda x: length(x) > 3) AS words FROM c),
+n AS (SELECT query_id, len(words) AS total, len(list_filter(words, lambda x: contains(context, x))) AS found FROM w)
+SELECT query_id, count(*) AS n_claims, count(*) FILTER (total > 0 AND found >= total * 0.3) AS n_supported, round(1 - count(*) FILTER (total > 0 AND found >= total * 0.3) / count(*), 9) AS hallucination_rate FROM n GROUP BY 1""")
+
+
+def _ingested(spark, sf_dir):
+    source = f"{sf_dir}/documents.parquet"
+    schema = spark.read.parquet(source).schema
+    either = source[:-1] + "[t]"  # a pattern, since the table may be a file or a folder
+    return ingest(spark, either, schema, new_folder(spark, "ingested"), new_folder(spark, "ingest-log")).select("doc_id", "text_sha256")
+
+
+QUERIES["snk_05_incremental_ingest"] = _ingested
+ORACLE_SQL["snk_05_incremental_ingest"] = "SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL"
+_register("snk_05_not_yet_ingested", lambda v: not_yet_ingested(v("documents"), v("labels"), "doc_id").select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge import registry
-from lexforge.functions import cleaning
+from lexforge.functions import cleaning, segments
+from lexforge.operators import lineage
 from lexforge.operators import relations as r
 from lexforge.operators import warehouse as w
+from lexforge.streaming.ingest import ingest
 
 DATA = "/root/testdata/sf0.001"
 
@@ -53,3 +55,28 @@ def test_row_counts_match_sql(spark, name):
     want = con.execute(registry.ORACLE_SQL[name]).df()
     assert sorted(df.columns) == sorted(want.columns)
     assert df.count() == len(want)
+
+
+def test_lineage_follows_chains_and_leaves_cycles(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("w", "x")]
+    rels = spark.createDataFrame([(s, t, "amends", i) for i, (s, t) in enumerate(edges)], "source_id string, target_id string, relation_type string, seq long")
+    orders = spark.createDataFrame([(k,) for k in "abcdxyzw"], "go_id string")
+    got = {x.go_id: (x.root, x.depth) for x in lineage.trace_lineage(orders, rels).collect()}
+    assert got == {"a": ("d", 3), "b": ("d", 2), "c": ("d", 1), "d": ("d", 0), "x": (None, None), "y": (None, None), "z": ("z", 0), "w": (None, None)}
+    assert lineage.trace_lineage(orders.limit(0), rels.limit(0)).count() == 0
+
+
+def test_segments(spark):
+    df = spark.createDataFrame([("One. Two? no\n\n1. a\n2. b\n \nEnd",), ("",), (None,)], "text string")
+    got = df.select(segments.paragraphs(F.col("text")), segments.sentences(F.col("text"))).collect()
+    assert [tuple(x) for x in got] == [(["One. Two? no", "1. a", "2. b", "End"], ["One.", "Two? no\n\n1. a\n2. b\n \nEnd"]), ([], []), (None, None)]
+    df = spark.createDataFrame([("ok line\nab§§§§§\nఅఆ5\n\n12ééé 3 ééé 4 ééé",)], "text string")
+    assert df.select(segments.drop_garbage_lines(F.col("text"))).first()[0] == "ok line\n\n12ééé 3 ééé 4 ééé"
+
+
+def test_ingest_takes_new_files_only(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "id int, text string"
+    for i in range(2):
+        spark.createDataFrame([(i, "x"), (i + 10, None)], schema).write.mode("append").parquet(source)
+        got = ingest(spark, source, spark.createDataFrame([], schema).schema, str(tmp_path / "out"), str(tmp_path / "log"))
+        assert sorted(x.id for x in got.collect()) == list(range(i + 1))
