@@ -113,6 +113,24 @@ def match_rate(expected: DataFrame, actual: DataFrame, left: Column, right: Colu
     return rows.withColumn("rate", F.round(F.col("correct") / F.col("total"), 9))
 
 
+def risk_detection(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """One row: how often the actual risk level is the expected one, and which way it errs.
+
+    Both hold (query_id, risk_level).  Queries without an expected level are skipped.  A
+    level of risk where none is expected is a false positive, none where some is expected a
+    false negative; an unknown or missing level is only incorrect.
+    """
+    risky = ("low", "medium", "high", "critical")
+    want, got = F.col("want"), F.col("got")
+    both = expected.select("query_id", F.col("risk_level").alias("want")).dropna(subset=["want"]).join(actual.select("query_id", F.col("risk_level").alias("got")), "query_id", "left")
+    right = F.count_if(want.eqNullSafe(got))
+    return both.agg(
+        F.count("*").alias("total_queries"), right.alias("correct"), (F.count("*") - right).alias("incorrect"),
+        F.count_if((want == "none") & got.isin(*risky)).alias("false_positives"), F.count_if(want.isin(*risky) & (got == "none")).alias("false_negatives"),
+        F.round(F.coalesce(right / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)), 9).alias("accuracy"),
+    )
+
+
 def trace_metrics(traces: DataFrame) -> DataFrame:
     rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 9)
     return traces.groupBy("pipeline_used").agg(

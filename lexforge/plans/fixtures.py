@@ -62,6 +62,21 @@ SELECT event_id AS request_id, ts, event_type AS pipeline_used, CAST(value * 100
 SELECT doc_id, 'educa-' || chr(10) || ' tion <b>x</b> [Image: a] [chart: b] G.O.Ms.No.12 GO RT No 7 sec.12 §4 12/05/2024 1.2.2023 Govemment 0rder' || chr(10) || '- 3 -' || chr(10) || 'Page 4' || chr(10) || '3 of 9' || chr(10)
        || text || chr(10) || '-- Page 3 --' || chr(10) || ' ##tail' || chr(10) || 'last©®' AS text
 FROM documents""",
+    "letters": """
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'In supersession of G.O.Ms.No. 12 the transfers and postings, transfer by transfer, are cancelled. '
+            WHEN 1 THEN 'This order amends Rule 5(a) and Section 12A, dated 12-05-2024. ' WHEN 2 THEN 'Promotions and pay scale arrears vide GO No 77! '
+            WHEN 3 THEN 'Pension under Rules, 2023 and § 4 was set on 3rd March 2021. ' WHEN 4 THEN 'Sec 9B clarifies leave from January 5, 2020? ' ELSE 'Government Order No. 8 ' END
+       || text || CASE WHEN doc_id % 4 = 1 THEN ' Recruitment and suspension are in 8B.' ELSE ' It cancels the rest.' END AS text
+FROM documents""",
+    "offices": """
+SELECT go_id, CASE WHEN k % 11 = 0 THEN 'unknown' WHEN k % 11 <> 1 THEN go_type END AS go_type,
+       CASE k % 9 WHEN 0 THEN 'School Education' WHEN 1 THEN 'Higher education' WHEN 2 THEN ' social justice' WHEN 3 THEN 'Law and Finance' WHEN 4 THEN 'finance'
+            WHEN 5 THEN 'Health' WHEN 6 THEN 'Revenue' WHEN 7 THEN 'General Administration' ELSE department END AS department
+FROM go_master""",
+    "risks": """
+SELECT query_id, CASE a WHEN 0 THEN 'none' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' WHEN 4 THEN 'critical' END AS expected,
+       CASE b WHEN 0 THEN 'none' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'odd' END AS actual
+FROM (SELECT doc_id AS query_id, doc_id % 6 AS a, (doc_id + length(text)) % 5 AS b FROM documents) x""",
 }
 
 
@@ -88,7 +103,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     body = VIEWS[name]
-    tables = {t: view(spark, sf_dir, t) for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", body)}
+    tables = {t: view(spark, sf_dir, t) for t in (*TABLES, *VIEWS) if re.search(rf"\b(FROM|JOIN) {t}\b", body)}
     for t in tables:
         body = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", body)
     return spark.sql(body, **tables)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import cleaning
+from .functions import entities as e
 from .functions import segments as g
 from .operators import answers as a
 from .operators import lineage
@@ -326,3 +327,36 @@ def _ingested(spark, sf_dir):
 QUERIES["snk_05_incremental_ingest"] = _ingested
 ORACLE_SQL["snk_05_incremental_ingest"] = "SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL"
 _register("snk_05_not_yet_ingested", lambda v: not_yet_ingested(v("documents"), v("labels"), "doc_id").select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+
+_register(
+    "ent_01_regex_entities",
+    lambda v: v("letters").select("doc_id", *[F.array_join(e.found_entities(F.col("text"), k), " | ").alias(k) for k in e.ENTITIES]),
+    "SELECT doc_id, " + ", ".join(
+        "array_to_string(list_sort(list_distinct(list_transform(" + " || ".join(f"regexp_extract_all(coalesce(text, ''), '{p}', 1)" for p in patterns)
+        + f", lambda x: CASE WHEN starts_with(x, '{before.strip()}') THEN x ELSE '{before}' || x END))), ' | ') AS {kind}"
+        for kind, (before, patterns) in e.ENTITIES.items()
+    ) + " FROM letters",
+)
+
+
+def _domains(v):
+    listed, primary = e.policy_domains(F.col("text"))
+    return v("letters").select("doc_id", F.array_join(listed, ",").alias("domains"), primary.alias("primary_domain"))
+
+
+_register("cls_03_policy_domains", _domains, "WITH n AS (SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{e.domain_pattern(d)}')) AS {d}" for d in e.DOMAINS)
+    + " FROM letters) SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN {d} > 0 THEN '{d}' END" for d in e.DOMAINS) + ") AS domains, CASE WHEN greatest(" + ", ".join(e.DOMAINS)
+    + ") = 0 THEN 'general' " + " ".join(f"WHEN {d} = greatest({', '.join(e.DOMAINS)}) THEN '{d}'" for d in e.DOMAINS) + " END AS primary_domain FROM n")
+_register("ent_08_normalize_department", lambda v: v("offices").select("go_id", e.department(F.col("department")).alias("department"), e.order_type(F.col("go_type")).alias("go_type")),
+    "SELECT go_id, CASE " + " ".join(f"WHEN {' OR '.join('(' + ' AND '.join(f"contains(upper(coalesce(department, '')), '{x}')" for x in words) + ')' for words in ways)} THEN '{name}'" for name, ways in e.DEPARTMENTS.items())
+    + " ELSE 'UNKNOWN' END AS department, CASE WHEN go_type IS NULL OR lower(go_type) = 'unknown' THEN 'administrative' ELSE go_type END AS go_type FROM offices")
+_register("rel_02_ocr_confidence", lambda v: v("letters").select("doc_id", F.round(e.ocr_confidence(F.col("text"), F.lit(0.9)), 9).alias("confidence")),
+    f"SELECT doc_id, round(CASE WHEN regexp_matches(coalesce(text, ''), '{e.OCR_NOISE}') THEN 0.9::DOUBLE * 0.6 WHEN contains(lower(coalesce(text, '')), 'vide') THEN 0.9::DOUBLE * 0.8 ELSE 0.9::DOUBLE END, 9) AS confidence FROM letters")
+_register("rel_10_candidate_sentences", lambda v: v("letters").select("doc_id", F.posexplode(e.candidate_sentences(F.col("text"))).alias("place", "sentence")).withColumn("place", F.col("place") + 1),
+    f"WITH c AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{e.SENTENCE_GAP}'), lambda x: {' OR '.join(f"contains(lower(x), '{w}')" for w in e.RELATION_WORDS)})[1:20] AS found FROM letters), "
+    + f"u AS (SELECT doc_id, unnest(found) AS x, generate_subscripts(found, 1) AS place FROM c) SELECT doc_id, CAST(place AS INT) AS place, {_TRIM.format('x')} AS sentence FROM u")
+_register("evl_05_risk_detection", lambda v: t.risk_detection(v("risks").select("query_id", F.col("expected").alias("risk_level")), v("risks").select("query_id", F.col("actual").alias("risk_level"))), """
+WITH b AS (SELECT x.expected, y.actual FROM risks x LEFT JOIN risks y USING (query_id) WHERE x.expected IS NOT NULL)
+SELECT count(*) AS total_queries, count(*) FILTER (expected = actual) AS correct, count(*) FILTER (expected IS DISTINCT FROM actual) AS incorrect,
+count(*) FILTER (expected = 'none' AND actual IN ('low', 'medium', 'high', 'critical')) AS false_positives, count(*) FILTER (expected IN ('low', 'medium', 'high', 'critical') AND actual = 'none') AS false_negatives,
+round(coalesce(count(*) FILTER (expected = actual) / nullif(count(*), 0), 0), 9) AS accuracy FROM b""")

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge import registry
-from lexforge.functions import cleaning, segments
+from lexforge.functions import cleaning, entities, segments
 from lexforge.operators import lineage
 from lexforge.operators import relations as r
+from lexforge.operators import retrieval as t
 from lexforge.operators import warehouse as w
 from lexforge.streaming.ingest import ingest
 
@@ -34,6 +35,49 @@ def test_cleaning(spark, name, text, want):
     assert df.select(cleaning.step(name, F.col("text"))).first()[0] == want
 
 
+@pytest.mark.parametrize(
+    ("kind", "text", "want"),
+    [
+        ("go_numbers", "G.O.Ms.No. 7, GO No 12 and Government Order No. 7", ["GO.MS.No.12", "GO.MS.No.7"]),
+        ("sections", "Section 12A(b) Sec. 3 § 4", ["Section 12A(b)", "Section 3", "Section 4"]),
+        ("rules", "Rule 5(a), rules, 2023", ["Rule 5(a)", "Rule rules, 2023"]),
+        ("dates", "12-05-2024, 3rd March 2021 and January 5, 2020", ["12-05-2024", "3rd March 2021", "January 5, 2020"]),
+        ("dates", None, []),
+    ],
+)
+def test_entities(spark, kind, text, want):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert df.select(entities.found_entities(F.col("text"), kind)).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("Transfers; transfer, LEAVE", (["transfer", "leave"], "transfer")), ("leave salary", (["salary", "leave"], "salary")), ("éda", ([], "general")), ("", ([], "general")), (None, ([], "general"))],
+)
+def test_domains(spark, text, want):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert tuple(df.select(*entities.policy_domains(F.col("text"))).first()) == want
+
+
+def test_departments_and_confidence(spark):
+    df = spark.createDataFrame([("dept of school education", "x 8B y"), ("General Admin", "Vide 12"), (None, None)], "d string, t string")
+    rows = df.select(entities.department(F.col("d")), F.round(entities.ocr_confidence(F.col("t"), F.lit(1.0)), 6)).collect()
+    assert [tuple(x) for x in rows] == [("SCHOOL_EDUCATION", 0.6), ("GENERAL_ADMINISTRATION", 0.8), ("UNKNOWN", 1.0)]
+
+
+def test_candidate_sentences_keep_order(spark):
+    df = spark.createDataFrame([("A. It amends b! no.  this cancels c",), (None,)], "t string")
+    rows = df.select(entities.candidate_sentences(F.col("t")), F.size(entities.candidate_sentences(F.col("t"), None))).collect()
+    assert [tuple(x) for x in rows] == [(["It amends b", "this cancels c"], 2), ([], 0)]
+
+
+def test_risk_detection(spark):
+    want = spark.createDataFrame([(1, "none"), (2, "none"), (3, "high"), (4, "low"), (5, None)], "query_id int, risk_level string")
+    got = spark.createDataFrame([(1, "none"), (2, "low"), (3, "none"), (5, "low")], "query_id int, risk_level string")
+    assert tuple(t.risk_detection(want, got).first()) == (4, 1, 3, 1, 1, 0.25)
+    assert tuple(t.risk_detection(want.limit(0), got).first()) == (0, 0, 0, 0, 0, 0.0)
+
+
 def test_precedence_keeps_the_strongest(spark):
     rows = [("a", "b", "references", 0.9, "full", "1", 1), ("a", "b", "supersedes", 0.5, "full", "1", 2), ("a", "c", "amends", 0.5, "full", "1", 3)]
     df = spark.createDataFrame(rows, "source_id string, target_id string, relation_type string, confidence double, scope string, section string, seq long")
