@@ -28,8 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of near copies."""
-    groups = ngram_jaccard_join(docs.select("doc_id", "text"))
+    """One document, that of the smallest id, of each component of near copies: sets of five-word
+    shingles with a Jaccard similarity of 0.8 or more."""
+    groups = ngram_jaccard_join(docs.select("doc_id", "text"), words=5, percent=80)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
