@@ -137,6 +137,19 @@ def _groups(batches, key_columns: int):
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def different_cells(routed: DataFrame) -> DataFrame:
+    """(cell, hub): of the cells of distinct (cell, node) with two nodes at least, one for each
+    set of members, with its least node.  Sets are told apart by their number and two
+    checksums that can't overflow."""
+    mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in range(2)]
+    return (
+        routed.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("m"), *mark)
+        .filter("hub <> last")
+        .groupBy("hub", "last", "m", "mark0", "mark1").agg(F.min("cell").alias("cell"))
+        .select("cell", "hub")
+    )
+
+
 def ngram_jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90, block: int = 2048
 ) -> DataFrame:
@@ -153,32 +166,43 @@ def ngram_jaccard_join(
     short_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("raw"))
 
+    def node(shingles: np.ndarray) -> int | None:
+        return int(mix(mix(shingles).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0]) if len(shingles) else None
+
     def features(batches):
         for batch in batches:
-            n, nodes, keys, points = [], [], [], []
+            n, nodes, points = [], [], []
             for raw in batch.column(1):
                 shingles = shingle_set(raw.as_py() or b"", words)
                 n.append(len(shingles))
-                nodes.append(int(mix(mix(shingles).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0]) if len(shingles) else None)
-                keys.append(cell_keys(shingles, percent).view(np.int64))
+                nodes.append(node(shingles))
                 points.append(np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc", "n", "node", "point", "cells"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary())], names=["doc", "n", "node", "point"]
             )
 
-    known = staged(docs.mapInArrow(features, "doc long, n long, node long, point binary, cells array<long>"), "shingles")
-    routed = known.filter("doc IS NOT NULL").select("node", F.explode("cells").alias("cell"))
+    def cells_of(batches):
+        """The cells of each node, once in a task."""
+        seen: set[int] = set()
+        for batch in batches:
+            nodes, keys = [], []
+            for raw in batch.column(1):
+                shingles = shingle_set(raw.as_py() or b"", words)
+                own = node(shingles)
+                if own is not None and own not in seen:
+                    seen.add(own)
+                    nodes.append(own)
+                    keys.append(cell_keys(shingles, percent).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "cells"])
+
+    known = staged(docs.mapInArrow(features, "doc long, n long, node long, point binary"), "shingles")
+    # A node once in a cell, however many rows hold it; one exchange for all that follows by cell.
+    routed = docs.filter("doc IS NOT NULL").mapInArrow(cells_of, "node long, cells array<long>")
+    routed = routed.select("node", F.explode("cells").alias("cell")).repartition("cell").distinct()
 
     # Cells with two nodes at least; one of those with the same members.
-    cells = (
-        routed.groupBy("cell")
-        .agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 42) - 1))).alias("members"))
-        .filter("hub <> last")
-        .groupBy("hub", "last", "members").agg(F.min("cell").alias("cell"))
-        .select("cell", "hub")
-    )
-    members = staged(routed.join(cells, "cell").select("cell", "hub", "node").distinct(), "cells")
+    cells = different_cells(routed)
+    members = staged(routed.join(cells, "cell").select("cell", "hub", "node"), "cells")
     nodes = members.select("node").distinct()
     by_node = known.filter("doc IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"))
     points = known.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))

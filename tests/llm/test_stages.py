@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from lexforge.llm import ngram_jaccard
 
 
 def test_near_copies_of_the_stage(spark):
@@ -35,3 +38,29 @@ def test_near_copies_of_the_stage(spark):
     kept = sorted(d for d in root if find(d) == d)
     assert planted >= 60 and len(got) == len(kept) + 1
     assert sorted(x.doc_id for x in got if x.doc_id is not None) == kept
+
+
+def test_copies_count_once_in_a_cell(spark, monkeypatch):
+    """Many equal copies neither add to a cell nor to its checksum."""
+    text = [f"w{j}" for j in range(60)]
+    near = [*text[:59], "other"]
+    rows = [(i, " ".join(text)) for i in range(50)] + [(100 + i, " ".join(near)) for i in range(50)] + [(None, " ".join(text))]
+    seen = []
+    real = ngram_jaccard.different_cells
+
+    def spy(routed):
+        seen.append(routed.groupBy("cell").count().agg(F.max("count")).first()[0])
+        return real(routed)
+
+    monkeypatch.setattr(ngram_jaccard, "different_cells", spy)
+    got = ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert seen == [2] and {x.component_id for x in got} == {0} and len(got) == len(rows)
+
+
+def test_checksums_of_large_cells(spark):
+    """More nodes than 63 bits hold 42-bit hashes of, and cells that differ in one inner node."""
+    n = 4_500_000
+    large = spark.range(n).select(F.lit(1).cast("long").alias("cell"), F.col("id").alias("node"))
+    small = spark.createDataFrame([(c, x) for c, own in ((2, (1, 5, 9)), (3, (1, 5, 9)), (4, (1, 6, 9)), (5, (7,))) for x in own], "cell long, node long")
+    got = sorted((x.cell, x.hub) for x in ngram_jaccard.different_cells(large.unionByName(small)).collect())
+    assert got == [(1, 0), (2, 1), (4, 1)]
