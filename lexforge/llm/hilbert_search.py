@@ -111,30 +111,50 @@ def hilbert_search(
     )
 
     def keys(batches):
+        """Each point where its lifted vector lies; a query once more, at the common length with lift 0."""
         for batch in batches:
             n = batch.num_rows
-            x = lift(batch.column(1).values.to_numpy().reshape(n, width), length) if n else np.empty((0, width + 1))
+            x = batch.column(1).values.to_numpy().reshape(n, width) if n else np.empty((0, width))
+            ask = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
+            scaled = x[ask] * (length / np.linalg.norm(x[ask], axis=1, keepdims=True))
+            at = np.concatenate([lift(x, length), np.column_stack([scaled, np.zeros(len(ask))])])
+            names = pa.concat_arrays([batch.column(0), batch.column(0).take(pa.array(ask))])
+            query = pa.array(np.arange(len(at)) >= n)
             for c, (p, low, span) in enumerate(made):
-                cell = np.clip((x @ p - low) / span * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, c, np.int32)), pa.array(hilbert_keys(cell, bits))], names=["point", "curve", "key"])
+                cell = np.clip((at @ p - low) / span * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [names, pa.array(np.full(len(at), c, np.int32)), pa.array(hilbert_keys(cell, bits)), query], names=["point", "curve", "key", "query"]
+                )
 
-    laid = points.select("point", "vec").mapInArrow(keys, "point string, curve int, key long")
+    def places(batches):
+        """The partition, and the points before each row in it; queries don't count."""
+        from pyspark import TaskContext
+
+        before, part = 0, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            own = ~batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            at = before + np.cumsum(own) - own
+            before += int(own.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(part + at)], names=["point", "curve", "query", "place"])
+
+    laid = points.select("point", "vec", "asks").mapInArrow(keys, "point string, curve int, key long, query boolean")
     laid = staged(
-        laid.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key", "point").withColumn("place", F.monotonically_increasing_id()), "curves"
+        laid.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key", "query", "point").mapInArrow(places, "point string, curve int, query boolean, place long"),
+        "curves",
     )
-    # Rows in the partitions before each one: a row a partition and curve comes to the driver.
+    # Points in the partitions before each one: a row a partition and curve comes to the driver.
     part = F.shiftright("place", 33).alias("part")
-    counts = laid.groupBy("curve", part).agg(F.count("*").alias("n"), F.min("place").alias("first")).orderBy("curve", "part").collect()
+    counts = laid.groupBy("curve", part).agg(F.count_if(~F.col("query")).alias("n"), F.min("place").alias("first")).orderBy("curve", "part").collect()
     starts, total = [], {}
     for r in counts:
         starts.append((r["curve"], r["part"], total.get(r["curve"], 0) - r["first"]))
         total[r["curve"]] = total.get(r["curve"], 0) + r["n"]
     offsets = spark.createDataFrame(starts, "curve int, part long, offset long")
     ranked = laid.withColumn("part", part).join(F.broadcast(offsets), ["curve", "part"])
-    ranked = ranked.select("point", "curve", F.floor((F.col("place") + F.col("offset")) / window).alias("block"))
-    here = ranked.join(points, "point").select("point", "curve", "block", "vec", "asks", F.col("ids")[0].alias("least"))
+    ranked = ranked.select("point", "curve", "query", F.floor((F.col("place") + F.col("offset")) / window).alias("block"))
+    here = ranked.join(points.drop("asks"), "point").select("point", "curve", "block", "vec", F.col("query").alias("asks"), F.col("ids")[0].alias("least"))
     asked = here.filter("asks").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    both = here.withColumn("asks", F.lit(False)).unionByName(asked)
+    both = here.filter("NOT asks").unionByName(asked)
 
     def nearest(group: pa.Table) -> pa.Table:
         ask = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
