@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import counted_before
+
 #: Precedence of the allowed types.
 PRECEDENCE = {"overrules": 6, "supersedes": 5, "cancels": 4, "amends": 3, "clarifies": 2, "references": 1, "overruled_by": 0}
 #: Authority of a document type.
@@ -172,3 +174,9 @@ def thread_rollup(threads: DataFrame, orders: DataFrame) -> DataFrame:
         F.count("*").alias("n_orders"), F.min("go_date").alias("first_date"), F.max("go_date").alias("last_date"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("go_date", "go_id"))), lambda x: x["go_id"]), ",").alias("go_ids"),
     )
+
+
+def thread_members(threads: DataFrame, orders: DataFrame) -> DataFrame:
+    """Orders of each thread by date, a row an order with its place from 1, however large the thread."""
+    rows = threads.select("thread_id", "go_id").distinct().join(orders.select("go_id", "go_date"), "go_id").select("thread_id", "go_id", "go_date")
+    return counted_before(rows, "thread_id", ["go_date", "go_id"]).select("thread_id", (F.col("before") + 1).alias("place"), "go_id")

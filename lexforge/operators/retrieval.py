@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import counted_before
+
 #: Court and binding weights, short court names.
 COURTS = {"supreme court": 1.5, "sc": 1.5, "supreme court of india": 1.5, "high court": 1.2, "hc": 1.2}
 BINDING = {"binding": 1.3, "persuasive": 1.1}
@@ -140,9 +142,10 @@ def trace_metrics(traces: DataFrame) -> DataFrame:
 
 def latency_stats(traces: DataFrame, percent: float = 0.95) -> DataFrame:
     """Exact rank statistics by pipeline: the value at place int(n * percent) counted from 0."""
-    by = W.partitionBy("pipeline_used")
-    rows = traces.withColumns({"_n": F.count("*").over(by), "_i": F.row_number().over(by.orderBy("latency_ms", "request_id"))})
-    return rows.groupBy("pipeline_used").agg(
-        F.count("*").alias("n"), F.round(F.avg("latency_ms"), 4).alias("avg_ms"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms"),
-        F.max(F.when(F.col("_i") == F.floor(F.col("_n") * percent) + 1, F.col("latency_ms"))).alias("p95_ms"),
+    totals = traces.groupBy(F.col("pipeline_used").alias("_by")).agg(
+        F.count("*").alias("n"), F.round(F.avg("latency_ms"), 4).alias("avg_ms"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms")
     )
+    steps = counted_before(traces.groupBy("pipeline_used", "latency_ms").agg(F.count("*").alias("_m")), "pipeline_used", ["latency_ms"], "_m")
+    place = F.floor(F.col("n") * percent)
+    at = F.col("pipeline_used").eqNullSafe(F.col("_by")) & (F.col("before") <= place) & (place < F.col("before") + F.col("_m"))
+    return totals.join(steps, at, "left").select(F.col("_by").alias("pipeline_used"), "n", "avg_ms", "min_ms", "max_ms", F.col("latency_ms").alias("p95_ms"))

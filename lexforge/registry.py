@@ -135,6 +135,8 @@ _register("grf_08_match_section", lambda v: v("go_clauses").withColumn("section_
 _register("grf_09_thread_rollup", lambda v: r.thread_rollup(v("threads"), v("go_master")).withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")}), """
 WITH t AS (SELECT DISTINCT thread_id, go_id FROM threads)
 SELECT thread_id, count(*) AS n_orders, CAST(min(go_date) AS VARCHAR) AS first_date, CAST(max(go_date) AS VARCHAR) AS last_date, string_agg(go_id, ',' ORDER BY go_date, go_id) AS go_ids FROM t JOIN go_master USING (go_id) GROUP BY 1""")
+_register("grf_09_thread_members", lambda v: r.thread_members(v("threads"), v("go_master")), """
+SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY go_date, go_id) AS place, go_id FROM (SELECT DISTINCT thread_id, go_id FROM threads) t JOIN go_master USING (go_id)""")
 _register("grf_10_active_status", lambda v: r.active_status(v("go_master"), v("relations")), """
 SELECT go_id, go_number, CASE WHEN EXISTS (SELECT 1 FROM relations WHERE target_id = g.go_id AND scope = 'full' AND relation_type IN ('supersedes', 'cancels')) THEN 'INACTIVE' ELSE 'ACTIVE' END AS status FROM go_master g""")
 
