@@ -303,6 +303,17 @@ _register("rsk_01_risk_signals", _signals, _SIGNALS + "SELECT query_id, signal,
 _register("rsk_02_risk_score", lambda v: a.risk_score(_signals(v)), _SIGNALS + """, z AS (SELECT query_id, CAST(sum(n) AS BIGINT) AS n_signals, least(sum(n * w) * 5, 100.0::DOUBLE) AS risk_score FROM s WHERE n > 0 GROUP BY 1)
 SELECT *, CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 40 THEN 'medium' WHEN risk_score >= 20 THEN 'low' ELSE 'none' END AS risk_level FROM z""")
 
+# The same over every hit; the SQL of the four names above takes the first 3 or 20.
+_every_signal = lambda v: a.risk_signals(v("hits"), v("relations"), v("docs"))
+for _n, _job in {
+    "ret_12_timeline": lambda v: a.timeline(v("hits"), v("docs")),
+    "ret_17_answer_confidence": lambda v: t.answer_confidence(v("hits"), v("docs")),
+    "rsk_01_risk_signals": _every_signal,
+    "rsk_02_risk_score": lambda v: a.risk_score(_every_signal(v)),
+}.items():
+    QUERIES[f"{_n}_every_hit"] = lambda spark, sf_dir, job=_job: job(lambda table: view(spark, sf_dir, table))
+    ORACLE_SQL[f"{_n}_every_hit"] = ORACLE_SQL[_n].replace(" WHERE rnk <= 20", "").replace(" WHERE rnk <= 3", "")
+
 
 def _claims(v):
     said = v("conversations").groupBy(F.col("conv_id").alias("query_id"))
