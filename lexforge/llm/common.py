@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,32 +117,70 @@ def ngram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return _range_hashes(words, starts, starts + k, _WORD_BASE)
 
 
-def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Smallest id reachable from each id of the undirected edges (src, dst).
+def skew_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", heavy: int = 1 << 16, salts: int = 32) -> DataFrame:
+    """left joined with right, which is distinct in key, with heavy keys of left dealt over salts.
 
-    Each round takes the least label among an id's neighbours (aggregated before the shuffle,
-    so a hub costs one row per task) and then jumps to the label of that label.  Rounds are
-    written to the shared folder; nothing but a count comes to the driver.  Ids without an
-    edge are absent.  Empty edges give an empty frame.
+    A key is heavy with more than `heavy` rows in left, so there are at most rows / heavy of
+    them; they are counted with map-side aggregation.  Up to 100,000 heavy keys (a megabyte or
+    two) are broadcast to mark rows by a hash of `spread`; beyond that, and without any, the
+    join is a plain one, left to adaptive execution.  Null keys are dealt over salts too.
     """
-    both = staged(
-        edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(),
-        "edges",
-    )
-    labels = staged(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), "labels")
-    for _ in range(rounds):
-        heard = (
-            both.join(labels, both["dst"] == labels["id"])
-            .groupBy(F.col("src").alias("id"))
-            .agg(F.min("label").alias("heard"))
-        )
-        lower = labels.join(heard, "id", "left").select("id", "label", F.least("label", F.coalesce("heard", "label")).alias("lower"))
-        jump = labels.select(F.col("id").alias("lower"), F.col("label").alias("jump"))
-        labels = staged(
-            lower.join(jump, "lower", "left").select("id", F.col("label").alias("old"), F.least("lower", F.coalesce("jump", "lower")).alias("label")), "labels"
-        )
-        moved = labels.filter("old <> label").limit(1).count()
-        labels = labels.select("id", "label")
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle; raise rounds")
+    hot = left.groupBy(key).count().filter(F.col("count") > heavy).select(key)
+    hot = staged(hot.withColumn("hot", F.lit(True)), "hot")
+    found = hot.limit(100_001).count()
+    if not 0 < found <= 100_000:
+        return left.join(right, key, how)
+    salt = F.when(F.col("hot") | F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0).cast("long"))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("hot")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    spread_right = right.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(copies)).drop("hot")
+    return dealt.join(spread_right, [key, "salt"], how).drop("salt")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(id, label): the smallest id reachable from each id of the undirected edges (src, dst).
+
+    Each round every id takes the least id among itself and its neighbours as its parent
+    (aggregated before the shuffle, so a hub costs one row per task), parents are followed to
+    their roots by doubling, and edges are drawn again between roots.  Every component loses
+    at least one root a round, about half of them in any order of ids, and a path of n ids in
+    sequence takes log2(n) doublings, so there is no cap on rounds.  Rounds are written to the
+    shared folder; only counts, observed while writing, come to the driver.  Ids without an
+    edge to another are absent.  Empty edges give an empty frame.
+    """
+    live, count = _counted(_drawn(edges.select("src", "dst")), "edges", F.count(F.lit(1)))
+    labels = None
+    while count:
+        both = live.unionByName(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        parent = staged(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.min("src")).alias("label")), "parents")
+        moved = 1
+        while moved:
+            up = parent.select(F.col("id").alias("label"), F.col("label").alias("up"))
+            parent, moved = _counted(
+                parent.join(up, "label").select("id", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")),
+                "parents",
+                F.max(F.col("moved").cast("int")),
+            )
+            parent = parent.select("id", "label")
+        root = parent.withColumnRenamed("label", "root")
+        drawn = live.join(root.withColumnRenamed("id", "src"), "src").select("dst", F.col("root").alias("one"))
+        drawn = drawn.join(root.withColumnRenamed("id", "dst"), "dst").select(F.col("one").alias("src"), F.col("root").alias("dst"))
+        live, count = _counted(_drawn(drawn), "edges", F.count(F.lit(1)))
+        if labels is None:
+            labels = parent
+        else:
+            later = parent.select(F.col("id").alias("label"), F.col("label").alias("up"))
+            labels = staged(labels.join(later, "label", "left").select("id", F.coalesce("up", "label").alias("label")), "labels")
+    return live.select(F.col("src").alias("id"), F.col("dst").alias("label")) if labels is None else labels
+
+
+def _drawn(edges: DataFrame) -> DataFrame:
+    """Distinct edges from the smaller to the larger id, without loops."""
+    return edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def _counted(df: DataFrame, name: str, measure) -> tuple[DataFrame, int]:
+    """The staged frame and a measure observed while it was written."""
+    seen = Observation()
+    frame = staged(df.observe(seen, measure.alias("n")), name)
+    return frame, seen.get.get("n") or 0

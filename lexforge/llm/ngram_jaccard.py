@@ -1,23 +1,29 @@
 """Exact Jaccard join on word n-grams with count-vector R-trees.
 
-A document is the set of its distinct word shingles.  Shingles are hashed into groups, and a
-set's group counts are its point.  Two sets of sizes a and b with similarity s share at least
-s / (1 + s) * (a + b) shingles, and at most the sum over groups of the smaller count, so a
-pair whose sum of coordinate minima is too small is out without a look at the shingles.
+A document is the set of its distinct word shingles.  Shingles are hashed into groups, about
+twice as many as two linked sets may differ in, and a set's group counts are its point.  Two
+sets of sizes a and b with similarity s share at least s / (1 + s) * (a + b) shingles, and at
+most the sum over groups of the smaller count, so a pair whose sum of coordinate minima is too
+small is out without a look at the shingles.
 
 The forest of R-trees is routed exactly.  Linked sets differ in at most d shingles, where d
 follows from the larger size, so of d + 1 hash ranges of shingles one at least holds the same
 shingles in both.  A cell is a size band, a range and what a set has in it; only cells that
 hold two different sets get an R-tree, and cells with the same members need one between them.
-In a cell the points are packed by size into leaves with their upper corners, and search goes
-down only where the corners' minima allow enough overlap.  Surviving pairs are verified on
-the whole texts.
+In a cell the points are packed into leaves with their upper corners, and search goes down
+only where the corners' minima allow enough overlap.  Surviving pairs are verified on the
+shingles of the whole texts.
 
 Equal sets are one node from the start.  The first pass links each node of a cell with the
-least node that its bound allows; after components are labelled, the second pass searches
-only cells with more than one label and only between labels.  So a cell of m near copies
-costs about m pairs, and still no link between different components is lost.  Cells over
-`block` nodes are dealt out as pairs of blocks.
+least node that its bound allows, which settles most groups.  The second pass searches only
+cells with more than one label, and only between labels: it first finds the nodes that the
+bound leaves with a possible partner, then reads the texts of these alone, verifies leaf
+against leaf inside the cell and joins labels as links are found.  So no pass puts out more
+rows than its cells have members, and no link between different components is lost.  Cells
+over `block` nodes (fewer for long texts, by bytes) are dealt out as pairs of blocks.
+
+A document stands in d + 1 cells a band, so the largest cell holds at most about 1 / (d + 1)
+of the rows dealt by cell; these rows are two integers.
 """
 
 from __future__ import annotations
@@ -27,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, mix, ngram_hashes, short_batches, staged, word_hashes
+from .common import connected_components, mix, ngram_hashes, short_batches, skew_join, staged, word_hashes
 
-GROUPS = 64
 LEAF = 32
 _RATIO = 0.85
+_BLOCK_BYTES = 32 << 20
 
 
 def shingle_set(raw: bytes, words: int) -> np.ndarray:
@@ -42,24 +48,33 @@ def shingle_set(raw: bytes, words: int) -> np.ndarray:
     return np.unique(ngram_hashes(hashes, min(words, len(hashes))))
 
 
-def linked(common: int, a: int, b: int, percent: int) -> bool:
+def node_of(shingles: np.ndarray) -> int | None:
+    """A hash of the set; none for an empty one."""
+    if not len(shingles):
+        return None
+    return int(mix(mix(shingles).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
+
+
+def linked(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
+def _differ(size: int, percent: int) -> int:
+    """In how many shingles a set of this size and one no larger may differ and be linked."""
+    return 2 * size * (100 - percent) // (100 + percent)
+
+
 def bands(percent: int, size: int) -> list[tuple[int, int]]:
     """(band, ranges) in which a set of this size may meet a linked one.
 
     Band k holds pairs whose larger set has low_k <= size < low_(k+1); a smaller set counts
-    from percent / 100 of low_k.  Two sets in it differ in at most
-    2 * (low_(k+1) - 1) * (100 - percent) / (100 + percent) shingles.
+    from percent / 100 of low_k.
     """
     found, low, band = [], 2, 0
     while percent * low <= 100 * size:
         high = max(low + 1, int(low / _RATIO) + 1)
-        if size < high:
-            differ = 2 * (high - 1) * (100 - percent) // (100 + percent)
-            if differ:
-                found.append((band, differ + 1))
+        if size < high and (differ := _differ(high - 1, percent)):
+            found.append((band, differ + 1))
         low, band = high, band + 1
     return found
 
@@ -77,43 +92,117 @@ def cell_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def count_vector(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Counts of the hash groups, up to 255 each; a power of two of them, by the set's size."""
+    groups = 16
+    while groups < 2 * _differ(len(shingles), percent):
+        groups *= 2
+    counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def count_matrix(raw: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors folded to the shortest one's groups, and what each set has beyond the counts kept."""
+    groups = min(map(len, raw))
+    points = np.empty((len(raw), groups), np.uint8)
+    for i, x in enumerate(raw):
+        points[i] = np.minimum(np.frombuffer(x, np.uint8).reshape(-1, groups).sum(axis=0), 255)
+    return points, np.maximum(sizes - points.sum(axis=1, dtype=np.int64), 0)
+
+
 def _need(a, b, percent: int):
     """Least overlap of linked sets of sizes a and b, as a float bound."""
     return percent * (a + b) / (100 + percent) - 1e-9
 
 
-def rtree_pairs(sizes: np.ndarray, points: np.ndarray, percent: int, ids: np.ndarray, labels: np.ndarray | None) -> list[tuple[int, int]]:
-    """Pairs of places whose summed coordinate minima allow a link.
-
-    Without labels: for each place the place of the least id that it may link with, if that
-    id is less than its own.  With labels: all pairs of different labels.
-    """
-    order = np.lexsort((points[:, 0], sizes))
+def rtree_hits(sizes: np.ndarray, points: np.ndarray, rest: np.ndarray, percent: int, labels: np.ndarray | None = None):
+    """(places of a leaf, places of a leaf, matrix of pairs that the bound allows), leaf pair by
+    leaf pair; with labels only pairs of different ones."""
+    order = np.lexsort((points[:, 0], sizes) if labels is None else (sizes, labels))
     leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
     corner = np.stack([points[x].max(axis=0) for x in leaves])
+    spare = np.array([rest[x].max() for x in leaves])
     least, most = (np.array([f(sizes[x]) for x in leaves]) for f in (min, max))
-    best = np.arange(len(ids))
-    out: list[tuple[int, int]] = []
+    if labels is not None:
+        first, last = (np.array([f(labels[x]) for x in leaves]) for f in (min, max))
     for i, mine in enumerate(leaves):
-        reach = np.minimum(corner[i], corner[i:]).sum(axis=1) >= _need(least[i], least[i:], percent)
-        reach &= 100 * most[i] >= percent * least[i:]
+        reach = np.minimum(corner[i], corner[i:]).sum(axis=1, dtype=np.int64) + np.minimum(spare[i], spare[i:]) >= _need(least[i], least[i:], percent)
+        reach &= (100 * most[i] >= percent * least[i:]) & (100 * most[i:] >= percent * least[i])
+        if labels is not None:
+            reach &= ~((first[i] == last[i]) & (first[i:] == first[i]) & (last[i:] == first[i]))
         for j in np.flatnonzero(reach) + i:
             other = leaves[j]
-            overlap = np.minimum(points[mine][:, None, :], points[other][None, :, :]).sum(axis=2)
+            overlap = np.minimum(points[mine][:, None, :], points[other][None, :, :]).sum(axis=2, dtype=np.int64)
+            overlap += np.minimum(rest[mine][:, None], rest[other][None, :])
             fits = overlap >= _need(sizes[mine][:, None], sizes[other][None, :], percent)
             if labels is not None:
                 fits &= labels[mine][:, None] != labels[other][None, :]
-            for x, y in zip(*np.nonzero(fits), strict=True):
-                p, q = int(mine[x]), int(other[y])
-                if labels is not None:
-                    out.append((p, q))
-                else:
-                    for u, v in ((p, q), (q, p)):
-                        if ids[v] < ids[best[u]]:
-                            best[u] = v
-    if labels is None:
-        return [(i, int(b)) for i, b in enumerate(best) if b != i]
-    return list({(min(p, q), max(p, q)) for p, q in out if p != q})
+            if i == j:
+                fits = np.triu(fits, 1)
+            if fits.any():
+                yield mine, other, fits
+
+
+def least_partners(ids: np.ndarray, hits) -> list[tuple[int, int]]:
+    """For each place the place of the least id that it may link with, where that is less than its own."""
+    best = ids.copy()
+    at = np.arange(len(ids))
+    for mine, other, fits in hits:
+        for here, there, allowed in ((mine, other, fits), (other, mine, fits.T)):
+            found = np.where(allowed, ids[there][None, :], np.iinfo(np.int64).max)
+            k = found.argmin(axis=1)
+            value = found[np.arange(len(here)), k]
+            lower = value < best[here]
+            best[here[lower]] = value[lower]
+            at[here[lower]] = there[k[lower]]
+    return [(i, int(b)) for i, b in enumerate(at) if b != i]
+
+
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray], fits: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, at least where fits."""
+    rows, columns = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+    out = np.zeros(fits.shape, np.int64)
+    vocabulary = np.unique(np.concatenate([one[i] for i in rows]))
+    if fits.sum() <= 8 or len(vocabulary) > 1 << 17:
+        for i, j in zip(*np.nonzero(fits), strict=True):
+            out[i, j] = len(np.intersect1d(one[i], two[j], assume_unique=True))
+        return out
+    left, right = (np.zeros((len(x), len(vocabulary)), np.float32) for x in (rows, columns))
+    for k, i in enumerate(rows):
+        left[k, np.searchsorted(vocabulary, one[i])] = 1
+    for k, j in enumerate(columns):
+        place = np.minimum(np.searchsorted(vocabulary, two[j]), len(vocabulary) - 1)
+        right[k, place[vocabulary[place] == two[j]]] = 1
+    out[np.ix_(rows, columns)] = (left @ right.T).astype(np.int64)
+    return out
+
+
+def label_links(sets: list[np.ndarray], labels: np.ndarray, hits, percent: int) -> list[tuple[int, int]]:
+    """Links between labels that join them, fewer than there are labels."""
+    names, at = np.unique(labels, return_inverse=True)
+    root = np.arange(len(names))
+    out = []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sizes = np.array([len(x) for x in sets])
+    for mine, other, fits in hits:
+        ours, theirs = (np.array([find(x) for x in at[y]]) for y in (mine, other))
+        fits = fits & (ours[:, None] != theirs[None, :])
+        if not fits.any():
+            continue
+        common = _overlaps([sets[x] for x in mine], [sets[x] for x in other], fits)
+        good = fits & linked(common, sizes[mine][:, None], sizes[other][None, :], percent)
+        for x, y in zip(*np.nonzero(good), strict=True):
+            a, b = sorted((find(at[mine[x]]), find(at[other[y]])))
+            if a != b:
+                root[b] = a
+                out.append((int(labels[mine[x]]), int(labels[other[y]])))
+    return out
 
 
 def _groups(batches, key_columns: int):
@@ -129,24 +218,24 @@ def _groups(batches, key_columns: int):
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             key = tuple(keys[:, a].tolist())
             if key != last and held:
-                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                yield last, [np.concatenate(x) for x in zip(*held, strict=True)]
                 held = []
             held.append([c[a:b] for c in columns])
             last = key
     if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield last, [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def different_cells(routed: DataFrame) -> DataFrame:
-    """(cell, hub): of the cells of distinct (cell, node) with two nodes at least, one for each
-    set of members, with its least node.  Sets are told apart by their number and two
-    checksums that can't overflow."""
+    """(cell, hub, m): of the cells of distinct (cell, node) with two nodes at least, one for
+    each set of members, with its least node and number.  Sets are told apart by their number
+    and two checksums that can't overflow."""
     mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in range(2)]
     return (
         routed.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("m"), *mark)
         .filter("hub <> last")
         .groupBy("hub", "last", "m", "mark0", "mark1").agg(F.min("cell").alias("cell"))
-        .select("cell", "hub")
+        .select("cell", "hub", "m")
     )
 
 
@@ -160,23 +249,21 @@ def ngram_jaccard_join(
 
     Null or empty text, or no words: an empty set, linked with nothing.  Null id: the row
     takes part in no link but that with equal sets, and its component is theirs (null if
-    none has an id).  Rows that repeat an id are one node.  Other columns are not read.
-    Empty input: empty.
+    none has an id).  Rows that repeat an id are judged each by its own text.  Very long
+    texts are whole sets; they lower the number of nodes in a block.  Other columns are not
+    read.  Empty input: empty.
     """
     short_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("raw"))
 
-    def node(shingles: np.ndarray) -> int | None:
-        return int(mix(mix(shingles).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0]) if len(shingles) else None
-
     def features(batches):
         for batch in batches:
             n, nodes, points = [], [], []
             for raw in batch.column(1):
                 shingles = shingle_set(raw.as_py() or b"", words)
                 n.append(len(shingles))
-                nodes.append(node(shingles))
-                points.append(np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                nodes.append(node_of(shingles))
+                points.append(count_vector(shingles, percent).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary())], names=["doc", "n", "node", "point"]
             )
@@ -188,7 +275,7 @@ def ngram_jaccard_join(
             nodes, keys = [], []
             for raw in batch.column(1):
                 shingles = shingle_set(raw.as_py() or b"", words)
-                own = node(shingles)
+                own = node_of(shingles)
                 if own is not None and own not in seen:
                     seen.add(own)
                     nodes.append(own)
@@ -201,77 +288,121 @@ def ngram_jaccard_join(
     routed = routed.select("node", F.explode("cells").alias("cell")).repartition("cell").distinct()
 
     # Cells with two nodes at least; one of those with the same members.
-    cells = different_cells(routed)
-    members = staged(routed.join(cells, "cell").select("cell", "hub", "node"), "cells")
-    nodes = members.select("node").distinct()
-    by_node = known.filter("doc IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"))
-    points = known.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
-    texts = staged(docs.join(nodes.join(by_node, "node"), "doc").select("node", "raw"), "texts")
-
-    sized = members.groupBy("cell").agg(F.count("*").alias("m"))
-    placed = staged(members.join(sized, "cell").join(points, "node").withColumn("blocks", F.ceil(F.col("m") / block).cast("long")), "points")
+    members = staged(routed.join(different_cells(routed), "cell").select("cell", "hub", "m", "node"), "cells")
+    by_node = staged(
+        known.filter("doc IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.count("*").alias("copies")), "nodes"
+    )
+    met = members.select("node").distinct()
+    # A block holds by default 2,048 nodes, or fewer whose shingles take 32 MB; a cell's sets
+    # are all within a third of its hub's size.
+    room = F.greatest(F.lit(1), F.least(F.lit(block), F.lit(_BLOCK_BYTES) / (F.col("hub_n") * 12)))
+    hub_sizes = by_node.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+    points = known.filter("doc IS NOT NULL").join(met, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+    placed = staged(
+        skew_join(members, hub_sizes, "hub", "node").join(points, "node")
+        .select("cell", "hub", "node", "n", "point", F.ceil(F.col("m") / room).cast("long").alias("blocks")),
+        "points",
+    )
     own = placed.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
-    def search(frame: DataFrame) -> DataFrame:
-        """R-tree search in each (cell, b1, b2)."""
-
-        def run(batches):
-            for _, _, _, ids, n, raw, labels in _groups(batches, 3):
-                ids, first = np.unique(ids, return_index=True)
-                pts = np.frombuffer(b"".join(raw[first].tolist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-                pairs = rtree_pairs(n[first], pts, percent, ids, None if labels[0] == -1 else labels[first])
-                if pairs:
-                    at = np.array(pairs)
-                    low, high = np.minimum(ids[at[:, 0]], ids[at[:, 1]]), np.maximum(ids[at[:, 0]], ids[at[:, 1]])
-                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["src", "dst"])
-
-        keyed = frame.select("cell", "b1", "b2", "node", "n", "point", "label")
-        return keyed.repartition("cell", "b1", "b2").sortWithinPartitions("cell", "b1", "b2").mapInArrow(run, "src long, dst long").distinct()
+    def by_cell(frame: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
+        """run on the rows of each (cell, b1, b2)."""
+        keyed = frame.select("cell", "b1", "b2", *columns)
+        return keyed.repartition("cell", "b1", "b2").sortWithinPartitions("cell", "b1", "b2").mapInArrow(run, schema)
+
+    def nearest(batches):
+        """Each node and the least that it may link with."""
+        for _, (_, _, _, ids, n, raw) in _groups(batches, 3):
+            ids, first = np.unique(ids, return_index=True)
+            points, rest = count_matrix(raw[first].tolist(), n[first])
+            pairs = least_partners(ids, rtree_hits(n[first], points, rest, percent))
+            if pairs:
+                at = np.array(pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at[:, 1]]), pa.array(ids[at[:, 0]])], names=["src", "dst"])
+
+    def partnered(batches):
+        """The nodes that may link with one of another label."""
+        for (cell, b1, b2), (_, _, _, ids, n, raw, labels) in _groups(batches, 3):
+            ids, first = np.unique(ids, return_index=True)
+            points, rest = count_matrix(raw[first].tolist(), n[first])
+            some = np.zeros(len(ids), bool)
+            for mine, other, fits in rtree_hits(n[first], points, rest, percent, labels[first]):
+                some[mine[fits.any(axis=1)]] = some[other[fits.any(axis=0)]] = True
+            size = int(some.sum())
+            if size:
+                keys = [pa.array(np.full(size, x, np.int64)) for x in (cell, b1, b2)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(ids[some]), pa.array(labels[first][some])], names=["cell", "b1", "b2", "node", "label"])
+
+    def joined(batches):
+        """Links that join labels, verified on whole texts."""
+        for _, (_, _, _, ids, raw, labels) in _groups(batches, 3):
+            held: dict[int, tuple[np.ndarray, int]] = {}
+            for i, text, label in zip(ids.tolist(), raw, labels.tolist(), strict=True):
+                if i not in held and node_of(shingles := shingle_set(text or b"", words)) == i:
+                    held[i] = shingles, label
+            if len(held) < 2:
+                continue
+            sets = [x for x, _ in held.values()]
+            sizes, own_labels = np.array([len(x) for x in sets]), np.array([x for _, x in held.values()])
+            points, rest = count_matrix([count_vector(x, percent).tobytes() for x in sets], sizes)
+            found = label_links(sets, own_labels, rtree_hits(sizes, points, rest, percent, own_labels), percent)
+            if found:
+                at = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["src", "dst"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that are linked, judged on their whole texts."""
 
         def run(batches):
-            last, left = None, None
             for batch in batches:
                 src, dst, one, two = (batch.column(i) for i in range(4))
                 keep = np.zeros(batch.num_rows, bool)
+                last, left = None, None
                 for i in range(batch.num_rows):
                     if src[i].as_py() != last:
-                        last, left = src[i].as_py(), shingle_set(one[i].as_py(), words)
-                    right = shingle_set(two[i].as_py(), words)
-                    keep[i] = linked(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right), percent)
+                        last, left = src[i].as_py(), shingle_set(one[i].as_py() or b"", words)
+                    right = shingle_set(two[i].as_py() or b"", words)
+                    if node_of(left) == src[i].as_py() and node_of(right) == dst[i].as_py():
+                        keep[i] = linked(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right), percent)
                 yield pa.RecordBatch.from_arrays([src, dst], names=["src", "dst"]).filter(pa.array(keep))
 
         left = texts.select(F.col("node").alias("src"), F.col("raw").alias("one"))
         right = texts.select(F.col("node").alias("dst"), F.col("raw").alias("two"))
-        both = pairs.join(left, "src").join(right, "dst").select("src", "dst", "one", "two")
+        both = skew_join(pairs, left, "src", "dst").join(right, "dst").select("src", "dst", "one", "two")
         return both.mapInArrow(run, "src long, dst long")
 
     # First pass: inside blocks, with the cell's least node in each block.
-    hubs = (
-        placed.filter("node = hub AND blocks > 1")
-        .withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    )
-    first = search(own.unionByName(hubs).withColumns({"b1": F.col("b"), "b2": F.col("b"), "label": F.lit(-1).cast("long")}))
-    links = staged(verified(first), "links")
-    labels = connected_components(links)
+    hubs = placed.filter("node = hub AND blocks > 1").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    blocks = own.unionByName(hubs).withColumns({"b1": F.col("b"), "b2": F.col("b")})
+    pairs = staged(by_cell(blocks, ["node", "n", "point"], nearest, "src long, dst long").distinct(), "pairs")
+    # Texts of nodes that meet another: one row's, whose set is the node's.
+    texts = staged(docs.join(met.join(by_node.select("node", "doc"), "node"), "doc").select("node", "raw"), "texts")
+    labels = connected_components(verified(pairs))
 
     # Second pass: between labels, in cells that still have several.
-    labelled = own.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("cell")
+    labelled = staged(
+        own.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled"
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    mixed = (
+        labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("blocks").alias("blocks"))
+        .filter("low <> high").select("cell", every.alias("b"))
+    )
     dealt = (
-        labelled.join(mixed, "cell")
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumns({"b1": F.least("b", "other"), "b2": F.greatest("b", "other"), "label": F.col("label").bitwiseAND(F.lit((1 << 63) - 1))})
+        labelled.join(mixed, ["cell", "b"]).withColumn("other", every)
+        .withColumns({"b1": F.least("b", "other"), "b2": F.greatest("b", "other")})
+    )
+    open_nodes = staged(
+        by_cell(dealt, ["node", "n", "point", "label"], partnered, "cell long, b1 long, b2 long, node long, label long"), "open"
     )
-    second = search(dealt).join(links, ["src", "dst"], "left_anti")
-    labels = connected_components(links.unionByName(verified(second)))
+    later = connected_components(by_cell(open_nodes.join(texts, "node"), ["node", "raw", "label"], joined, "src long, dst long"))
 
     named = by_node.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = named.join(later.select(F.col("id").alias("label"), F.col("label").alias("last")), "label", "left")
+    named = staged(named.select("node", "doc", F.coalesce("last", "label").alias("label")), "named")
     ids = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    component = named.join(ids, "label").select("node", "component_id")
-    return known.select("doc", "n", "node").join(component, "node", "left").select(
+    component = staged(skew_join(named, ids, "label", "node").select("node", "component_id"), "components")
+    return skew_join(known.select("doc", "n", "node"), component, "node", "doc", "left").select(
         F.col("doc").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"),
