@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Distinct vectors are projected to a few axes fitted on a bounded sample, each time after
-another rotation and shift, and laid along a Hilbert curve.  Spark sorts each curve by range
-partitions; a vector's rank along the curve gives its block of `window` neighbours.  A query
-reads its own block and those on both sides, over all curves, and the candidates are reranked
-by the exact inner product in double precision.
-
-Equal vectors are one point with their least k + 1 ids, which is all that any answer can use,
-so a vector that a third of the rows repeat costs one point.
+another rotation and shift, and laid along a Hilbert curve.  Each curve is cut into windows of
+equal counts, by percentiles over all rows; Spark range-partitions the vectors by curve and
+window.  A query reads its own window and its neighbours on every curve, on 16-bit copies of
+the vectors; the merged candidates are reranked by the exact inner product in double precision
+on the vectors themselves, which are stored once.
+
+Windows are a fixed share of the rows (a twelfth), since on vectors without structure recall
+depends on the share that is read; README.md has the figures.  Equal vectors are one point
+with their least k + 1 ids, which is all that any answer can use, so a vector that a third of
+the rows repeat costs one point.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import skew_join, staged
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -74,9 +77,28 @@ def lift(x: np.ndarray, length: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(length**2 - (x * x).sum(axis=1), 0))])
 
 
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit copies of rows and the scale of each."""
+    scale = np.maximum(np.abs(x).max(axis=1), 1e-300) / 32767
+    return np.rint(x / scale[:, None]).astype("<i2"), scale
+
+
+def _best(ask: np.ndarray, have: np.ndarray, names: np.ndarray, most: int, tile: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ask the names and products of its `most` largest products with have."""
+    near, score = np.empty((len(ask), 0), np.int64), np.empty((len(ask), 0), np.float32)
+    for i in range(0, len(have), tile):
+        got = ask @ have[i : i + tile].T
+        near = np.concatenate([near, np.broadcast_to(names[i : i + tile], got.shape)], axis=1)
+        score = np.concatenate([score, got], axis=1)
+        if score.shape[1] > most:
+            top = np.argpartition(-score, most - 1, axis=1)[:, :most]
+            near, score = np.take_along_axis(near, top, 1), np.take_along_axis(score, top, 1)
+    return near, score
+
+
 def hilbert_search(
-    vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, curves: int = 24, axes: int = 6,
-    bits: int = 10, window: int = 1024, sample_rows: int = 4096, seed: int = 3,
+    vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, curves: int = 6, axes: int = 6,
+    bits: int = 10, windows: int = 12, least_window: int = 1024, spare: int = 11, chunk: int = 1 << 17, sample_rows: int = 4096, seed: int = 3,
 ) -> DataFrame:
     """The k largest inner products of each query row with all other rows, nearly.
 
@@ -84,105 +106,142 @@ def hilbert_search(
     1, ties to the smaller id, fewer rows where there are fewer candidates.  A vector that is
     null, zero, of another length than the first sampled ones or holds null or non-finite
     parts takes no part, nor does a null id; rows that repeat an id count once for each
-    different vector.  Empty: empty.  Only axes and bounds are fitted on the sample; every
-    row is indexed.
+    different vector.  Other columns are not read.  Empty: empty.
+
+    Only axes and bounds are fitted on sample_rows rows; every row is indexed.  A curve has
+    `windows` windows, fewer where they would hold under least_window vectors, and a query
+    reads three of them.  The k + 1 + spare best candidates by 16-bit copies are reranked.
+    A window is searched in chunks of about `chunk` vectors.
     """
     spark = vectors.sparkSession
-    vec = F.col(vec_col).cast("array<double>")
     usable = F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(usable & F.col("id").isNotNull())
-    rows = rows.withColumn("point", F.md5(F.concat_ws(",", F.transform("vec", lambda x: (x + 0.0).cast("string"))).cast("binary")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(usable & F.col("id").isNotNull())
+    rows = rows.withColumn("mark", F.unhex(F.md5(F.concat_ws(",", F.transform("vec", lambda x: (x.cast("double") + 0.0).cast("string"))).cast("binary"))))
     sample = rows.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
     answer = "query_id long, rank int, vec_id long, score double"
     if sample.empty:
         return spark.createDataFrame([], answer)
     width = int(sample["vec"].map(len).mode()[0])
-    fitted = np.stack([v for v in sample["vec"] if len(v) == width])
+    fitted = np.stack([v for v in sample["vec"] if len(v) == width]).astype(np.float64)
     length = float(np.linalg.norm(fitted, axis=1).max())
     made = fit_curves(fitted, curves, min(axes, width), seed)
     rows = rows.filter(F.size("vec") == width)
+    most = k + 1 + spare
 
-    least = rows.withColumn("n", F.row_number().over(W.partitionBy("point").orderBy("id"))).filter(F.col("n") <= k + 1)
+    least = rows.withColumn("n", F.row_number().over(W.partitionBy("mark").orderBy("id"))).filter(F.col("n") <= k + 1)
+    asking = rows.groupBy("mark").agg(F.max("asks").alias("asks"))
     points = staged(
-        least.groupBy("point").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids"))
-        .join(rows.filter("asks").select("point").distinct().withColumn("asks", F.lit(True)), "point", "left")
-        .withColumn("asks", F.coalesce("asks", F.lit(False))),
+        least.groupBy("mark").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids"))
+        .join(asking, "mark").withColumn("point", F.monotonically_increasing_id()),
         "points",
     )
 
+    def matrix(column) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+
+    def places(at: np.ndarray):
+        for p, low, span in made:
+            yield hilbert_keys(np.clip((at @ p - low) / span * (1 << bits), 0, (1 << bits) - 1).astype(np.int64), bits)
+
     def keys(batches):
-        """Each point where its lifted vector lies; a query once more, at the common length with lift 0."""
         for batch in batches:
-            n = batch.num_rows
-            x = batch.column(1).values.to_numpy().reshape(n, width) if n else np.empty((0, width))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in places(lift(matrix(batch.column(0)), length))], names=[f"c{i}" for i in range(curves)])
+
+    # Window bounds: curves * windows numbers, from percentiles over every row.
+    n = points.count()
+    share = max(1, min(windows, n // least_window))
+    cut = F.lit([i / share for i in range(1, share)] or [0.5])
+    laid = points.select("vec").mapInArrow(keys, ", ".join(f"c{i} long" for i in range(curves)))
+    found = laid.agg(*[F.percentile_approx(f"c{i}", cut, F.lit(20_000)).alias(f"c{i}") for i in range(curves)]).first()
+    bounds = [np.array(x if share > 1 else [], np.int64) for x in found]
+    chunks = -(-n // (share * chunk))
+
+    def dealt(batches):
+        """Each point in its window of each curve, and a query, at the common length with lift
+        0, in the three around its own, as (place, asks, point, scale, code)."""
+        for batch in batches:
+            x, points = matrix(batch.column(1)), batch.column(0).to_numpy()
             ask = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
-            scaled = x[ask] * (length / np.linalg.norm(x[ask], axis=1, keepdims=True))
-            at = np.concatenate([lift(x, length), np.column_stack([scaled, np.zeros(len(ask))])])
-            names = pa.concat_arrays([batch.column(0), batch.column(0).take(pa.array(ask))])
-            query = pa.array(np.arange(len(at)) >= n)
-            for c, (p, low, span) in enumerate(made):
-                cell = np.clip((at @ p - low) / span * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+            code, scale = coded(x)
+            lifted = lift(x, length)
+            flat = np.column_stack([x[ask] * (length / np.linalg.norm(x[ask], axis=1, keepdims=True)), np.zeros(len(ask))])
+            for c, (own, other) in enumerate(zip(places(lifted), places(flat), strict=True)):
+                window = np.searchsorted(bounds[c], own, side="right")
+                first = np.clip(np.searchsorted(bounds[c], other, side="right") - 1, 0, max(0, share - 3))
+                target = (first[:, None] + np.arange(min(3, share)))[:, :, None] * chunks + np.arange(chunks)
+                target = target.reshape(len(ask), -1)
+                at = np.concatenate([window * chunks + points % chunks, target.ravel()]) + c * share * chunks
+                row = np.concatenate([np.arange(len(x)), np.repeat(ask, target.shape[1])])
+                asks = np.arange(len(row)) >= len(x)
                 yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(np.full(len(at), c, np.int32)), pa.array(hilbert_keys(cell, bits)), query], names=["point", "curve", "key", "query"]
+                    [pa.array(at), pa.array(asks), pa.array(points[row]), pa.array(scale[row]), pa.array([code[i].tobytes() for i in row], pa.binary())],
+                    names=["place", "asks", "point", "scale", "code"],
                 )
 
-    def places(batches):
-        """The partition, and the points before each row in it; queries don't count."""
-        from pyspark import TaskContext
+    def search(batches):
+        """The best candidates of each query in each place; candidates come first, queries stream by."""
+        last, held = None, []
 
-        before, part = 0, TaskContext.get().partitionId() << 33
+        def loaded():
+            return np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+
+        have = names = None
         for batch in batches:
-            own = ~batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            at = before + np.cumsum(own) - own
-            before += int(own.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(part + at)], names=["point", "curve", "query", "place"])
-
-    laid = points.select("point", "vec", "asks").mapInArrow(keys, "point string, curve int, key long, query boolean")
-    laid = staged(
-        laid.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key", "query", "point").mapInArrow(places, "point string, curve int, query boolean, place long"),
-        "curves",
+            place, asks, points, scale = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<i2").reshape(-1, width).astype(np.float32)
+            x *= (scale[:, None] / length).astype(np.float32)
+            cuts = np.flatnonzero((place[1:] != place[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
+                if a == b:
+                    continue
+                if place[a] != last:
+                    last, held, have = place[a], [], None
+                if not asks[a]:
+                    held.append((x[a:b], points[a:b]))
+                elif held:
+                    if have is None:
+                        have, names = loaded()
+                        held = [(have, names)]
+                    for i in range(a, b, 256):
+                        near, score = _best(x[i : min(i + 256, b)], have, names, most)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(points[i : min(i + 256, b)]), pa.array(list(near), pa.list_(pa.int64())), pa.array(list(score), pa.list_(pa.float32()))],
+                            names=["query", "near", "score"],
+                        )
+
+    lists = (
+        points.select("point", "vec", "asks").mapInArrow(dealt, "place long, asks boolean, point long, scale double, code binary")
+        .repartitionByRange("place").sortWithinPartitions("place", "asks")
+        .mapInArrow(search, "query long, near array<long>, score array<float>")
     )
-    # Points in the partitions before each one: a row a partition and curve comes to the driver.
-    part = F.shiftright("place", 33).alias("part")
-    counts = laid.groupBy("curve", part).agg(F.count_if(~F.col("query")).alias("n"), F.min("place").alias("first")).orderBy("curve", "part").collect()
-    starts, total = [], {}
-    for r in counts:
-        starts.append((r["curve"], r["part"], total.get(r["curve"], 0) - r["first"]))
-        total[r["curve"]] = total.get(r["curve"], 0) + r["n"]
-    offsets = spark.createDataFrame(starts, "curve int, part long, offset long")
-    ranked = laid.withColumn("part", part).join(F.broadcast(offsets), ["curve", "part"])
-    ranked = ranked.select("point", "curve", "query", F.floor((F.col("place") + F.col("offset")) / window).alias("block"))
-    here = ranked.join(points.drop("asks"), "point").select("point", "curve", "block", "vec", F.col("query").alias("asks"), F.col("ids")[0].alias("least"))
-    asked = here.filter("asks").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    both = here.filter("NOT asks").unionByName(asked)
-
-    def nearest(group: pa.Table) -> pa.Table:
-        ask = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        names, ids = group.column("point").to_numpy(zero_copy_only=False), group.column("least").to_numpy()
-        x = group.column("vec").combine_chunks().values.to_numpy().reshape(len(ask), width)
-        found, near, score = [], [], []
-        for part in np.array_split(np.flatnonzero(ask), max(1, int(ask.sum()) // 256)):
-            if len(part) and not ask.all():
-                # einsum adds in one order for all pairs, so equal vectors tie exactly.
-                s = np.einsum("qd,nd->qn", x[part], x[~ask])
-                for q, own in zip(part, s, strict=True):
-                    edge = -np.partition(-own, min(k, len(own) - 1))[min(k, len(own) - 1)]
-                    top = np.flatnonzero(own >= edge)
-                    top = top[np.lexsort((ids[~ask][top], -own[top]))][: k + 1]
-                    found += [names[q]] * len(top)
-                    near += names[~ask][top].tolist()
-                    score += own[top].tolist()
-        return pa.table([pa.array(found, pa.string()), pa.array(near, pa.string()), pa.array(score, pa.float64())], names=["point", "near", "score"])
-
-    hits = both.groupBy("curve", "block").applyInArrow(nearest, "point string, near string, score double")
-    hits = hits.groupBy("point", "near").agg(F.max("score").alias("score"))
-    nears = points.select(F.col("point").alias("near"), "ids")
-    listed = hits.join(nears, "near").select("point", "score", F.explode("ids").alias("vec_id"))
-    best = W.partitionBy("point").orderBy(F.desc("score"), "vec_id")
-    listed = listed.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
-    lists = listed.groupBy("point").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("list"))
-    asks = rows.filter("asks").select(F.col("id").alias("query_id"), "point").distinct()
+
+    def merged(group: pa.Table) -> pa.Table:
+        """The best of one query's candidates over all its windows."""
+        near = group.column("near").combine_chunks().flatten().to_numpy()
+        score = group.column("score").combine_chunks().flatten().to_numpy()
+        order = np.lexsort((near, -score))
+        _, first = np.unique(near[order], return_index=True)
+        near = near[order][np.sort(first)[:most]]
+        return pa.table([pa.array(np.full(len(near), group.column("query")[0].as_py())), pa.array(near)], names=["query", "point"])
+
+    pairs = lists.groupBy("query").applyInArrow(merged, "query long, point long")
+    near = pairs.join(points.select("point", "vec", "ids"), "point").select("query", "vec", "ids", F.lit(None).cast("binary").alias("mark"))
+    own = points.filter("asks").select(F.col("point").alias("query"), "vec", F.lit(None).cast("array<long>").alias("ids"), "mark")
+
+    def rerank(group: pa.Table) -> pa.Table:
+        """The k + 1 best (vec_id, score) of one query by the exact product."""
+        mine = np.flatnonzero(group.column("mark").is_valid().to_numpy(zero_copy_only=False))[0]
+        x = matrix(group.column("vec"))
+        # einsum adds in one order for all rows, so equal vectors tie exactly.
+        score = np.einsum("d,nd->n", x[mine], x)
+        hits = sorted((-s, i) for s, ids in zip(score.tolist(), group.column("ids").to_pylist(), strict=True) for i in ids or ())[: k + 1]
+        hit = pa.array([[{"vec_id": i, "score": -s} for s, i in hits]], pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))
+        return pa.table([pa.array([group.column("mark")[int(mine)].as_py()], pa.binary()), hit], names=["mark", "list"])
+
+    best = near.unionByName(own).groupBy("query").applyInArrow(rerank, "mark binary, list array<struct<vec_id:bigint,score:double>>")
+    asks = rows.filter("asks").select(F.col("id").alias("query_id"), "mark").distinct()
     others = F.slice(F.filter("list", lambda h: h["vec_id"] != F.col("query_id")), 1, k)
-    return asks.join(lists, "point").select("query_id", F.posexplode(others).alias("at", "hit")).select(
+    return skew_join(asks, best, "mark", "query_id").select("query_id", F.posexplode(others).alias("at", "hit")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")
     )

@@ -117,7 +117,7 @@ def test_search_finds_all_ties(spark):
     rows = [(i, [float(x) for x in (rng.normal(size=8) if i % 3 else np.ones(8))]) for i in range(300)]
     rows += [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = hilbert_search(df, F.col("vec_id") % 20 == 0, window=64).collect()
+    got = hilbert_search(df, F.col("vec_id") % 20 == 0, least_window=64).collect()
     found = total = 0
     for q in range(0, 300, 20):
         order = sorted((-float(np.einsum("d,d->", np.array(rows[q][1]), np.array(v))), i) for i, v in rows[:300] if i != q)[:20]
