@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.staging import written
@@ -32,3 +33,72 @@ def trace_lineage(orders: DataFrame, relations: DataFrame) -> DataFrame:
     rows = orders.select("go_id").join(done, "go_id", "left").join(linked, "go_id", "left")
     alone = F.col("_linked").isNull() & F.col("_ok").isNull()
     return rows.select("go_id", F.when(alone, F.col("go_id")).otherwise(F.col("root")).alias("root"), F.when(alone, 0).otherwise(F.col("depth")).cast("long").alias("depth"))
+
+
+def newer_same_topic(orders: DataFrame, superseded: DataFrame | None = None) -> DataFrame:
+    """For each order the first (by seq) later order of its department that shares two words of its subject.
+
+    orders: go_id, department (null is a department), go_date, subject, seq.  Words count if
+    longer than four characters.  Orders in `superseded` (go_id) ask for none, but may be the
+    later one.  Each pair of an order's words is a key; along a key's orders from the latest
+    to the earliest the least seq so far is the answer, so orders are never paired up.
+    """
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("subject", F.lit(""))), r"\s+"), lambda w: F.length(w) > 4)))
+    pair = F.flatten(F.transform(F.col("_w"), lambda a, i: F.transform(F.slice("_w", i + 2, F.size("_w")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    rows = orders.filter("go_date IS NOT NULL").withColumn("_w", words).filter(F.size("_w") > 1)
+    keyed = rows.select("go_id", "department", "seq", (-F.unix_date("go_date")).alias("age"), F.explode(pair).alias("pair"))
+    later = W.partitionBy("department", "pair").orderBy("age").rangeBetween(W.unboundedPreceding, -1)
+    first = keyed.withColumn("hit", F.min(F.struct("seq", "go_id")).over(later)).filter("hit IS NOT NULL").groupBy("go_id").agg(F.min("hit").alias("hit"))
+    out = first.select("go_id", F.col("hit.go_id").alias("superseded_by"))
+    return out if superseded is None else out.join(superseded.select("go_id"), "go_id", "left_anti")
+
+
+def detect_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes of (src, dst) that can reach themselves, with the greatest node of their cycle group.
+
+    Nodes without a way in or out are trimmed until none is left.  Then every node takes the
+    greatest node that reaches it as its colour; the nodes of a colour that reach its own
+    node are one group, which is a cycle if it has an edge inside; they leave, and the rest is
+    trimmed and coloured anew.  Rounds are written to the shared folder.
+    """
+    live = written(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "cycles")
+    found = []
+    while True:
+        before = live.count()
+        while before:
+            live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            live = written(live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"), "cycles")
+            after = live.count()
+            if after == before:
+                break
+            before = after
+        if not before:
+            break
+        colour = written(live.select(F.col("dst").alias("node")).distinct().withColumn("colour", F.col("node")), "colours")
+        moved = 1
+        while moved:
+            heard = live.join(colour, live["src"] == colour["node"]).groupBy("dst").agg(F.max("colour").alias("heard"))
+            step = colour.join(heard, colour["node"] == heard["dst"], "left").select("node", F.greatest("colour", "heard").alias("new"), "colour")
+            colour = written(step, "colours")
+            moved = colour.filter("new <> colour").limit(1).count()
+            colour = colour.select("node", F.col("new").alias("colour"))
+        ends = [colour.select(F.col("node").alias(e), F.col("colour").alias(f"c_{e}")) for e in ("src", "dst")]
+        inside = written(live.join(ends[0], "src").join(ends[1], "dst").filter("c_src = c_dst").select("src", "dst", F.col("c_src").alias("colour")), "inside")
+        group = written(colour.filter("node = colour"), "groups")
+        grown = 1
+        while grown:
+            more = inside.join(group.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct().join(group, "node", "left_anti")
+            more = written(more, "groups")
+            grown = more.limit(1).count()
+            group = group.unionByName(more)
+        group = written(group, "groups")
+        looped = inside.join(group.select(F.col("node").alias("src")), "src", "left_semi").join(group.select(F.col("node").alias("dst")), "dst", "left_semi")
+        found.append(group.join(looped.select("colour").distinct(), "colour", "left_semi").select("node", F.col("colour").alias("cycle_group")))
+        gone = group.select(F.col("node").alias("src"))
+        live = written(live.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti"), "cycles")
+    if not found:
+        return edges.limit(0).select(F.col("src").alias("node"), F.col("dst").alias("cycle_group"))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out

@@ -30,9 +30,14 @@ def allowed_types(relations: DataFrame) -> DataFrame:
 
 
 def drop_self_refs(relations: DataFrame) -> DataFrame:
-    """Without relations to the source itself or to a number that its id holds."""
-    number = F.regexp_extract("target_id", "[0-9]+", 0)
-    return relations.filter((F.col("source_id") != F.col("target_id")) & ~F.col("source_id").contains(number))
+    """Without relations to the source itself or to a number that its id holds.
+
+    A target without digits, such as a case name, has no number to compare; relations with a
+    null id on either side stay.
+    """
+    number = F.nullif(F.regexp_extract("target_id", "[0-9]+", 0), F.lit(""))
+    own = (F.col("source_id") == F.col("target_id")) | F.col("source_id").contains(number)
+    return relations.filter(~F.coalesce(own, F.lit(False)))
 
 
 def precedence(relations: DataFrame) -> DataFrame:

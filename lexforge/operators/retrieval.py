@@ -149,3 +149,24 @@ def latency_stats(traces: DataFrame, percent: float = 0.95) -> DataFrame:
     place = F.floor(F.col("n") * percent)
     at = F.col("pipeline_used").eqNullSafe(F.col("_by")) & (F.col("before") <= place) & (place < F.col("before") + F.col("_m"))
     return totals.join(steps, at, "left").select(F.col("_by").alias("pipeline_used"), "n", "avg_ms", "min_ms", "max_ms", F.col("latency_ms").alias("p95_ms"))
+
+
+#: Weights of the overall score; the hallucination rate counts as one minus itself.
+SCORE_WEIGHTS = {"citation_accuracy": 0.3, "authority_correctness": 0.25, "temporal_correctness": 0.15, "hallucination_rate": 0.2, "risk_detection": 0.1}
+
+
+def overall_score(citations: DataFrame, authority: DataFrame, dates: DataFrame, claims: DataFrame, risks: DataFrame) -> DataFrame:
+    """One row: each metric over all queries (sums of counts, not means of rates) and their weighted score.
+
+    The frames are those of citation_accuracy, match_rate (twice), claim support (n_claims,
+    n_supported) and risk_detection.  A metric without anything to count is 0.
+    """
+    part = lambda df, good, total, name: df.agg(F.round(F.coalesce(F.sum(good) / F.nullif(F.sum(total), F.lit(0)), F.lit(0.0)), 9).alias(name))
+    rows = (
+        part(citations, "correct", "total", "citation_accuracy").join(part(authority, "correct", "total", "authority_correctness"))
+        .join(part(dates, "correct", "total", "temporal_correctness"))
+        .join(claims.agg(F.round(F.coalesce(1 - F.sum("n_supported") / F.nullif(F.sum("n_claims"), F.lit(0)), F.lit(0.0)), 9).alias("hallucination_rate")))
+        .join(risks.agg(F.round(F.coalesce(F.max("accuracy"), F.lit(0.0)), 9).alias("risk_detection")))
+    )
+    score = sum(w * ((1 - F.col(n)) if n == "hallucination_rate" else F.col(n)) for n, w in SCORE_WEIGHTS.items())
+    return rows.withColumn("overall_score", F.round(score, 6))

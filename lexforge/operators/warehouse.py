@@ -24,8 +24,12 @@ def clauses_to_chunks(clauses: DataFrame, present: DataFrame) -> DataFrame:
     return rows.join(present.select("chunk_id"), "chunk_id", "left_anti")
 
 
-def relations_to_judgments(relations: DataFrame, docs: DataFrame) -> DataFrame:
-    """Relations between two judgments, with the types of judgment relations, once each."""
+def relations_to_judgments(relations: DataFrame, docs: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """Relations between two judgments, with the types of judgment relations, once each.
+
+    Those that `present` (from_doc_id, to_doc_id, relation_type) holds are left out, so a
+    second run adds none.
+    """
     kind = None
     for k, v in JUDGMENT_TYPES.items():
         kind = F.when(F.col("relation_type") == k, v) if kind is None else kind.when(F.col("relation_type") == k, v)
@@ -33,11 +37,15 @@ def relations_to_judgments(relations: DataFrame, docs: DataFrame) -> DataFrame:
     ends = relations.select(F.col("source_id").alias("from_doc_id"), F.col("target_id").alias("to_doc_id"), kind.alias("relation_type"))
     for end in ("from_doc_id", "to_doc_id"):
         ends = ends.join(judgments.withColumnRenamed("document_id", end), end, "left_semi")
-    return ends.filter("relation_type IS NOT NULL").distinct()
+    rows = ends.filter("relation_type IS NOT NULL").distinct()
+    key = ["from_doc_id", "to_doc_id", "relation_type"]
+    return rows if present is None else rows.join(present.select(key), key, "left_anti")
 
 
-def threads_to_domains(threads: DataFrame) -> DataFrame:
-    """Primary and other domains of each document that has a primary one."""
+def threads_to_domains(threads: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """Primary and other domains of each document that has a primary one; documents in `present` are left out."""
+    if present is not None:
+        threads = threads.join(present.select(F.col("document_id").alias("go_id")), "go_id", "left_anti")
     return threads.groupBy(F.col("go_id").alias("document_id")).agg(
         F.max(F.when(F.col("role") == "primary", F.col("thread_id"))).alias("primary_domain"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") != "primary", F.col("thread_id")))), ",").alias("secondary_domains"),
@@ -61,11 +69,11 @@ def delete_by_patterns(table: DataFrame, id_col: str, patterns: list[str]) -> Da
 
 
 def validate_vectors(vectors: DataFrame, vec_col: str, dimension: int) -> DataFrame:
-    """Adds reason: null for a good vector, else the first rule that it breaks."""
+    """Adds reason: null for a good vector, else the first rule that it breaks.  A null part is not finite."""
     v = F.col(vec_col).cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     reason = (
-        F.when(v.isNull() | (F.size(v) != dimension), "dimension").when(F.forall(v, lambda x: x == 0), "all_zero")
+        F.when(v.isNull() | (F.size(v) != dimension), "dimension").when(F.exists(v, lambda x: x.isNull()), "not_finite").when(F.forall(v, lambda x: x == 0), "all_zero")
         .when(F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), "not_finite").when(norm < 0.01, "norm_small").when(norm > 100, "norm_large")
     )
     return vectors.withColumn("reason", reason)

@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("customer", "orders", "lineitem", "events", "documents", "embeddings", "labels", "conversations")
+TABLES = ("customer", "orders", "lineitem", "part", "events", "documents", "embeddings", "labels", "conversations")
 
 VIEWS = {
     "go_master": """
@@ -77,6 +77,60 @@ FROM go_master""",
 SELECT query_id, CASE a WHEN 0 THEN 'none' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' WHEN 4 THEN 'critical' END AS expected,
        CASE b WHEN 0 THEN 'none' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'odd' END AS actual
 FROM (SELECT doc_id AS query_id, doc_id % 6 AS a, (doc_id + length(text)) % 5 AS b FROM documents) x""",
+    "papers": """
+SELECT doc_id AS k, 'd' || CAST(doc_id AS STRING) AS document_id, 'Paper ' || CAST(doc_id AS STRING) AS title,
+       CASE doc_id % 5 WHEN 0 THEN 'go' WHEN 1 THEN 'judgment' WHEN 2 THEN 'regulation' WHEN 3 THEN 'policy' ELSE 'report' END AS doc_type,
+       CASE WHEN doc_id % 6 = 0 THEN 'superseded' ELSE 'active' END AS status,
+       CAST(CAST(2000 + doc_id % 20 AS STRING) || '-' || lpad(CAST(1 + doc_id % 12 AS STRING), 2, '0') || '-15' AS DATE) AS doc_date,
+       CASE doc_id % 4 WHEN 0 THEN 'education' WHEN 1 THEN 'judicial' WHEN 2 THEN 'constitution' ELSE 'finance' END AS primary_domain,
+       CASE WHEN doc_id % 3 = 0 THEN 'AP' ELSE 'central' END AS jurisdiction,
+       CASE doc_id % 3 WHEN 0 THEN 'Supreme Court' WHEN 1 THEN 'hc' ELSE 'Tribunal' END AS court,
+       CASE doc_id % 4 WHEN 0 THEN 'binding' WHEN 1 THEN 'persuasive' WHEN 2 THEN 'non_binding' END AS binding_strength, text
+FROM documents WHERE text IS NOT NULL""",
+    "chunks": """
+SELECT document_id || '_0' AS chunk_id, document_id, substr(text, 1, 600) AS text FROM papers
+UNION ALL
+SELECT document_id || '_1', document_id, substr(text, 601, 600) FROM papers WHERE length(text) > 600""",
+    "asks": """
+SELECT k AS query_id, substr(text, 1, 80) AS text, split(CASE k % 3 WHEN 0 THEN 'education,judicial' WHEN 1 THEN 'constitution' ELSE 'finance,education,labor' END, ',') AS domains,
+       CASE WHEN k % 75 = 0 THEN DATE '2008-01-01' END AS since_date, CASE WHEN k % 50 = 0 THEN 'AP' END AS jurisdiction,
+       'P' || CAST(k % 6 AS STRING) AS pipeline, split(CASE k % 3 WHEN 0 THEN 'go,judicial,go' WHEN 1 THEN 'unknown' ELSE 'data,legal' END, ',') AS verticals
+FROM papers WHERE k % 25 = 0""",
+    "vectors": """
+SELECT 'd' || CAST(vec_id AS STRING) || '_0' AS chunk_id, 'd' || CAST(vec_id AS STRING) AS document_id, embedding AS vector FROM embeddings""",
+    "overrulings": """
+SELECT 'd' || CAST(doc_id AS STRING) AS source_id, 'd' || CAST(doc_id + 7 AS STRING) AS target_id, CASE WHEN doc_id % 9 = 0 THEN 'overrules' ELSE 'references' END AS relation_type
+FROM documents""",
+    "filings": """
+SELECT doc_id AS k, 'AP_GO_' || CAST(doc_id AS STRING) AS document_id, CASE doc_id % 5 WHEN 0 THEN 'go' WHEN 1 THEN 'judicial' WHEN 2 THEN 'legal' WHEN 3 THEN 'scheme' ELSE 'data' END AS vertical,
+       CASE doc_id % 7 WHEN 0 THEN 'go_order_memo.pdf' WHEN 1 THEN 'High Court judgment.pdf' WHEN 2 THEN 'budget-report.pdf' ELSE 'file.txt' END AS file_name,
+       CASE doc_id % 5 WHEN 0 THEN 'GOVERNMENT OF ANDHRA PRADESH' || chr(10) || 'G.O.Ms.No. ' || CAST(doc_id % 97 + 1 AS STRING) || ' Dated: 12-05-' || CAST(2000 + doc_id % 20 AS STRING) || '' || chr(10) || 'Department of School Education, Amaravati' || chr(10) || 'Read: G.O.Ms.No. 7 and G.O.Rt.No. 15' || chr(10) || 'ORDERS:' || chr(10) || '1. In supersession of G.O.Ms.No. ' || CAST(doc_id % 50 AS STRING) || ' this order supersedes the earlier orders issued subject to audit. (a) teachers may apply under 12; (b) schools must comply, (ii) none' || chr(10) || '2. This order partially amends 24 and amends Rule 5 vide G.O.Ms.No. 77. Provided that the fee is paid. Subject to review it holds' || chr(10) || '3) G.O.Ms.No. 31 is hereby cancelled and 44 are hereby rescinded. It comes into force with effect from 01-06-2019 and 8 B' || chr(10) || '4(a) ' || substr(replace(replace(text, chr(10), ' '), chr(13), ' '), 1, 300) || '' || chr(10) || '(5) The department amends G.O.MS.No.' || CAST(doc_id % 50 AS STRING) || ' para 4 and clarifies G.O.MS.No.9. Copy to all as per 66' || chr(10) || 'ANNEXURE I' || chr(10) || 'a | b | c' || chr(10) || 'ANNEXURE-II' || chr(10) || 'plain words'
+            WHEN 1 THEN 'IN THE HIGH COURT OF ANDHRA PRADESH' || chr(10) || 'Writ Petition No. ' || CAST(doc_id % 97 + 1 AS STRING) || ' of ' || CAST(2000 + doc_id % 20 AS STRING) || '' || chr(10) || 'Sharma versus State of Andhra Pradesh' || chr(10) || 'Decided on 03-04-' || CAST(2000 + doc_id % 20 AS STRING) || ' before Justice A. Rao and Justice B. Das' || chr(10) || 'HEADNOTE' || chr(10) || '1. ' || substr(replace(replace(text, chr(10), ' '), chr(13), ' '), 1, 300) || '' || chr(10) || 'FACTS OF THE CASE' || chr(10) || 'The case began under 44. This court overrules the decision in Mehta v. Rao today.' || chr(10) || 'ISSUES' || chr(10) || 'Whether the rule stands.' || chr(10) || 'ARGUMENTS' || chr(10) || 'Counsel spoke. The judgment in Gupta v. Sen was overruled later.' || chr(10) || 'RATIO DECIDENDI' || chr(10) || 'The right holds.' || chr(10) || 'JUDGMENT' || chr(10) || 'The writ petition is allowed. No costs.'
+            WHEN 2 THEN 'THE ANDHRA PRADESH EDUCATION ACT, ' || CAST(2000 + doc_id % 20 AS STRING) || '' || chr(10) || 'ACT No. ' || CAST(doc_id % 97 + 1 AS STRING) || ' of ' || CAST(2000 + doc_id % 20 AS STRING) || '' || chr(10) || 'PART I — PRELIMINARY' || chr(10) || 'CHAPTER I — GENERAL' || chr(10) || 'Section 1. Short title — This Act may be called the Education Act. (a) one (b) two' || chr(10) || 'Section 2. Definitions — In this Act unless the context requires otherwise, as per 19.' || chr(10) || 'CHAPTER II — SCHOOLS' || chr(10) || 'Section ' || CAST(doc_id % 50 AS STRING) || '. Schools — ' || substr(replace(replace(text, chr(10), ' '), chr(13), ' '), 1, 300) || '' || chr(10) || 'Rule 4. Fees — The fee shall be paid; supersedes 9.' || chr(10) || 'SCHEDULE I' || chr(10) || 'list'
+            WHEN 3 THEN 'AMMA VODI SCHEME' || chr(10) || 'Overview: ' || substr(replace(replace(text, chr(10), ' '), chr(13), ' '), 1, 300) || '' || chr(10) || 'Objectives: to help' || chr(10) || 'Eligibility: the following' || chr(10) || '- income below limit' || chr(10) || '- enrolled in school' || chr(10) || 'Benefits: the following' || chr(10) || '* Rs. 15,000 a year' || chr(10) || 'How to apply: at the office' || chr(10) || 'Implementation: by departments, cancels ' || CAST(doc_id % 97 + 1 AS STRING) || ''
+            ELSE 'ANNUAL REPORT ' || CAST(2000 + doc_id % 20 AS STRING) || '' || chr(10) || 'Budget Estimates for the financial year ' || CAST(2000 + doc_id % 20 AS STRING) || '-' || CAST(2000 + doc_id % 20 AS STRING) || '' || chr(10) || 'Department of Finance, Amaravati' || chr(10) || 'Table 1: Enrolment' || chr(10) || 'School | Boys | Girls' || chr(10) || 'A | 10 | 12' || chr(10) || 'B | 9 | 11' || chr(10) || '' || substr(replace(replace(text, chr(10), ' '), chr(13), ' '), 1, 300) || '' || chr(10) || 'Figure 2: Growth' END AS text
+FROM documents WHERE text IS NOT NULL""",
+    "named_relations": """
+SELECT 'go_' || CAST(doc_id AS STRING) AS source_id, CASE doc_id % 4 WHEN 0 THEN 'case of Mehta v. Rao' WHEN 1 THEN 'go_' || CAST(doc_id + 1 AS STRING) WHEN 2 THEN 'order ' || CAST(doc_id % 100 AS STRING) END AS target_id,
+       CASE doc_id % 3 WHEN 0 THEN 'overrules' ELSE 'references' END AS relation_type FROM documents""",
+    "topics": """
+SELECT go_id, CASE WHEN k % 17 = 0 THEN NULL ELSE department END AS department, go_date, k AS seq,
+       'policy' || CAST(k % 400 AS STRING) || ' of grants' || CAST(k % 250 AS STRING) || ' and school' || CAST(k % 40 AS STRING) AS subject FROM go_master""",
+    "rings": """
+SELECT DISTINCT k AS src, k - k % 20 + (k * 7 + 3) % 20 AS dst FROM go_master WHERE k % 3 <> 0
+UNION
+SELECT k, k - k % 20 + (k + 1) % 20 FROM go_master WHERE k % 11 = 0""",
+    "books": """
+SELECT CASE WHEN p_partkey % 2 = 0 THEN 'section' ELSE 'rule' END AS ref_type, CAST(p_partkey % 700 AS STRING) AS number, CAST(NULL AS STRING) AS year, 'part_' || CAST(p_partkey AS STRING) AS canonical_id,
+       CASE p_partkey % 4 WHEN 0 THEN 'RTE Rules' WHEN 1 THEN 'Right to Education Act' WHEN 2 THEN 'School Code' ELSE 'RTE Education Act' END AS source_document, p_partkey AS seq FROM part
+UNION ALL
+SELECT 'go', go_number, year, canonical_id, 'order', CAST(row_number() OVER (ORDER BY go_number, year) + 1000000 AS BIGINT) FROM
+(SELECT go_number, CAST(year(go_date) AS STRING) AS year, min(go_id) AS canonical_id FROM go_master WHERE k % 11 <> 0 GROUP BY 1, 2) x""",
+    "mentions": """
+SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rel_id,
+       CASE l_linenumber WHEN 1 THEN 'Section ' || CAST(l_partkey % 800 AS STRING) || '(2)' WHEN 2 THEN 'Rule ' || CAST(l_partkey % 800 AS STRING) WHEN 3 THEN 'G.O.Ms.No. ' || CAST(l_orderkey % 4500 AS STRING) WHEN 4 THEN 'the order' ELSE 'G.O. ' END AS raw_text,
+       CASE WHEN l_linenumber = 4 THEN NULL WHEN l_linenumber > 4 THEN CAST(l_orderkey % 4000 AS STRING) END AS go_number, CASE WHEN l_linenumber = 6 THEN CAST(year(l_shipdate) AS STRING) END AS year,
+       CAST(0.5 + 5 * l_discount AS DOUBLE) AS confidence, CASE l_suppkey % 3 WHEN 0 THEN 'under the RTE norms' WHEN 1 THEN 'as the Right to Education Act says' END AS context FROM lineitem""",
 }
 
 

@@ -13,6 +13,8 @@ from .operators import relations as r
 from .operators import retrieval as t
 from .operators import warehouse as w
 from .plans.fixtures import view, with_sql
+from .registered import relations as linked
+from .registered import search
 from .sources.staging import new_folder
 from .streaming.ingest import ingest, not_yet_ingested
 
@@ -373,3 +375,7 @@ WITH b AS (SELECT x.expected, y.actual FROM risks x LEFT JOIN risks y USING (que
 SELECT count(*) AS total_queries, count(*) FILTER (expected = actual) AS correct, count(*) FILTER (expected IS DISTINCT FROM actual) AS incorrect,
 count(*) FILTER (expected = 'none' AND actual IN ('low', 'medium', 'high', 'critical')) AS false_positives, count(*) FILTER (expected IN ('low', 'medium', 'high', 'critical') AND actual = 'none') AS false_negatives,
 round(coalesce(count(*) FILTER (expected = actual) / nullif(count(*), 0), 0), 9) AS accuracy FROM b""")
+
+for _family in (search, linked):
+    QUERIES.update(_family.register.queries)
+    ORACLE_SQL.update(_family.register.sql)
