@@ -131,6 +131,19 @@ SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppke
        CASE l_linenumber WHEN 1 THEN 'Section ' || CAST(l_partkey % 800 AS STRING) || '(2)' WHEN 2 THEN 'Rule ' || CAST(l_partkey % 800 AS STRING) WHEN 3 THEN 'G.O.Ms.No. ' || CAST(l_orderkey % 4500 AS STRING) WHEN 4 THEN 'the order' ELSE 'G.O. ' END AS raw_text,
        CASE WHEN l_linenumber = 4 THEN NULL WHEN l_linenumber > 4 THEN CAST(l_orderkey % 4000 AS STRING) END AS go_number, CASE WHEN l_linenumber = 6 THEN CAST(year(l_shipdate) AS STRING) END AS year,
        CAST(0.5 + 5 * l_discount AS DOUBLE) AS confidence, CASE l_suppkey % 3 WHEN 0 THEN 'under the RTE norms' WHEN 1 THEN 'as the Right to Education Act says' END AS context FROM lineitem""",
+    "intake": """
+SELECT k, document_id AS doc_id, 'file:/' || document_id || '.pdf' AS file_path, CASE k % 5 WHEN 0 THEN 'go' WHEN 1 THEN 'judicial' WHEN 2 THEN 'legal' WHEN 3 THEN 'scheme' ELSE 'data' END AS vertical,
+       CASE WHEN k % 7 <> 0 THEN CAST(k % 100 AS STRING) END AS go_number, CASE k % 6 WHEN 0 THEN '5-6-2019' WHEN 1 THEN '2018-03-04' WHEN 2 THEN '01.02.2017' WHEN 3 THEN '9/10/2016' WHEN 4 THEN '02-2025' ELSE 'soon' END AS go_date,
+       CASE WHEN k % 4 = 0 THEN 'normative' END AS go_archetype, split(CASE k % 3 WHEN 0 THEN 'Fee (State)/Aid,Transfer' WHEN 1 THEN 'Leave Rules' ELSE '' END, ',') AS policy_domains,
+       split(CASE WHEN k % 2 = 0 THEN 'School Education,Finance' ELSE '' END, ',') AS departments, split(CASE WHEN k % 3 = 0 THEN 'Joint Secretary' ELSE '' END, ',') AS authorities,
+       split(CASE WHEN k % 4 = 1 THEN 'Education Act|1982,Fee Act|' ELSE '' END, ',') AS acts, split(CASE WHEN k % 4 = 2 THEN 'teachers,students' ELSE '' END, ',') AS beneficiary_types, split(CASE WHEN k % 8 = 2 THEN 'Board' ELSE '' END, ',') AS beneficiary_orgs,
+       split('all,some', ',') AS beneficiaries, split(CASE WHEN k % 5 = 0 THEN 'Guntur,Krishna' ELSE '' END, ',') AS districts, split(CASE WHEN k % 10 = 0 THEN 'M1' ELSE '' END, ',') AS mandals, split('', ',') AS villages,
+       split(CASE WHEN k % 6 = 1 THEN '10 lakhs,2 crores' ELSE '' END, ',') AS amounts, split(CASE WHEN k % 12 = 1 THEN '2202' ELSE '' END, ',') AS budget_heads, split('2019-05-06|issue_date,2019-06-01|effective_from', ',') AS dates
+FROM papers""",
+    "canonical": """
+SELECT k, CASE k % 3 WHEN 0 THEN 'go' WHEN 1 THEN 'judgment' ELSE 'regulation' END AS doc_type, CASE WHEN k % 17 <> 0 THEN 'No. ' || CAST(k AS STRING) || '/A' END AS number,
+       CASE k % 5 WHEN 0 THEN '5-6-2019' WHEN 1 THEN '2018-03-04' WHEN 2 THEN '2017' WHEN 3 THEN '2016-10' ELSE 'never' END AS dated, CASE k % 4 WHEN 0 THEN 'Supreme Court of India' WHEN 1 THEN 'High Court of AP' WHEN 2 THEN 'Lok Adalat Bench' ELSE 'U.G.C.' END AS authority,
+       CASE WHEN k % 11 <> 0 THEN 'W.P.' END AS case_type, CAST(CASE WHEN k % 13 = 0 THEN 1800 ELSE 2010 END AS INT) AS case_year, CASE WHEN k % 2 = 0 THEN 'fee policy' END AS shortcode FROM papers""",
 }
 
 
