@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 #: Confidence of a resolved section or rule, alone and of several, and of fuzzy matches times their ratio.
@@ -76,7 +77,7 @@ def resolve_parts(references: DataFrame, registry: DataFrame, kind: str) -> Data
     )
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of two texts that matching blocks cover, 2 * matched / all."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])

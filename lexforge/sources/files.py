@@ -25,11 +25,14 @@ def document_id(path: Column) -> Column:
 def corpus_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("txt",), most: int | None = None) -> DataFrame:
     """One row a file below a folder or prefix: doc_id, path, bytes and whole text.
 
-    Only files of the extensions; `most`, a parameter of the reader, keeps the first paths.
+    Only files of the extensions; empty files give no row; `most`, a parameter of the reader,
+    keeps the first paths.
     """
     pattern = "*.{" + ",".join(extensions) + "}" if len(extensions) > 1 else f"*.{extensions[0]}"
     rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    rows = rows.select(document_id(F.col("_metadata.file_path")).alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("text"))
+    # Spark gives paths as URLs.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rows = rows.select(document_id(path).alias("doc_id"), path.alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("text"))
     return rows if most is None else rows.orderBy("path").limit(most)
 
 
