@@ -20,7 +20,8 @@ cells with more than one label, and only between labels: it first finds the node
 bound leaves with a possible partner, then reads the texts of these alone, verifies leaf
 against leaf inside the cell and joins labels as links are found.  So no pass puts out more
 rows than its cells have members, and no link between different components is lost.  Cells
-over `block` nodes (fewer for long texts, by bytes) are dealt out as pairs of blocks.
+over `block` nodes are dealt out as blocks in the first pass, and over `wide` nodes (fewer for
+long texts, by bytes) as pairs of blocks in the second.
 
 A document stands in d + 1 cells a band, so the largest cell holds at most about 1 / (d + 1)
 of the rows dealt by cell; these rows are two integers.
@@ -37,7 +38,7 @@ from .common import connected_components, mix, ngram_hashes, short_batches, skew
 
 LEAF = 32
 _RATIO = 0.85
-_BLOCK_BYTES = 32 << 20
+_BLOCK_BYTES = 64 << 20
 
 
 def shingle_set(raw: bytes, words: int) -> np.ndarray:
@@ -240,7 +241,7 @@ def different_cells(routed: DataFrame) -> DataFrame:
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90, block: int = 2048
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90, block: int = 2048, wide: int = 16384
 ) -> DataFrame:
     """Components of documents linked by 100 * |A & B| >= percent * |A | B|.
 
@@ -283,9 +284,10 @@ def ngram_jaccard_join(
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "cells"])
 
     known = staged(docs.mapInArrow(features, "doc long, n long, node long, point binary"), "shingles")
-    # A node once in a cell, however many rows hold it; one exchange for all that follows by cell.
+    # A node once in a cell, however many rows hold it; one exchange for all that follows by cell
+    # (its null filter is the one that the join below adds, so that both its sides share it).
     routed = docs.filter("doc IS NOT NULL").mapInArrow(cells_of, "node long, cells array<long>")
-    routed = routed.select("node", F.explode("cells").alias("cell")).repartition("cell").distinct()
+    routed = routed.select("node", F.explode("cells").alias("cell")).filter("cell IS NOT NULL").repartition("cell").distinct()
 
     # Cells with two nodes at least; one of those with the same members.
     members = staged(routed.join(different_cells(routed), "cell").select("cell", "hub", "m", "node"), "cells")
@@ -293,16 +295,16 @@ def ngram_jaccard_join(
         known.filter("doc IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.count("*").alias("copies")), "nodes"
     )
     met = members.select("node").distinct()
-    # A block holds by default 2,048 nodes, or fewer whose shingles take 32 MB; a cell's sets
-    # are all within a third of its hub's size.
-    room = F.greatest(F.lit(1), F.least(F.lit(block), F.lit(_BLOCK_BYTES) / (F.col("hub_n") * 12)))
+    # A block holds `block` nodes in the first pass and `wide` in the second, whose cost in
+    # pairs is the same however they are dealt; fewer where their shingles would take over
+    # 64 MB (a cell's sets are all within a third of its hub's size).
+    room = F.lit(_BLOCK_BYTES) / (F.col("hub_n") * 12)
+    blocks_of = lambda most: F.ceil(F.col("m") / F.greatest(F.lit(1), F.least(F.lit(most), room))).cast("long")
     hub_sizes = by_node.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
     points = known.filter("doc IS NOT NULL").join(met, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
-    placed = staged(
-        skew_join(members, hub_sizes, "hub", "node").join(points, "node")
-        .select("cell", "hub", "node", "n", "point", F.ceil(F.col("m") / room).cast("long").alias("blocks")),
-        "points",
-    )
+    points = staged(points, "points")
+    sized = skew_join(members, hub_sizes, "hub", "node")
+    placed = staged(sized.select("cell", "hub", "node", blocks_of(block).alias("blocks"), blocks_of(wide).alias("wide")), "placed")
     own = placed.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
     def by_cell(frame: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
@@ -374,23 +376,24 @@ def ngram_jaccard_join(
     # First pass: inside blocks, with the cell's least node in each block.
     hubs = placed.filter("node = hub AND blocks > 1").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     blocks = own.unionByName(hubs).withColumns({"b1": F.col("b"), "b2": F.col("b")})
-    pairs = staged(by_cell(blocks, ["node", "n", "point"], nearest, "src long, dst long").distinct(), "pairs")
+    pairs = staged(by_cell(blocks.join(points, "node"), ["node", "n", "point"], nearest, "src long, dst long").distinct(), "pairs")
     # Texts of nodes that meet another: one row's, whose set is the node's.
     texts = staged(docs.join(met.join(by_node.select("node", "doc"), "node"), "doc").select("node", "raw"), "texts")
     labels = connected_components(verified(pairs))
 
     # Second pass: between labels, in cells that still have several.
-    labelled = staged(
-        own.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled"
+    labelled = placed.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select(
+        "cell", "node", F.coalesce("label", "node").alias("label"), "wide", F.pmod(F.xxhash64("node"), F.col("wide")).alias("b")
     )
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    labelled = staged(labelled, "labelled")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1))
     mixed = (
-        labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("blocks").alias("blocks"))
+        labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("wide").alias("wide"))
         .filter("low <> high").select("cell", every.alias("b"))
     )
     dealt = (
         labelled.join(mixed, ["cell", "b"]).withColumn("other", every)
-        .withColumns({"b1": F.least("b", "other"), "b2": F.greatest("b", "other")})
+        .withColumns({"b1": F.least("b", "other"), "b2": F.greatest("b", "other")}).join(points, "node")
     )
     open_nodes = staged(
         by_cell(dealt, ["node", "n", "point", "label"], partnered, "cell long, b1 long, b2 long, node long, label long"), "open"
