@@ -8,7 +8,7 @@ small is out without a look at the shingles.
 
 The forest of R-trees is routed exactly.  Linked sets differ in at most d shingles, where d
 follows from the larger size, so of d + 1 hash ranges of shingles one at least holds the same
-shingles in both.  A cell is a size band, a range and what a set has in it; only cells that
+shingles in both; some more ranges than that let sets leave out their empty ones.  A cell is a size band, a range and what a set has in it; only cells that
 hold two different sets get an R-tree, and cells with the same members need one between them.
 In a cell the points are packed into leaves with their upper corners, and search goes down
 only where the corners' minima allow enough overlap.  Surviving pairs are verified on the
@@ -29,6 +29,8 @@ of the rows dealt by cell; these rows are two integers.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,31 +67,41 @@ def _differ(size: int, percent: int) -> int:
     return 2 * size * (100 - percent) // (100 + percent)
 
 
-def bands(percent: int, size: int) -> list[tuple[int, int]]:
-    """(band, ranges) in which a set of this size may meet a linked one.
+def bands(percent: int, size: int) -> list[tuple[int, int, int]]:
+    """(band, ranges, spare) in which a set of this size may meet a linked one.
 
     Band k holds pairs whose larger set has low_k <= size < low_(k+1); a smaller set counts
-    from percent / 100 of low_k.
+    from percent / 100 of low_k.  There are spare ranges beyond the d + 1 that the argument
+    needs, about as many as a set leaves empty: see cell_keys.
     """
     found, low, band = [], 2, 0
     while percent * low <= 100 * size:
         high = max(low + 1, int(low / _RATIO) + 1)
         if size < high and (differ := _differ(high - 1, percent)):
-            found.append((band, differ + 1))
+            empty = (differ + 1) * math.exp(-low / (differ + 1))
+            spare = math.ceil(empty + 2 * math.sqrt(empty))
+            found.append((band, differ + 1 + spare, spare))
         low, band = high, band + 1
     return found
 
 
 def cell_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """One key for each band and hash range: what the set holds there."""
+    """One key for each band and hash range: what the set holds there.
+
+    Linked sets agree in spare + 1 ranges at least.  A set with no more than `spare` empty
+    ranges leaves these out: one of those that it shares with a linked set is not empty, and
+    the other set has that one too.
+    """
     keys = [np.empty(0, np.uint64)]
     total = np.zeros(len(shingles) + 1, np.uint64)
     np.cumsum(mix(shingles), dtype=np.uint64, out=total[1:])
     high = shingles >> np.uint64(32)
-    for band, ranges in bands(percent, len(shingles)):
+    for band, ranges, spare in bands(percent, len(shingles)):
         at = np.searchsorted((high * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
         held = total[at[1:]] - total[at[:-1]]
-        keys.append(mix(held + mix((np.arange(ranges, dtype=np.uint64) << np.uint64(16)) + np.uint64(band + 1))))
+        own = mix(held + mix((np.arange(ranges, dtype=np.uint64) << np.uint64(16)) + np.uint64(band + 1)))
+        empty = at[1:] == at[:-1]
+        keys.append(own[~empty] if empty.sum() <= spare else own)
     return np.concatenate(keys)
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from lexforge.llm.common import connected_components, skew_join
-from lexforge.llm.ngram_jaccard import count_matrix, count_vector, label_links, ngram_jaccard_join, rtree_hits
+from lexforge.llm.ngram_jaccard import cell_keys, count_matrix, count_vector, label_links, ngram_jaccard_join, rtree_hits
 
 EDGES = "src long, dst long"
 
@@ -82,3 +82,20 @@ def test_join_on_a_heavy_key(spark):
     for how in ("inner", "left"):
         got = sorted(map(str, skew_join(left, right, "k", "v", how, heavy=20, salts=4).collect()))
         assert got == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+def test_linked_sets_share_a_cell():
+    """Whatever a set leaves out, two linked sets of any size meet."""
+    rng = np.random.default_rng(9)
+    pairs = 0
+    for percent in (80, 90):
+        for size in [*range(5, 60), *range(60, 900, 37)]:
+            for _ in range(12):
+                a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+                drop = rng.integers(0, size // 4 + 1)
+                b = np.unique(np.concatenate([rng.choice(a, len(a) - drop, replace=False), rng.integers(0, 1 << 63, rng.integers(0, size // 5 + 1), dtype=np.uint64)]))
+                common = len(np.intersect1d(a, b))
+                if 100 * common >= percent * (len(a) + len(b) - common) and not np.array_equal(a, b):
+                    pairs += 1
+                    assert np.intersect1d(cell_keys(a, percent), cell_keys(b, percent)).size
+    assert pairs > 200
