@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame
 
 from .common import extended, short_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPACE = re.compile(r"\s+")
 _RAW = frozenset("script style noscript template textarea svg iframe object select title".split())
+#: Of these the text is not markup, so an unclosed one runs to the page's end; an unclosed other one is passed over.
+_RAW_TEXT = frozenset("script style textarea iframe title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _TAGS = "article main nav header footer aside form ul ol li p h1 h2 h3 h4 h5 h6 table td th blockquote pre figure figcaption section div dialog a button b dl dd address details".split()
@@ -56,13 +59,48 @@ def _kinds_of(words: str) -> tuple[str, ...]:
     return tuple(k for k, p in _KINDS.items() if p.search(words)) if words else ()
 
 
+class _Tags:
+    """Ends of tags, each found in time that its own length bounds."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def end(self, at: int) -> int:
+        """Place behind the tag's ">" outside quotes, or 0 if there is none.
+
+        A quote that nothing closes, or a tag that quotes keep open to the page's end, ends at
+        the first ">"; after one such tag quotes are no longer heeded.
+        """
+        page, k = self.page, at
+        if at > self.last[">"]:
+            return 0
+        while self.quotes:
+            found = _STOP.search(page, k)
+            if not found:
+                self.quotes = False
+            elif found[0] == ">":
+                return found.end()
+            elif found.start() >= self.last[found[0]]:
+                break
+            else:
+                k = page.index(found[0], found.end()) + 1
+        return page.index(">", at) + 1
+
+
 def blocks(page: str) -> list[tuple[str, list[int]]]:
-    """(text, features) of the leaf blocks in page order; blank ones are left out."""
+    """(text, features) of the leaf blocks in page order; blank ones are left out.
+
+    Time is in proportion to the page: an open element holds the features of all its
+    ancestors, so none are walked, and only void elements close themselves.
+    """
     out: list[tuple[str, list[int]]] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, frozenset, frozenset]] = []  # tag, features of it and all above, kinds of its own
+    places: dict[str, list[int]] = {}
     text: list[str] = []
     linked = 0
-    begun: list[tuple[str, str]] = []
+    begun: tuple = ()
+    unclosed: set[str] = set()
 
     def close() -> None:
         nonlocal linked, begun
@@ -70,53 +108,81 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
         if flat:
             out.append((flat, _features(flat, begun, linked)))
         text.clear()
-        linked, begun = 0, []
+        linked, begun = 0, ()
+
+    def cut(depth: int) -> None:
+        for tag, _, _ in stack[depth:]:
+            places[tag].pop()
+        del stack[depth:]
+
+    def add(piece: str) -> None:
+        nonlocal linked, begun
+        if not text or not begun:
+            begun = tuple(stack[-2:])
+        text.append(piece)
+        if places.get("a"):
+            linked += len(piece.strip())
 
-    at, end = 0, len(page)
+    at, end, tags = 0, len(page), _Tags(page)
     while at < end:
-        found = _TOKEN.match(page, at)
-        at = found.end()
-        tag = found[2]
-        if tag is None:
-            piece = found[0]
-            if piece[:2] in ("<!", "<?"):
-                continue
-            if not text or not begun:
-                begun = list(stack)
-            text.append(piece)
-            if any(t == "a" for t, _ in stack):
-                linked += len(piece.strip())
+        if page[at] != "<":
+            stop = page.find("<", at)
+            stop = end if stop < 0 else stop
+            add(page[at:stop])
+            at = stop
+            continue
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = end if stop < 0 else stop + 3
+            continue
+        if page[at + 1 : at + 2] in ("!", "?") and at < tags.last[">"]:
+            at = page.index(">", at) + 1
             continue
-        tag = tag.lower()
-        if found[1]:
+        name = _NAME.match(page, at)
+        stop = tags.end(name.end()) if name else 0
+        if not stop:
+            add("<")
+            at += 1
+            continue
+        tag, attributes = name[1].lower(), page[name.end() : stop - 1]
+        closing = page[at + 1] == "/"
+        at = stop
+        if closing:
             if tag not in _INLINE:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
         if tag in _RAW:
-            if not found[3].endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+            if tag in unclosed or (tag == "svg" and attributes.endswith("/")):
+                continue
+            found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if found:
+                at = found.end()
+            elif tag in _RAW_TEXT:
+                at = end
+            else:
+                unclosed.add(tag)
             continue
         if tag == "br":
             text.append(" ")
         if tag not in _INLINE:
             close()
-            names = [t for t, _ in stack]
-            if "p" in names and tag not in _VOID:
-                del stack[names.index("p") :]
+            if places.get("p") and tag not in _VOID:
+                cut(places["p"][0])
             elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                del stack[-1]
-        if tag not in _VOID and not found[3].endswith("/"):
-            stack.append((tag, _words_of(found[3])))
+                cut(len(stack) - 1)
+        if tag not in _VOID:
+            kinds = frozenset(_kinds_of(_words_of(attributes)))
+            own = {f"in_{tag}", *(f"kind_{k}" for k in kinds)}
+            above = stack[-1][1] if stack else frozenset()
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, above if own <= above else above | (own & _PLACE.keys()), kinds))
     close()
     return out
 
 
-def _features(flat: str, ancestors: list[tuple[str, str]], linked: int) -> list[int]:
+def _features(flat: str, ancestors: tuple, linked: int) -> list[int]:
     n = flat.count(" ") + 1
     names = {"bias", "short" if n < 6 else "medium" if n < 20 else "long"}
     if flat[-1] in ".!?…\"”»":
@@ -132,13 +198,11 @@ def _features(flat: str, ancestors: list[tuple[str, str]], linked: int) -> list[
         names.add("digits")
     if " | " in flat or " · " in flat or " » " in flat:
         names.add("separators")
-    for tag, words in ancestors:
-        names.add(f"in_{tag}")
-        names.update(f"kind_{k}" for k in _kinds_of(words))
     if ancestors:
+        names |= ancestors[-1][1]
         names.add(f"own_{ancestors[-1][0]}")
-        for tag, words in ancestors[-2:]:
-            names.update(f"near_{k}" for k in _kinds_of(words))
+        for _, _, kinds in ancestors:
+            names.update(f"near_{k}" for k in kinds)
     return sorted(_PLACE[x] for x in names if x in _PLACE)
 
 
@@ -295,7 +359,8 @@ def html_extract(pages: DataFrame, html_col: str = "html", text_col: str = "text
     """Adds text_col, the main text: its blocks in page order, joined by two line ends.
 
     Null or empty html, or none found: an empty string.  Broken markup is read as far as it
-    goes.  A column called text_col is replaced; each row gives one.
+    goes, and very long pages in time in proportion to their length.  A column called text_col
+    is replaced; each row gives one; repeated rows are read alike; empty: empty.
     """
     short_batches(pages.sparkSession)
     pages = pages.drop(text_col)
