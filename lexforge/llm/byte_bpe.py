@@ -15,6 +15,7 @@ import base64
 import re
 import struct
 import uuid
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +35,36 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def fold(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece: the adjacent pair of least rank merges, leftmost first."""
+    """Ids of one piece: the adjacent pair of least rank merges, leftmost first.
+
+    Parts are linked by their ends and pairs wait in a heap, so n bytes take n log n steps.
+    """
     if piece in ranks:
         return [ranks[piece]]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    none = len(ranks) + (1 << 30)
-    pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-    while pairs and (least := min(pairs)) != none:
-        i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
-        if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-    return [ranks[x] for x in parts]
+    n = len(piece)
+    stop, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, end = heappop(heap)
+        # A pair is stale if its left part is gone or either part has grown since.
+        j = stop[i]
+        if not j or j >= n or stop[j] != end:
+            continue
+        stop[i], stop[j] = end, 0
+        if end < n:
+            before[end] = i
+        for left in (before[i], i):
+            if left >= 0 and stop[left] < n:
+                right = stop[stop[left]]
+                r = ranks.get(piece[left:right])
+                if r is not None:
+                    heappush(heap, (r, left, right))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : stop[i]]])
+        i = stop[i]
+    return out
 
 
 class _Merges:
@@ -185,8 +201,9 @@ def _pieces(key: int, ranks: dict[bytes, int], pattern: str) -> _Pieces:
 def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds ids_col, the ids of each text as binary, four little-endian bytes an id.
 
-    No special tokens: their strings are ordinary text.  Null text encodes as empty; a column
-    called ids_col is replaced; each row gives one.  The rank table has a fixed size (that of
+    No special tokens: their strings are ordinary text.  Null text encodes as empty; very long
+    texts and pieces are whole, a piece of n bytes taking n log n steps; a column called
+    ids_col is replaced; each row gives one; empty: empty.  The rank table has a fixed size (that of
     the vocabulary) and is broadcast.
     """
     short_batches(docs.sparkSession)
