@@ -23,6 +23,10 @@ CHUNK = 16
 _CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 
 
+#: Deepest nesting of boxes that is read.
+_DEEPEST = 32
+
+
 def _box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     return struct.pack(">I4s", 8 + len(body), kind) + body
@@ -80,6 +84,8 @@ def pack(raw: bytes) -> bytes:
 def walk(raw: bytes, start: int = 0, end: int | None = None, path: tuple = ()):
     """(path of box kinds, start and end of the content) of all boxes, depth first."""
     end = len(raw) if end is None else end
+    if len(path) > _DEEPEST:
+        raise ValueError("boxes nested too deep")
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", raw, start)
         head = 8
@@ -94,32 +100,80 @@ def walk(raw: bytes, start: int = 0, end: int | None = None, path: tuple = ()):
         start += size
 
 
-def describe(raw: bytes) -> dict:
-    """Codec, seconds, offsets and sizes of the packets and which are keyframes (first track)."""
-    found: dict[bytes, tuple[int, int]] = {}
+def tracks(raw: bytes) -> list[dict[bytes, tuple[int, int]]]:
+    """The boxes of each track by kind, those of one track never taken for another's."""
+    out: list[dict[bytes, tuple[int, int]]] = []
     for path, a, b in walk(raw):
-        found.setdefault(path[-1], (a, b))
+        if path == (b"moov", b"trak"):
+            out.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            out[-1].setdefault(path[-1], (a, b))
+    return out
+
+
+def _table(raw: bytes, box: tuple[int, int], at: int, width: str, per: int = 1) -> np.ndarray:
+    """The entries of a table that states their number; they must fit into their box."""
+    a, b = box
+    n = struct.unpack_from(">I", raw, a + at)[0]
+    if a + at + 4 + n * per * int(width[-1]) > b:
+        raise ValueError(f"table of {n} entries in a box of {b - a} bytes")
+    return np.frombuffer(raw, width, n * per, a + at + 4).astype(np.int64).reshape(n, per)
+
+
+def _sizes(raw: bytes, found: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """Sizes of the samples (stsz or the compact stz2); no more of them than the file can hold."""
+    if b"stz2" in found:
+        a, b = found[b"stz2"]
+        bits, n = raw[a + 7], struct.unpack_from(">I", raw, a + 8)[0]
+        if bits not in (4, 8, 16) or a + 12 + (n * bits + 7) // 8 > b:
+            raise ValueError("broken compact sizes")
+        if bits == 4:
+            pairs = np.frombuffer(raw, np.uint8, (n + 1) // 2, a + 12)
+            return np.column_stack([pairs >> 4, pairs & 15]).ravel()[:n].astype(np.int64)
+        return np.frombuffer(raw, f">u{bits // 8}", n, a + 12).astype(np.int64)
+    a, _ = found[b"stsz"]
+    one, n = struct.unpack_from(">II", raw, a + 4)
+    if not one:
+        return _table(raw, found[b"stsz"], 8, ">u4")[:, 0]
+    if one * n > len(raw):
+        raise ValueError(f"{n} samples of {one} bytes in {len(raw)} bytes")
+    return np.full(n, one, np.int64)
 
-    def table(kind: bytes, at: int, width: str, per: int = 1) -> np.ndarray:
-        a, _ = found[kind]
-        n = struct.unpack_from(">I", raw, a + at)[0]
-        return np.frombuffer(raw, width, n * per, a + at + 4).astype(np.int64).reshape(n, per)
 
+def describe(raw: bytes, track: int = 0) -> dict:
+    """Codec, seconds, offsets and sizes of a track's packets and which are keyframes.
+
+    Counts are tested against the boxes and the file before anything is made by them.
+    """
+    every = tracks(raw)
+    if track >= len(every):
+        raise ValueError("no such track")
+    found = every[track]
     a, _ = found[b"mdhd"]
     rate = struct.unpack_from(">I", raw, a + (20 if raw[a] else 12))[0]
+    if not rate:
+        raise ValueError("no time scale")
     codec = raw[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16].decode("latin-1")
-    ticks = int(np.prod(table(b"stts", 4, ">u4", 2), axis=1).sum())
-    a, _ = found[b"stsz"]
-    one, n = struct.unpack_from(">II", raw, a + 4)
-    sizes = np.full(n, one, np.int64) if one else np.frombuffer(raw, ">u4", n, a + 12).astype(np.int64)
-    chunks = table(b"co64", 4, ">u8")[:, 0] if b"co64" in found else table(b"stco", 4, ">u4")[:, 0]
-    runs = table(b"stsc", 4, ">u4", 3)
-    held = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-    chunk = np.repeat(np.arange(len(chunks)), held)[:n]
+    ticks = sum(n * each for n, each in _table(raw, found[b"stts"], 4, ">u4", 2).tolist())
+    sizes = _sizes(raw, found)
+    n = len(sizes)
+    wide = b"co64" in found
+    chunks = _table(raw, found[b"co64" if wide else b"stco"], 4, ">u8" if wide else ">u4")[:, 0]
+    runs = _table(raw, found[b"stsc"], 4, ">u4", 3)
+    length = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+    if n and (not len(runs) or runs[0, 0] != 1 or (length < 0).any()):
+        raise ValueError("broken chunk runs")
+    last = np.minimum(np.cumsum(np.minimum(np.repeat(runs[:, 1], length), n)), n)
+    if n and (not len(last) or last[-1] < n):
+        raise ValueError("chunks hold fewer samples than there are sizes")
+    held = np.diff(last, prepend=0)
     total = np.concatenate([[0], np.cumsum(sizes)])
-    first = np.concatenate([[0], np.cumsum(held)])[:-1]
-    offsets = chunks[chunk] + total[:-1] - total[np.minimum(first, n)][chunk]
-    keys = table(b"stss", 4, ">u4")[:, 0] - 1 if b"stss" in found else np.arange(n)
+    offsets = np.repeat(chunks - total[last - held], held) + total[:-1]
+    if n and (offsets.min() < 0 or (offsets + sizes).max() > len(raw)):
+        raise ValueError("samples outside the file")
+    keys = _table(raw, found[b"stss"], 4, ">u4")[:, 0] - 1 if b"stss" in found else np.arange(n)
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise ValueError("keyframes outside the track")
     return {"codec": codec, "seconds": ticks / rate, "offsets": offsets, "sizes": sizes, "keys": keys}
 
 
@@ -142,9 +196,11 @@ def pack_media(docs: DataFrame, text_col: str = "text", media_col: str = "media"
 
 def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
     """Adds codec, duration (seconds), packets, keyframes (array of offset and size), payload
-    (the packets' bytes in order) and media_error.
+    (the packets' bytes in order) and media_error, all of the first track.
 
-    Null or broken media give nulls and an error; columns of these names are replaced.
+    Null or broken media, counts that their boxes or the file can't hold and movies in
+    fragments only give nulls and an error; columns of these names are replaced; each row
+    gives one; empty: empty.
     """
     names = ("codec", "duration", "packets", "keyframes", "payload", "media_error")
     media = media.drop(*names)
@@ -165,7 +221,7 @@ def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
                     stop = np.concatenate([cut, [len(at)]]).astype(int) if len(at) else []
                     payload = b"".join(raw[at[i] : at[j - 1] + size[j - 1]] for i, j in zip(begin, stop, strict=True))
                     row = (got["codec"], got["seconds"], len(at), [{"offset": int(at[k]), "size": int(size[k])} for k in keys], payload, None)
-                except (ValueError, KeyError, IndexError, struct.error) as error:
+                except (ValueError, KeyError, IndexError, OverflowError, struct.error) as error:
                     row = (None, None, None, None, None, f"{type(error).__name__}: {error}")
                 for into, value in zip(out, row, strict=True):
                     into.append(value)
