@@ -59,7 +59,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null text: no words, text stays null.  Null id: the row has no place in the order; it is
     returned with all its words and removes nothing.  Rows that repeat an id count as texts
-    of one document, none earlier than another.  Texts under `length` words stay whole.
+    of one document, none earlier than another.  Texts under `length` words stay whole, very
+    long ones are cut as a whole.
     Input columns called n_words, n_removed or repeats are replaced.  Empty input: empty.
     """
     short_batches(docs.sparkSession)
@@ -67,9 +68,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept_columns = docs.columns
     source = docs.withColumn("_sd_text", F.unhex(F.md5(F.col(text_col).cast("binary"))))
     source = source.withColumn(id_col, F.col(id_col).cast("long"))
+    # Rows without an id take part in no join, where one task would get them all.
+    blank = source.filter(F.col(id_col).isNull())
+    source = source.filter(F.col(id_col).isNotNull())
 
     firsts = (
-        source.filter(F.col(id_col).isNotNull() & F.col("_sd_text").isNotNull())
+        source.filter(F.col("_sd_text").isNotNull())
         .groupBy("_sd_text").agg(F.min(id_col).alias(id_col))
         .groupBy(id_col).agg(F.collect_set("_sd_text").alias("_sd_firsts"))
     )
@@ -119,7 +123,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("run").agg(F.min(id_col).alias(id_col))
         .groupBy(id_col).agg(F.collect_list("run").alias("_sd_first_runs"))
     )
-    judged = seeded.join(first_runs, id_col, "left")
+    judged = seeded.join(first_runs, id_col, "left").unionByName(blank, allowMissingColumns=True)
 
     def cut(raw, doc, first, single_seeds, firsts_here):
         """Kept text, words, removed words, maximal repeats."""
