@@ -2,7 +2,7 @@
 
 An Aho-Corasick automaton finds all terms in one pass over host and path.  A hit counts only
 if no letter or digit touches it.  One strict term rejects, and so do `soft_hits` different
-soft terms.
+soft terms.  Both lists are parameters.
 """
 
 from __future__ import annotations
@@ -13,8 +13,29 @@ from pyspark.sql import functions as F
 
 from .common import extended
 
-STRICT = ("adult", "bets", "casino", "escort", "hentai", "nude", "pills", "porn", "porno", "sex", "spam", "viagra", "xxx")
-SOFT = ("ads", "bet", "bonus", "cheap", "click", "coupon", "download", "farm", "free", "lottery", "loan", "popup", "promo", "track", "win")
+#: Terms of which one rejects: pornography, gambling, drugs without prescription, pirated and
+#: forged goods, in English, German, Spanish and French.
+STRICT = tuple(
+    """
+    adult bets casino escort hentai nude pills porn porno sex spam viagra xxx
+    pornography camgirl camgirls milf blowjob erotic erotica fetish hardcore stripper striptease webcamsex sexcam
+    poker roulette slots sportsbook betting gambling blackjack bookmaker cialis levitra steroids xanax oxycontin
+    warez torrent torrents keygen nulled counterfeit darknet
+    erotik nackt hure huren nutten sexkontakte gluecksspiel sportwetten spielautomaten
+    desnuda desnudas putas prostitutas erotico sexo apuestas tragamonedas ruleta falsificado
+    salope salopes pute putes erotique sexe paris-sportifs machines-a-sous contrefacon
+    """.split()
+)
+#: Terms of which several different ones reject: selling, lures, tracking, farms of links.
+SOFT = tuple(
+    """
+    ads bet bonus cheap click coupon download farm free lottery loan popup promo track win
+    affiliate bargain buy cash clickbait deal deals discount earn giveaway hot jackpot marketing payday prize sale sponsored survey unlimited
+    gratis billig gewinn gewinnspiel gutschein kredit rabatt verdienen werbung
+    barato descuento dinero ganar oferta ofertas premio prestamo publicidad sorteo
+    argent concours gagner gratuit pas-cher prix promotion pub reduction soldes
+    """.split()
+)
 
 #: (host, path, verdict): holds for the host and its subdomains, longest fit first.
 RULES = (
