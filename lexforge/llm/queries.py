@@ -85,7 +85,7 @@ FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id USING (doc_id)
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sizes = staged(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
-    return mix_plan(sizes, size_col="size").select("doc_id", "size", "source_size", "target", "taken")
+    return mix_plan(sizes, size_col="size").select("doc_id", "size", "source_size", "target", "taken", F.to_json("draws").alias("draws"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
