@@ -2,9 +2,11 @@
 
 Words (runs of letters and digits, A-Z lower-cased) and their first four and five bytes are
 looked up by hash in embedding tables; filters of several widths run over the text, are
-max-pooled and feed one logistic unit.  Each table's first coordinate is the entry's weighted
-log-odds in the fitted rows, the other small and random.  Thresholds are calibrated by language on rows kept from
-the fit: the score is shifted so that 0.5 is the language's threshold.  The language is
+max-pooled and feed one logistic unit.  Embeddings start at the entry's weighted log-odds in
+the fitted rows and a small random coordinate, and are trained by gradient together with the
+filters and the unit, in numpy over batches of texts laid end to end.  Thresholds are
+calibrated by language on rows kept from the fit: the score is shifted so that 0.5 is the
+language's threshold.  The language is
 guessed from the text itself; no column but the text enters a score.
 """
 
@@ -26,6 +28,8 @@ FILTERS = 6
 PREFIXES = (None, 4, 5)
 PART = 2
 DIM = PART * len(PREFIXES)
+#: Step of the embeddings.
+RATE = 0.005
 #: Letters that tell the languages apart, as UTF-8; a text without them is "en".
 LANGUAGES = {"de": "ßäüö", "es": "ñóáíú¿¡", "fr": "çèêàùâîô"}
 _MARKS = {k: [c.encode() for c in v] for k, v in LANGUAGES.items()}
@@ -43,6 +47,42 @@ def hashes(raw: bytes) -> np.ndarray:
     return np.stack([word_hashes(raw, lower=True, letters=True, prefix=p) for p in PREFIXES])
 
 
+#: Empty words before and after each text, so that no filter spans two texts.
+PAD = max(WIDTHS) - 1
+#: Words of texts that are convolved together.
+TOGETHER = 1 << 15
+
+
+@dataclass
+class Flat:
+    """Rows of several texts laid one behind the other."""
+
+    rows: np.ndarray  # (tables, places)
+    starts: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[np.ndarray]) -> Flat:
+        sizes = np.array([t.shape[1] + 2 * PAD for t in texts])
+        starts = np.cumsum(sizes) - sizes
+        rows = np.zeros((len(PREFIXES), int(sizes.sum())), np.int64)
+        for t, at in zip(texts, starts.tolist(), strict=True):
+            rows[:, at + PAD : at + PAD + t.shape[1]] = t
+        return cls(rows, starts, np.repeat(np.arange(len(texts)), sizes))
+
+
+def _flats(texts: list[np.ndarray]):
+    """The texts in runs of TOGETHER words or one text."""
+    at = 0
+    while at < len(texts):
+        n, end = 0, at
+        while end < len(texts) and (end == at or n + texts[end].shape[1] <= TOGETHER):
+            n += texts[end].shape[1]
+            end += 1
+        yield Flat.of(texts[at:end])
+        at = end
+
+
 @dataclass
 class Model:
     keys: list[np.ndarray]  # of each table: sorted hashes; row i + 1 of words is that of keys[i], row 0 of all others
@@ -54,41 +94,48 @@ class Model:
     shift: dict[str, float]
 
     def rows(self, found: np.ndarray) -> np.ndarray:
-        out = np.zeros(found.shape, np.int64)
+        out = np.zeros(found.shape, np.int32)
         for keys, own, into in zip(self.keys, found, out, strict=True):
             if len(keys) and len(own):
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 into[:] = np.where(keys[at] == own, at + 1, 0)
         return out
 
-    def pooled(self, rows: np.ndarray, table=None, words: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Max-pooled filter responses and the places they come from."""
-        rows = np.pad(rows, ((0, 0), (2, 2)))
-        embedded = None if table else np.concatenate([w[r] for w, r in zip(words or self.words, rows, strict=True)], axis=1)
-        high, place = [], []
-        for k, w in enumerate(self.filters):
-            n = rows.shape[1] - len(w) + 1
+    def kernel(self) -> np.ndarray:
+        """All filters' positions side by side: (DIM, positions * FILTERS)."""
+        return np.concatenate([w[j] for w in self.filters for j in range(len(w))], axis=1)
+
+    def pooled(self, flat: Flat, part: np.ndarray, places: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Max-pooled responses of each text, and where asked the places they come from.
+
+        part has the response of every place to every position of every filter.
+        """
+        high, place, column = [], [], 0
+        for w in self.filters:
+            n = len(part) - len(w) + 1
             total = 0
             for j in range(len(w)):
-                if table:
-                    for part, own in zip(table, rows, strict=True):
-                        total = total + part[k][j][own[j : j + n]]
-                else:
-                    total = total + embedded[j : j + n] @ w[j]
-            at = total.argmax(axis=0)
-            high.append(total[at, np.arange(FILTERS)])
-            place.append(at)
-        return np.maximum(np.concatenate(high) + self.bias, 0), np.concatenate(place)
-
-    def table(self) -> list[list[list[np.ndarray]]]:
-        """Responses of every table's entries to every row of every filter."""
-        return [
-            [[(words @ w[j, i * PART : (i + 1) * PART]).astype(np.float32) for j in range(len(w))] for w in self.filters]
-            for i, words in enumerate(self.words)
-        ]
-
-    def logit(self, rows: np.ndarray, table=None) -> float:
-        return float(self.pooled(rows, table)[0] @ self.out + self.out_bias)
+                total = total + part[j : j + n, column : column + FILTERS]
+                column += FILTERS
+            high.append(np.maximum.reduceat(total, flat.starts, axis=0))
+            if places:
+                at = np.where(total == high[-1][flat.owner[:n]], np.arange(n)[:, None], n)
+                place.append(np.minimum.reduceat(at, flat.starts, axis=0))
+        return np.maximum(np.concatenate(high, axis=1) + self.bias, 0), place
+
+    def table(self) -> list[np.ndarray]:
+        """Responses of every table's entries to every position of every filter."""
+        kernel = self.kernel()
+        return [(words @ kernel[i * PART : (i + 1) * PART]).astype(np.float32) for i, words in enumerate(self.words)]
+
+    def logits(self, texts: list[np.ndarray], table: list[np.ndarray]) -> np.ndarray:
+        out = []
+        for flat in _flats(texts):
+            part = table[0][flat.rows[0]]
+            for own, rows in zip(table[1:], flat.rows[1:], strict=True):
+                part += own[rows]
+            out.append(self.pooled(flat, part)[0] @ self.out + self.out_bias)
+        return np.concatenate(out) if out else np.empty(0)
 
 
 def _one_of_copies(texts: list[np.ndarray]) -> list[int]:
@@ -155,35 +202,47 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, kept: np.ndarray, langs: l
     parameters = [*model.filters, model.bias, model.out]
     model.out[:] = rng.uniform(0.1, 0.3, len(model.out))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
+    # Embeddings start at the log-odds and are trained by what is learned on top of them.
+    base = [np.concatenate(both) for both in zip(*without, strict=True)]
+    learned = [np.zeros_like(w) for w in model.words]
+    seen = [np.full(w.shape, 1e-2) for w in model.words]
     passes = max(6, min(40, 40_000 // len(fit)))
     step = 0
     for _ in range(passes):
         for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // 32)):
-            grads = [np.zeros_like(p) for p in parameters]
-            bias_grad = 0.0
-            for i in batch:
-                pooled, place = model.pooled(rows[i], words=without[toxic[i]])
-                error = 1 / (1 + np.exp(-(pooled @ model.out + model.out_bias))) - toxic[i]
-                bias_grad += error
-                grads[-1] += error * pooled
-                back = error * model.out * (pooled > 0)
-                grads[-2] += back
-                padded = np.pad(rows[i], ((0, 0), (2, 2)))
-                for k, w in enumerate(model.filters):
-                    own = slice(k * FILTERS, (k + 1) * FILTERS)
-                    for j in range(len(w)):
-                        hit = np.concatenate([w[r[place[own] + j]] for w, r in zip(without[toxic[i]], padded, strict=True)], axis=1)
-                        grads[k][j] += (hit * back[own, None]).T
+            flat = Flat.of([rows[i] for i in batch])
+            label = toxic[batch]
+            side = label[flat.owner]
+            own = [own + side * len(new) for own, new in zip(flat.rows, learned, strict=True)]
+            embedded = np.concatenate([b[o] + new[r] for b, o, new, r in zip(base, own, learned, flat.rows, strict=True)], axis=1)
+            high, place = model.pooled(flat, embedded @ model.kernel(), places=True)
+            error = 1 / (1 + np.exp(-np.clip(high @ model.out + model.out_bias, -500, 500))) - label
+            back = error[:, None] * model.out * (high > 0)
+            grads = [*(np.zeros_like(w) for w in model.filters), back.sum(axis=0), error @ high]
+            moved = [np.zeros_like(w) for w in learned]
+            for k, w in enumerate(model.filters):
+                pull = back[:, k * FILTERS : (k + 1) * FILTERS]
+                for j in range(len(w)):
+                    at = place[k] + j
+                    grads[k][j] += np.einsum("bfd,bf->df", embedded[at], pull)
+                    for t, into in enumerate(moved):
+                        np.add.at(into, flat.rows[t][at], pull[..., None] * w[j, t * PART : (t + 1) * PART].T)
             step += 1
             for p, g, (m, v) in zip(parameters, grads, moments, strict=True):
                 g = g / len(batch) + 1e-4 * p
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            for new, g, total in zip(learned, moved, seen, strict=True):
+                g[0] = 0
+                g = g / len(batch) + 1e-5 * new
+                total += g * g
+                new -= RATE * g / np.sqrt(total)
             np.maximum(model.out, 0, out=model.out)  # a clean passage doesn't excuse a toxic one
-            model.out_bias -= 0.05 * bias_grad / len(batch)
+            model.out_bias -= 0.05 * float(error.sum()) / len(batch)
+    model.words = [w + new for w, new in zip(model.words, learned, strict=True)]
 
-    logits = np.array([model.logit(x) for x in rows])
+    logits = model.logits(rows, model.table())
     # Judged rows are kept ones where there are enough; else all, whose words are then known.
     judge = kept if kept.sum() >= 40 and toxic[kept].sum() >= 5 else np.ones(len(rows), bool)
 
@@ -215,7 +274,8 @@ def toxicity(
     of training (docs if None), chosen by a hash, whose crc32(id as text) mod 5 is not 0, and
     scores every whole text.  Rows with a null label or id don't train; of repeated labels the
     greatest counts; no usable labels give a constant score of 0.  Null and empty texts are
-    scored as empty; a null id is not held out.  Columns of the added names are replaced.
+    scored as empty, very long ones whole; a null id is not held out.  Repeated rows score
+    alike.  Columns of the added names are replaced; empty docs: empty.
     """
     short_batches(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
@@ -236,27 +296,29 @@ def toxicity(
             words = pa.array([hashes(r).tobytes() for r in raws], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, pa.array(map(language, raws), pa.string())], names=["id", "toxic", "words", "lang"])
 
-    # At most most_rows rows of two numbers: bounded by the parameter, so broadcast.
-    chosen = training.join(F.broadcast(known), training[id_col] == known["_tx_id"]).select("_tx_id", "_tx_toxic", F.col(text_col).cast("binary"))
-    rows = chosen.mapInArrow(hashed, f"id {dict(labels.dtypes)[id_col]}, toxic int, words binary, lang string").limit(2 * most_rows).toPandas()
-    rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
-    kept = np.array([zlib.crc32(str(i).encode()) % 5 == 4 for i in rows["id"]], bool)
-    toxic, langs = rows["toxic"].to_numpy(), list(rows["lang"])
-    texts = [np.frombuffer(w, np.uint64).reshape(len(PREFIXES), -1) for w in rows["words"]]
-    del rows
+    # At most most_rows rows of two numbers: bounded by the parameter, so broadcast.  Of rows
+    # that repeat an id the least text is fitted, so reruns agree.
+    chosen = training.join(F.broadcast(known), training[id_col] == known["_tx_id"]).groupBy("_tx_id", "_tx_toxic").agg(F.min(F.col(text_col)).cast("binary").alias("_tx_text"))
+    fitted = chosen.mapInArrow(hashed, f"id {dict(labels.dtypes)[id_col]}, toxic int, words binary, lang string").toArrow().sort_by("id")
+    kept = np.array([zlib.crc32(str(i).encode()) % 5 == 4 for i in fitted["id"].to_pylist()], bool)
+    toxic, langs = fitted["toxic"].to_numpy(), fitted["lang"].to_pylist()
+    texts = [np.frombuffer(w.as_py(), np.uint64).reshape(len(PREFIXES), -1) for w in fitted["words"]]
+    del fitted
     model = train(texts, toxic, kept, langs) if texts else None
     # Words and filters: bounded by most_rows texts.
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    pa.default_memory_pool().release_unused()
 
     def score(batches):
         model = shared.value
         table = model.table() if model else None
         for batch in batches:
-            out = []
-            for x in batch.column(batch.schema.names.index(text_col)).cast(pa.binary()):
-                raw = x.as_py() or b""
-                logit = model.logit(model.rows(hashes(raw)), table) - model.shift.get(language(raw), 0.0) if model else -np.inf
-                out.append(float(1 / (1 + np.exp(-np.clip(logit, -700, 700)))) if model else 0.0)
+            raws = [x.as_py() or b"" for x in batch.column(batch.schema.names.index(text_col)).cast(pa.binary())]
+            out = np.zeros(len(raws))
+            if model and raws:
+                shift = np.array([model.shift.get(language(r), 0.0) for r in raws])
+                logits = model.logits([model.rows(hashes(r)) for r in raws], table) - shift
+                out = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
 
     scored = docs.mapInArrow(score, extended(docs.schema, "score double"))
