@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and
 read back as the next stage's docs.  All but the last return the columns of documents.
 Rows with a null doc_id pass every stage; rows that repeat a doc_id count as one document
-from the second stage on, which keeps one of them.
+from the second stage on, which keeps the one whose other columns are least.  Null and empty
+texts are clean, copies of nothing and hold no words, so the mix takes none of them.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.byte_bpe import bpe_encode
+from lexforge.llm.byte_bpe import bpe_decode, bpe_encode
 from lexforge.llm.common import staged
 from lexforge.llm.mixing import mix
 from lexforge.llm.ngram_jaccard import ngram_jaccard_join
@@ -32,7 +34,9 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     shingles with a Jaccard similarity of 0.8 or more."""
     groups = ngram_jaccard_join(docs.select("doc_id", "text"), words=5, percent=80)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
+    kept = one.select("doc_id", *[F.col(f"_row.{c}") for c in rest])
     return kept.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
 
 
@@ -47,10 +51,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian 32-bit) of each row."""
+    """doc_id, source, n_tokens and ids (little-endian 32-bit) of each row, and the digest of
+    what its ids decode to, which is that of the text."""
     ranks, pattern = tokenizer()
-    ids = bpe_encode(docs.select("doc_id", "source", "text"), ranks, pattern)
-    return ids.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    ids = bpe_encode(docs.select("doc_id", "source", "text"), ranks, pattern).drop("text")
+    tokens = (F.length("ids") / 4).cast("long").alias("n_tokens")
+    return bpe_decode(ids, ranks).select("doc_id", "source", tokens, "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -29,7 +29,10 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session has none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where the session
+    has none, as in tests, a folder in its warehouse, which a cluster must have on shared storage.
+
+    What is staged there stays, as checkpoint files do, until the folder is cleared after the job."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
@@ -38,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def short_batches(spark: SparkSession) -> None:
     """At most 512 rows in the session's Arrow batches: whole texts are long rows, and a
-    Python worker holds a batch or two of them."""
+    Python worker holds a batch or two of them.  The setting stays, since Spark reads it when
+    the frame is run, after the operator has returned it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= 512:
         spark.conf.set(key, "512")

@@ -62,7 +62,7 @@ def test_ngram_jaccard(spark):
     rows = corpus(2, 120)
     base = [w for _, t, *_ in rows if t for w in t.split()][:400]
     rows += [(1000 + i, " ".join([*base[:i], "x", *base[i + 1 :]]), "s", "x") for i in range(0, 60, 2)]
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard_join(spark.createDataFrame(rows, DOCS), block=8).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard_join(spark.createDataFrame(rows, DOCS), block=8, wide=16).collect()}
     sets = {}
     for doc, text, *_ in rows:
         w = (text or "").lower().split()
