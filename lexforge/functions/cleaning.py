@@ -15,7 +15,7 @@ def _chain(text: Column, rules) -> Column:
     return text
 
 
-#: (pattern, replacement) of each step, in the common subset of Java's and RE2's syntax.
+#: Fixed values: (pattern, replacement) of each step, in the common subset of Java's and RE2's syntax.
 HYPHENS = [(rf"({_W})-{_S}\n{_S}({_W})", "$1$2")]
 PAGE_MARKERS = [
     (rf"\n{_S}[-–—]{_S}[0-9]+{_S}[-–—]{_S}\n", "\n"),
@@ -44,14 +44,18 @@ STEPS = {
 }
 
 
+#: The same texts as HYPHENS with less to try at each word: only the letter before the hyphen is needed.
+_JOINS = [(rf"([\p{{L}}\p{{N}}_])-{_S}\n{_S}({_W})", "$1$2")]
+
+
 def step(name: str, text: Column) -> Column:
     """One cleaning step; null stays null."""
-    return _chain(text, STEPS[name])
+    return _chain(text, _JOINS if STEPS[name] is HYPHENS else STEPS[name])
 
 
 def clean(text: Column) -> Column:
     """The steps 03 to 07 in order; "" for null."""
-    for rules in (HYPHENS, PAGE_MARKERS, ARTIFACTS, SPACES, OCR_WORDS):
+    for rules in (_JOINS, PAGE_MARKERS, ARTIFACTS, SPACES, OCR_WORDS):
         text = _chain(text, rules)
     return F.coalesce(text, F.lit(""))
 
