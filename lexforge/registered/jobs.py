@@ -8,11 +8,10 @@ from pyspark.sql import types as T
 from ..functions import embedding, report_tables
 from ..functions import unicode as u
 from ..operators import anchors, packages
-from ..operators import tables as t
 from ..plans.registering import Register
 from ..sources import files, sinks
 from ..sources.staging import new_folder
-from .search import _HYBRID, _hybrid  # noqa: F401
+from .search import _hybrid
 
 register = Register()
 

@@ -1,5 +1,6 @@
 """The policy-document operators on small literal frames, and all queries' SQL on the smallest tables."""
 
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -91,8 +92,8 @@ def test_vectors(spark):
 
 
 def rounded(x):
-    if isinstance(x, float):
-        return round(x, 7)
+    if isinstance(x, float | Decimal):
+        return round(float(x), 7)
     return [rounded(y) for y in x] if isinstance(x, list | tuple) else x
 
 
