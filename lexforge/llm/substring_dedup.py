@@ -123,7 +123,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("run").agg(F.min(id_col).alias(id_col))
         .groupBy(id_col).agg(F.collect_list("run").alias("_sd_first_runs"))
     )
-    judged = seeded.join(first_runs, id_col, "left").unionByName(blank, allowMissingColumns=True)
+    judged = seeded.join(first_runs, id_col, "left")
+    lists = [F.lit(None).cast("array<binary>").alias("_sd_firsts"), *[F.lit(None).cast("array<long>").alias(c) for c in ("_sd_single", "_sd_first_runs")]]
 
     def cut(raw, doc, first, single_seeds, firsts_here):
         """Kept text, words, removed words, maximal repeats."""
@@ -173,4 +174,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, spans_type)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept_columns, "n_words", "n_removed", "repeats"])
 
-    return judged.mapInArrow(cuts, schema)
+    # Joined and other rows are cut apart: a union before the cut would part one exchange of texts in two.
+    return judged.mapInArrow(cuts, schema).unionByName(blank.select("*", *lists).mapInArrow(cuts, schema))
