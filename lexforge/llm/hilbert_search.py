@@ -83,11 +83,11 @@ def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(x / scale[:, None]).astype("<i2"), scale
 
 
-def _best(ask: np.ndarray, have: np.ndarray, names: np.ndarray, most: int, tile: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of ask the names and products of its `most` largest products with have."""
+def _best(ask: np.ndarray, have: np.ndarray, scale: np.ndarray, names: np.ndarray, most: int, tile: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ask the names and products of its `most` largest products with have, 16-bit rows of a scale each."""
     near, score = np.empty((len(ask), 0), np.int64), np.empty((len(ask), 0), np.float32)
     for i in range(0, len(have), tile):
-        got = ask @ have[i : i + tile].T
+        got = ask @ (have[i : i + tile].astype(np.float32) * scale[i : i + tile, None]).T
         near = np.concatenate([near, np.broadcast_to(names[i : i + tile], got.shape)], axis=1)
         score = np.concatenate([score, got], axis=1)
         if score.shape[1] > most:
@@ -98,7 +98,7 @@ def _best(ask: np.ndarray, have: np.ndarray, names: np.ndarray, most: int, tile:
 
 def hilbert_search(
     vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, curves: int = 6, axes: int = 6,
-    bits: int = 10, windows: int = 12, least_window: int = 1024, spare: int = 11, chunk: int = 1 << 17, sample_rows: int = 4096, seed: int = 3,
+    bits: int = 10, windows: int = 12, least_window: int = 1024, spare: int = 11, chunk: int = 1 << 20, sample_rows: int = 4096, seed: int = 3,
 ) -> DataFrame:
     """The k largest inner products of each query row with all other rows, nearly.
 
@@ -170,7 +170,7 @@ def hilbert_search(
                 window = np.searchsorted(bounds[c], own, side="right")
                 first = np.clip(np.searchsorted(bounds[c], other, side="right") - 1, 0, max(0, share - 3))
                 target = (first[:, None] + np.arange(min(3, share)))[:, :, None] * chunks + np.arange(chunks)
-                target = target.reshape(len(ask), -1)
+                target = target.reshape(len(ask), min(3, share) * chunks)
                 at = np.concatenate([window * chunks + points % chunks, target.ravel()]) + c * share * chunks
                 row = np.concatenate([np.arange(len(x)), np.repeat(ask, target.shape[1])])
                 asks = np.arange(len(row)) >= len(x)
@@ -181,16 +181,11 @@ def hilbert_search(
 
     def search(batches):
         """The best candidates of each query in each place; candidates come first, queries stream by."""
-        last, held = None, []
-
-        def loaded():
-            return np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-
-        have = names = None
+        last, held, have = None, [], None
         for batch in batches:
             place, asks, points, scale = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<i2").reshape(-1, width).astype(np.float32)
-            x *= (scale[:, None] / length).astype(np.float32)
+            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<i2").reshape(-1, width)
+            scale = (scale / length).astype(np.float32)
             cuts = np.flatnonzero((place[1:] != place[:-1]) | (asks[1:] != asks[:-1])) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
                 if a == b:
@@ -198,13 +193,14 @@ def hilbert_search(
                 if place[a] != last:
                     last, held, have = place[a], [], None
                 if not asks[a]:
-                    held.append((x[a:b], points[a:b]))
+                    held.append((x[a:b], scale[a:b], points[a:b]))
                 elif held:
                     if have is None:
-                        have, names = loaded()
-                        held = [(have, names)]
+                        have = [np.concatenate(part) for part in zip(*held, strict=True)]
+                        held = [tuple(have)]
                     for i in range(a, b, 256):
-                        near, score = _best(x[i : min(i + 256, b)], have, names, most)
+                        ask = x[i : min(i + 256, b)] * scale[i : min(i + 256, b), None]
+                        near, score = _best(ask, *have, most)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(points[i : min(i + 256, b)]), pa.array(list(near), pa.list_(pa.int64())), pa.array(list(score), pa.list_(pa.float32()))],
                             names=["query", "near", "score"],

@@ -55,3 +55,20 @@ def test_awkward_rows(spark, tmp_path):
     small = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in hilbert_search(few, F.col("vec_id") % 20 == 0).collect())
     assert [x[:3] for x in small] == [(0, 1, 20), (0, 2, 7), (20, 1, 7), (20, 2, 0)] and small[0][3] == 4.0
     assert hilbert_search(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("batch", ["1", "16"])
+def test_batches_without_a_query(spark, batch):
+    """Batches and partitions that hold no query, one query in the table, and none."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(7)
+        for asked in ([123], [7, 399], []):
+            got = hilbert_search(df, F.col("vec_id").isin(asked) if asked else F.lit(False), least_window=16).collect()
+            assert sorted({r.query_id for r in got}) == asked and len(got) == 20 * len(asked)
+    finally:
+        spark.conf.set(key, before)
