@@ -12,7 +12,8 @@ from .html_extract import html_extract
 from .media import pack_media, read_media
 from .mixing import mix_plan, word_count
 from .ngram_jaccard import ngram_jaccard_join
-from .common import staged
+from .periodic_runs import periodic_runs
+from .common import WORD, staged
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 
@@ -179,6 +180,66 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where each document whose crc32(doc_id) ends in 0 repeats a block of its
+    own words from some word on to its end.  Null ids are left as they are."""
+    docs = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w").cast("long"))
+    g = F.expr("h div 10")
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, g % F.col("n"))).withColumn("g", g)
+    docs = docs.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = F.expr("flatten(array_repeat(slice(w, cast(a + 1 as int), p), cast(1 + (n - a) div p as int)))")
+    text = F.array_join(F.slice(F.concat(F.expr("slice(w, 1, cast(a as int))"), tail), F.lit(1), F.col("n").cast("int")), " ")
+    return docs.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(repeated_tails(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    none = F.lit(None).cast(found.schema["runs"].dataType.elementType)
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: Pairs of equal words at each distance; consecutive ones are stretches of a period.
+OP13_SQL = r"""
+WITH digits AS (
+  SELECT DISTINCT doc_id, list_transform(range(length(CAST(doc_id AS VARCHAR))), lambda i: CAST(ord(substr(CAST(doc_id AS VARCHAR), CAST(i AS INT) + 1, 1)) AS BIGINT)) AS d FROM documents
+), hashed AS MATERIALIZED (
+  SELECT doc_id, xor(4294967295, list_reduce(d, lambda c, b: list_reduce(range(8), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295)) AS h FROM digits
+), split AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, h FROM documents JOIN hashed USING (doc_id)
+), planned AS MATERIALIZED (
+  SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split
+), words AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w FROM planned
+), place AS MATERIALIZED (
+  SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM words
+), equal AS (
+  SELECT a.doc_id, b.i - a.i AS q, a.i FROM place a JOIN place b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 3 * (b.i - a.i) <= a.n
+), stretch AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM equal) GROUP BY doc_id, q, g
+), runs AS MATERIALIZED (
+  SELECT doc_id, s, len, min(q) AS q FROM stretch WHERE len >= greatest(24, 3 * q) GROUP BY doc_id, s, len
+), best AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min([s, len, q], [CAST(-floor(10000000000 * len / q) AS BIGINT), s, q]) AS b,
+         string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS k FROM place ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, b[1] AS "start", b[2] AS length, b[3] AS period, 1000 * b[2] // b[3] AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k, '')) AS collapsed_sha256
+FROM words w LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -190,5 +251,6 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_media": op9_media,
     "op10_toxicity": op10_toxicity,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op3_url_filter": _op3_sql(), "op5_sharding": _op5_sql(), "op8_ngram_jaccard": OP8_SQL}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op3_url_filter": _op3_sql(), "op5_sharding": _op5_sql(), "op8_ngram_jaccard": OP8_SQL, "op13_periodic_runs": OP13_SQL}
