@@ -112,6 +112,26 @@ def word_hashes(raw: bytes, lower: bool = False, letters: bool = False, prefix:
     return _range_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends, _BASE)
 
 
+def joined_words(texts: list[str | None], letters: bool = False, lower: bool = False, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and index of its text for each word of all texts in turn; long ones go piece by piece,
+    cut between words, so that what is held besides the words stays small."""
+    raws = [(t or "").encode() for t in texts]
+    starts = np.cumsum([0] + [len(r) + 1 for r in raws])
+    raw = b"\n".join(raws)
+    hashes, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    space = _NO_LETTER if letters else _IS_SPACE
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + piece)
+        while end < len(raw) and not space[raw[end]]:
+            end += 1
+        part = raw[at:end]
+        hashes.append(word_hashes(part, lower, letters))
+        docs.append(np.searchsorted(starts, word_spans(part, letters)[0] + at, side="right") - 1)
+        at = end
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
 def ngram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash for each run of k words; empty if there are fewer."""
     n = len(words) - k + 1

@@ -9,6 +9,7 @@ from . import sharding, url_filter
 from .byte_bpe import bpe_decode, bpe_encode, load_ranks
 from .hilbert_search import hilbert_search
 from .html_extract import html_extract
+from .license_scan import license_scan
 from .media import pack_media, read_media
 from .mixing import mix_plan, word_count
 from .ngram_jaccard import ngram_jaccard_join
@@ -180,6 +181,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def repeated_tails(docs: DataFrame) -> DataFrame:
     """doc_id and text, where each document whose crc32(doc_id) ends in 0 repeats a block of its
     own words from some word on to its end.  Null ids are left as they are."""
@@ -251,6 +257,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_media": op9_media,
     "op10_toxicity": op10_toxicity,
+    "op12_license_scan": op12_license_scan,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op3_url_filter": _op3_sql(), "op5_sharding": _op5_sql(), "op8_ngram_jaccard": OP8_SQL, "op13_periodic_runs": OP13_SQL}
