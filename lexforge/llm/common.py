@@ -48,15 +48,15 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "512")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder, in a folder for each value of column `by` if given, and read it back.
 
     Cuts the lineage: a lost executor costs a reread of these files, not a rerun of all that
     came before, and several readers share one computation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexforge-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -132,6 +132,11 @@ def joined_words(texts: list[str | None], letters: bool = False, lower: bool = F
     return np.concatenate(hashes), np.concatenate(docs)
 
 
+def word_hashes_between(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash, with A-Z lower-cased, of each span of bytes."""
+    return _range_hashes(_LOWER[data].astype(np.uint64) + np.uint64(1), starts, ends, _BASE)
+
+
 def ngram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash for each run of k words; empty if there are fewer."""
     n = len(words) - k + 1

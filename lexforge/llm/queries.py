@@ -14,6 +14,7 @@ from .media import pack_media, read_media
 from .mixing import mix_plan, word_count
 from .ngram_jaccard import ngram_jaccard_join
 from .periodic_runs import periodic_runs
+from .phrase_mining import collocations, mine_phrases
 from .common import WORD, staged
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
@@ -181,6 +182,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(staged(mine_phrases(_table(spark, sf_dir, "documents")), "mined"))
+
+
+#: Every phrase at every word, counted at once.
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sizes AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest(range(1, 6)) AS k))
+), counts AS MATERIALIZED (
+  SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, g, f, unnest(range(1, len(g))) AS cut FROM counts
+), scored AS (
+  SELECT c.lang, c.g, c.f AS a, x.f AS l, y.f AS r, n, cut, CAST(1000 * CAST(c.f AS HUGEINT) * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.g = c.g[1:cut] JOIN counts y ON y.lang = c.lang AND y.g = c.g[cut + 1:] JOIN sizes s ON s.lang = c.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, g[i:i + m - 1] AS g, max(f) AS longer FROM (SELECT *, unnest(range(1, len(g) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(g))) AS m FROM counts)) GROUP BY ALL
+)
+SELECT p.lang, row_number() OVER (PARTITION BY p.lang ORDER BY score DESC, a DESC, encode(array_to_string(p.g, ' '))) AS rank, array_to_string(p.g, ' ') AS phrase, a, l, r, n, score
+FROM lowest p LEFT JOIN inside i ON i.lang = p.lang AND i.g = p.g WHERE longer IS NULL OR 100 * longer < 100 * a QUALIFY rank <= 2000
+"""
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -257,7 +289,8 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_media": op9_media,
     "op10_toxicity": op10_toxicity,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_license_scan": op12_license_scan,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op3_url_filter": _op3_sql(), "op5_sharding": _op5_sql(), "op8_ngram_jaccard": OP8_SQL, "op13_periodic_runs": OP13_SQL}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op3_url_filter": _op3_sql(), "op5_sharding": _op5_sql(), "op8_ngram_jaccard": OP8_SQL, "op11_phrase_mining": OP11_SQL, "op13_periodic_runs": OP13_SQL}
