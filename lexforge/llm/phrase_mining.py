@@ -18,6 +18,8 @@ before the shuffle; their texts are looked up in a last scan, for those over the
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,8 +142,8 @@ def mine_phrases(
     A null language is "und"; null and empty texts hold nothing; rows that repeat count each.
     Very long texts are read piece by piece.  Other columns are not read.  No rows: empty.
 
-    The bitmap takes bits / 8 bytes, whatever the corpus; more phrases than it has bits make
-    the counting wider, not wrong.
+    The bitmap grows with the words of the first shard, up to bits / 8 bytes; more phrases than
+    it has bits make the counting wider, not wrong.
     """
     if longest > 7 or longest < 1 or least < 1 or shards < 1 or bits & (bits - 1) or bits < 64:
         raise ValueError("longest is at most 7, least and shards at least 1, bits a power of two of at least 64")
@@ -149,15 +151,16 @@ def mine_phrases(
     short_batches(spark)
     dealt = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     shard_of = F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")
-    dealt = [staged_part for staged_part in _dealt(dealt.filter("text <> ''").withColumn("shard", shard_of), shards)]
+    dealt = _dealt(dealt.filter("text <> ''").withColumn("shard", shard_of), shards)
 
     def counted(step: int, history: list[np.ndarray]):
-        now = history[-1] if history else None
-        before = history[-1 - shards] if len(history) > shards else None
+        sent = [_packed(history[-1]) if history else None, _packed(history[-1 - shards]) if len(history) > shards else None]
 
         def count(batches):
             """(hash, count) of the step's phrases, added up over a task as far as memory allows."""
             held, size = [], 0
+            now, before = (_unpacked(x) for x in sent)
+
             def flush():
                 h, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
                 n = np.bincount(inverse, weights=np.concatenate([c for _, c in held])).astype(np.int64)
@@ -182,23 +185,28 @@ def mine_phrases(
         new = counted(step, history)
         rows = new if state is None else state.unionByName(new)
         state = staged(rows.groupBy("h").agg(F.sum("n").alias("n")), "phrases")
+        if not step:
+            # Twice the most phrases that can reach the threshold.
+            words = (state.agg(F.sum("n")).first()[0] or 0) * shards
+            bits = min(bits, 1 << max(6, (2 * longest * words // least).bit_length()))
         history.append(_bitmap(state, least, longest, bits))
         step += 1
 
     frequent = state.filter(F.col("n") >= least)
-    everything = _bitmap(frequent, least, longest + 1, bits)
+    everything = _packed(_bitmap(frequent, least, longest + 1, bits))
 
     def named(batches):
         """(h, lang, k, phrase, words): each frequent phrase once a task, and each language's words (k = 0)."""
         seen, total, out = np.empty(0, np.uint64), {}, []
+        over = _unpacked(everything)
         for batch in batches:
             for raw, starts, langs in _chunks(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
                 words = _Words(raw, starts, langs)
                 for i, n in enumerate(np.bincount(words.lang, minlength=len(words.langs)).tolist()):
                     total[words.langs[i]] = total.get(words.langs[i], 0) + n
-                for k, at, h in _phrases(words, longest, everything, None, True):
+                for k, at, h in _phrases(words, longest, over, None, True):
                     h, first = np.unique(h, return_index=True)
-                    new = _bits(everything, h) & ~np.isin(h, seen, assume_unique=True)
+                    new = _bits(over, h) & ~np.isin(h, seen, assume_unique=True)
                     for x, i in zip(h[new].view(np.int64).tolist(), at[first[new]].tolist(), strict=True):
                         out.append((x, words.langs[words.lang[i]], k, words.text(raw, i, k), 0))
                     seen = np.concatenate([seen, h[new]])
@@ -227,6 +235,14 @@ def _dealt(rows: DataFrame, shards: int) -> list[DataFrame]:
     return [whole.filter(F.col("shard") == i).select("lang", "text") for i in range(shards)]
 
 
+def _packed(bitmap: np.ndarray) -> bytes:
+    return zlib.compress(bitmap.tobytes(), 1)
+
+
+def _unpacked(raw: bytes | None) -> np.ndarray | None:
+    return None if raw is None else np.frombuffer(zlib.decompress(raw), np.uint64)
+
+
 def _bitmap(state: DataFrame, least: int, below: int, bits: int) -> np.ndarray:
     """A bit for each phrase of under `below` words that has reached the threshold: bits / 8 bytes."""
     h = F.col("h")
