@@ -183,8 +183,11 @@ def mine_phrases(
     state, history, step = None, [], 0
     while step < shards or not np.array_equal(history[-1], history[-1 - shards] if len(history) > shards else np.zeros_like(history[-1])):
         new = counted(step, history)
-        rows = new if state is None else state.unionByName(new)
-        state = staged(rows.groupBy("h").agg(F.sum("n").alias("n")), "phrases")
+        rows = new.withColumn("seen", F.lit(step))
+        rows = rows if state is None else state.unionByName(rows)
+        rows = rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+        # A phrase first seen a cycle ago has seen every shard: under the threshold, it is out.
+        state = staged(rows.filter((F.col("n") >= least) | (F.col("seen") > step + 1 - shards)), "phrases")
         if not step:
             # Twice the most phrases that can reach the threshold.
             words = (state.agg(F.sum("n")).first()[0] or 0) * shards
@@ -192,7 +195,7 @@ def mine_phrases(
         history.append(_bitmap(state, least, longest, bits))
         step += 1
 
-    frequent = state.filter(F.col("n") >= least)
+    frequent = state.filter(F.col("n") >= least).select("h", "n")
     everything = _packed(_bitmap(frequent, least, longest + 1, bits))
 
     def named(batches):
