@@ -23,8 +23,8 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _NO_LETTER = np.ones(256, dtype=bool)
 _NO_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -108,7 +108,7 @@ def word_hashes(raw: bytes, lower: bool = False, letters: bool = False, prefix:
         ends = np.minimum(ends, starts + prefix)
     data = np.frombuffer(raw, dtype=np.uint8)
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     return _range_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends, _BASE)
 
 
@@ -134,7 +134,7 @@ def joined_words(texts: list[str | None], letters: bool = False, lower: bool = F
 
 def word_hashes_between(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash, with A-Z lower-cased, of each span of bytes."""
-    return _range_hashes(_LOWER[data].astype(np.uint64) + np.uint64(1), starts, ends, _BASE)
+    return _range_hashes(LOWER[data].astype(np.uint64) + np.uint64(1), starts, ends, _BASE)
 
 
 def ngram_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix, short_batches, staged, word_hashes_between
+from .common import LOWER, mix, short_batches, staged, word_hashes_between
 
 #: Bytes by kind: 0 of a word, 1 between words, 2 between pieces.
 _KIND = np.zeros(256, np.uint8)
@@ -90,9 +90,19 @@ class _Words:
         salt = np.array([_lang_hash(x) for x in self.langs], np.uint64)
         self.word = mix(word_hashes_between(data, self.first, self.last) ^ salt[self.lang])
 
-    def text(self, raw: bytes, i: int, k: int) -> str:
-        """The phrase of k words from word i on, lower-cased and joined by one space."""
-        return b" ".join([raw[self.first[j] : self.last[j]] for j in range(i, i + k)]).lower().decode()
+    def texts(self, raw: bytes, at: np.ndarray, k: int) -> pa.Array:
+        """The phrases of k words from words `at` on, lower-cased and joined by one space."""
+        if not hasattr(self, "flat"):
+            # The words of the chunk and one blank behind each.
+            data = np.append(LOWER[np.frombuffer(raw, np.uint8)], np.uint8(0x20))
+            keep = np.zeros(len(data), bool)
+            keep[self.last] = True
+            data[keep] = 0x20
+            keep[: len(raw)] |= _KIND[data[: len(raw)]] == 0
+            self.flat, size = data[keep].tobytes(), self.last - self.first
+            self.end = np.cumsum(size + 1) - 1
+            self.start = self.end - size
+        return pa.array([self.flat[i:j] for i, j in zip(self.start[at].tolist(), self.end[at + k - 1].tolist(), strict=True)], pa.binary()).cast(pa.string())
 
 
 def _marked(h: np.ndarray, k: int) -> np.ndarray:
@@ -200,22 +210,22 @@ def mine_phrases(
 
     def named(batches):
         """(h, lang, k, phrase, words): each frequent phrase once a task, and each language's words (k = 0)."""
-        seen, total, out = np.empty(0, np.uint64), {}, []
-        over = _unpacked(everything)
+        seen, total, over = np.empty(0, np.uint64), {}, _unpacked(everything)
         for batch in batches:
             for raw, starts, langs in _chunks(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
                 words = _Words(raw, starts, langs)
+                names = pa.array(words.langs, pa.string())
                 for i, n in enumerate(np.bincount(words.lang, minlength=len(words.langs)).tolist()):
                     total[words.langs[i]] = total.get(words.langs[i], 0) + n
                 for k, at, h in _phrases(words, longest, over, None, True):
-                    h, first = np.unique(h, return_index=True)
-                    new = _bits(over, h) & ~np.isin(h, seen, assume_unique=True)
-                    for x, i in zip(h[new].view(np.int64).tolist(), at[first[new]].tolist(), strict=True):
-                        out.append((x, words.langs[words.lang[i]], k, words.text(raw, i, k), 0))
-                    seen = np.concatenate([seen, h[new]])
-            yield _named_batch(out)
-            out = []
-        yield _named_batch([(0, lang, 0, "", n) for lang, n in total.items()])
+                    held = _bits(over, h)
+                    h, first = np.unique(h[held], return_index=True)
+                    at, new = at[held][first], ~_among(h, seen)
+                    h, at = h[new], at[new]
+                    if len(h):
+                        yield _named_batch(h.view(np.int64), names.take(pa.array(words.lang[at])), k, words.texts(raw, at, k), 0)
+                        seen = np.sort(np.concatenate([seen, h]))
+        yield _named_batch(np.zeros(len(total), np.int64), pa.array(list(total), pa.string()), 0, pa.array([""] * len(total), pa.string()), list(total.values()))
 
     texts = dealt[0]
     for part in dealt[1:]:
@@ -227,9 +237,17 @@ def mine_phrases(
     return found.unionByName(sizes)
 
 
-def _named_batch(rows) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["h", "lang", "k", "phrase", "words"])
+def _among(h: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Which of h are in the sorted array seen."""
+    if not len(seen):
+        return np.zeros(len(h), bool)
+    return seen[np.minimum(np.searchsorted(seen, h), len(seen) - 1)] == h
+
+
+def _named_batch(h, langs: pa.Array, k: int, phrases: pa.Array, words) -> pa.RecordBatch:
+    n = len(h)
+    words = pa.array(np.full(n, words) if isinstance(words, int) else words, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(h), langs, pa.array(np.full(n, k, np.int32)), phrases, words], names=["h", "lang", "k", "phrase", "words"])
 
 
 def _dealt(rows: DataFrame, shards: int) -> list[DataFrame]:
