@@ -86,6 +86,11 @@ def mix_plan(
     added names and names starting with _mx are replaced.  No documents: an empty frame.
     More than max_sources sources raise an error, since their totals are kept on the driver.
     """
+    return _planned(docs, id_col, text_col, source_col, size_col, weights, most, shards, blocks, seed, max_sources)[0]
+
+
+def _planned(docs, id_col, text_col, source_col, size_col=None, weights=(1, 2, 3), most=3, shards=16, blocks=None, seed=7, max_sources=100_000) -> tuple[DataFrame, int]:
+    """mix_plan's rows and the words of all documents."""
     spark = docs.sparkSession
     size = F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")) if size_col else word_count(text_col)
     docs = docs.withColumn("_mx_size", size).drop("size", "source_size", "target", "taken", "draws").withColumnRenamed("_mx_size", "size")
@@ -159,21 +164,26 @@ def mix_plan(
     )
     out = whole.unionByName(part).withColumn("draws", F.filter(draws, lambda d: d["words"] > 0))
     out = out.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"]))
-    return out.drop("_mx_source", "_mx_block", "_mx_rest", "passes", "words", "drawn", "places", "held", "bounds")
+    return out.drop("_mx_source", "_mx_block", "_mx_rest", "passes", "words", "drawn", "places", "held", "bounds"), sum(sizes)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, shards: int = 16, **options) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, shards: int = 16, part_words: int = 2_000_000, **options,
+) -> DataFrame:
     """The mixed corpus: a row of docs for each draw, with copy and shard, text cut to the
-    words drawn; each shard in one partition, in an order of its own by a hash.  See mix_plan;
-    `shards` should follow the output's size."""
+    words drawn, each shard in an order of its own by a hash.  See mix_plan.
+
+    A shard is dealt into parts of about part_words words by the same hash, so no task's
+    share grows with the corpus; a task's rows are sorted by shard, part and place."""
     columns = [c for c in docs.columns if c not in ("copy", "shard")]
-    plan = mix_plan(docs.select(*columns), id_col, text_col, source_col, seed=seed, shards=shards, **options)
+    plan, words = _planned(docs.select(*columns), id_col, text_col, source_col, seed=seed, shards=shards, **options)
+    parts = max(1, -(-words // (shards * part_words)))
     drawn = plan.withColumn("_mx_draw", F.explode("draws"))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("_mx_draw.words"), F.lit(1)).cast("int")), " ")
     text = F.when(F.col("_mx_draw.words") < F.col("size"), cut).otherwise(F.col(text_col))
     place = F.xxhash64(F.lit(seed + 2), F.col(id_col), F.col("_mx_draw.copy"))
     return (
         drawn.withColumn(text_col, text)
-        .select(*columns, F.col("_mx_draw.copy").alias("copy"), F.col("_mx_draw.shard").alias("shard"), place.alias("_mx_place"))
-        .repartition(shards, "shard").sortWithinPartitions("shard", "_mx_place", id_col).drop("_mx_place")
+        .select(*columns, F.col("_mx_draw.copy").alias("copy"), F.col("_mx_draw.shard").alias("shard"), place.alias("_mx_place"), F.pmod(place, F.lit(parts)).alias("_mx_part"))
+        .repartition("shard", "_mx_part").sortWithinPartitions("shard", "_mx_part", "_mx_place", id_col).drop("_mx_place", "_mx_part")
     )
