@@ -11,6 +11,7 @@ from ..functions.packing import pack_paragraphs, pack_points
 from ..functions.segments import paragraphs
 from ..functions.spans import spans, strip
 from ..sources.staging import written
+from .acts import act_leads, act_nodes, has_nodes
 
 #: Least and most characters and overlap of a kind's chunks.
 SIZES = {"legal": (800, 1500, 150), "judicial": (700, 1300, 120), "data": (500, 1000, 80), "scheme": (600, 1200, 100)}
@@ -75,11 +76,21 @@ def rejected_orders(docs: DataFrame) -> DataFrame:
 
 
 def chunk_legal(docs: DataFrame) -> DataFrame:
-    """Chunks of acts: a node whole up to 1,500 characters, else by its clauses, else by paragraphs."""
+    """Chunks of acts: a node whole up to 1,500 characters, else by its clauses, else by
+    paragraphs.  What stands before the first heading is a node of its own, of type lead; an
+    act without headings is whole up to that length, else packed by paragraphs, without a type."""
     least, most, overlap = SIZES["legal"]
-    rows = _long_enough(docs).select("document_id", F.posexplode(st.legal_nodes(F.col("text"))).alias("place", "n"))
-    rows = rows.select("document_id", "place", "n.section_type", F.col("n.number").alias("section_number"), "n.chapter", F.col("n.content").alias("text"))
-    return _numbered(_split(rows, most, points(F.col("text"), _CLAUSE), F.lit(True), "\n\n", True, least, overlap), ["section_type", "section_number", "chapter"])
+    docs = _long_enough(docs).withColumn("_headed", has_nodes(F.col("text")))
+    headed = docs.filter("_headed")
+    nodes = act_nodes(headed).select("document_id", F.col("start").alias("place"), "section_type", F.col("number").alias("section_number"), "chapter", F.col("content").alias("text"))
+    none = F.lit(None).cast("string")
+    leads = act_leads(headed).select("document_id", F.lit(-1).alias("place"), F.lit("lead").alias("section_type"), none.alias("section_number"), none.alias("chapter"), F.col("content").alias("text"))
+    columns = ["section_type", "section_number", "chapter"]
+    split = _split(nodes.unionByName(leads), most, points(F.col("text"), _CLAUSE), F.lit(True), "\n\n", True, least, overlap).select("document_id", "place", *columns, "pieces")
+    plain = docs.filter("NOT _headed").select("document_id", F.lit(0).alias("place"), *[none.alias(c) for c in columns], strip(F.col("text")).alias("text"))
+    plain = plain.withColumn("_packed", pack_paragraphs(F.when(F.length("text") > most, paragraphs(F.col("text"))), least, most, overlap))
+    packed = plain.select("document_id", "place", *columns, F.when(F.length("text") > most, F.col("_packed")).otherwise(F.array("text")).alias("pieces"))
+    return _numbered(split.unionByName(packed), columns)
 
 
 def _split(rows: DataFrame, most: int, listed: Column, may_list: Column, joiner: str, carry: bool, least: int, overlap: int) -> DataFrame:
