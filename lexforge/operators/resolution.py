@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from ..sources.staging import written
+
 #: Confidence of a resolved section or rule, alone and of several, and of fuzzy matches times their ratio.
 SINGLE, OF_SEVERAL, FUZZY = 0.95, 0.85, {"section": (0.8, 0.7), "go": (0.85, 0.65)}
 _PART = "struct<canonical_id:string,title:string>"
@@ -83,30 +85,71 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+#: Longest numbers whose deletion neighbourhoods are listed: at most some 400 keys a number.
+SHORT = 12
+
+
+def _neighbourhood(number: Column, percent: int, mine: str) -> Column:
+    """Keys that a number of up to SHORT characters shares with every one it can match.
+
+    A match of lengths m and n has a common subsequence of over percent / 200 * (m + n)
+    characters, so for each length of the other the number's subsequences of just the least
+    such length are keys, with both lengths, the asked number's first.
+    """
+    length = F.length(number)
+    without_one = lambda texts: F.array_distinct(F.flatten(F.transform(texts, lambda v: F.transform(
+        F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1))))))
+    shorter, lists = F.array(number), []
+    for _ in range(SHORT // 3):
+        lists.append(shorter)
+        shorter = F.when(length > 3 * len(lists) - 2, without_one(shorter)).otherwise(F.array().cast("array<string>"))
+    lists.append(shorter)
+    common = lambda n: F.floor((n + length) * percent / 200) + 1
+    others = F.filter(F.sequence(F.lit(1), F.lit(SHORT)), lambda n: (common(n) <= n) & (common(n) <= length))
+    lengths = (lambda n: (length, n)) if mine == "number" else (lambda n: (n, length))
+    keys = F.flatten(F.transform(others, lambda n: F.transform(
+        F.element_at(F.array(*lists), (length - common(n) + 1).cast("int")), lambda v: F.concat_ws(":", v, *[x.cast("string") for x in lengths(n)]))))
+    return F.when((length > 0) & (length <= SHORT), keys).otherwise(F.array().cast("array<string>"))
+
+
 def resolve_fuzzy(numbers: DataFrame, registry: DataFrame, kind: str) -> DataFrame:
     """The most similar registered number of each distinct `number`, above the kind's threshold.
 
-    Two texts over these thresholds share a pair of neighbouring characters, for what is left
-    over can't cut the matched part into single ones; so candidates come from an equi-join on
-    such pairs, with lengths that allow the threshold, and no cross join is needed.  Ties go
-    to the registry's order.  Numbers without a match are absent.
+    Numbers of up to SHORT characters meet by common subsequences as long as the threshold
+    asks, listed for both sides, so candidates are few and none is lost.  Two longer texts over
+    these thresholds share a pair of neighbouring characters, for what is left over can't cut
+    the matched part into single ones, no further apart than the texts may differ.  Both are
+    equi-joins.  Ties go to the registry's order.  Numbers without a match are absent.
     """
     least, weight = FUZZY[kind]
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    percent = round(100 * least)
     known = registry.filter(F.col("ref_type") == kind).groupBy(F.col("number").alias("match")).agg(
         F.min("seq").alias("seq"), (F.max_by("canonical_id", F.col("year").cast("int")) if kind == "go" else F.min_by("canonical_id", "seq")).alias("canonical_id")
     )
-    a = numbers.select("number").distinct().withColumn("pair", F.explode(pairs(F.col("number"))))
-    b = known.withColumn("pair", F.explode(pairs(F.col("match"))))
-    fits = 2 * F.least(F.length("number"), F.length("match")) > F.lit(least) * (F.length("number") + F.length("match"))
-    met = a.join(b, "pair").filter(fits).select("number", "match", "seq", "canonical_id").distinct()
-    rated = met.withColumn("ratio", sequence_ratio("number", "match")).filter(F.col("ratio") > least)
+    asked = numbers.select("number").distinct()
+    met = candidates(asked, known.select("match"), percent)
+    rated = met.withColumn("ratio", sequence_ratio("number", "match")).filter(F.col("ratio") > least).join(known, "match")
     order = W.partitionBy("number").orderBy(F.desc("ratio"), "seq")
     return rated.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(
         "number", "match", "canonical_id", F.round("ratio", 9).alias("ratio"), F.round(F.col("ratio") * weight, 9).alias("confidence")
     )
 
 
+def candidates(asked: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Distinct (number, match) that may have a ratio over percent / 100."""
+    near = asked.withColumn("key", F.explode(_neighbourhood(F.col("number"), percent, "number")))
+    near = near.join(known.withColumn("key", F.explode(_neighbourhood(F.col("match"), percent, "match"))), "key")
+    # A place and a pair of characters, for each pair with a longer text.
+    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring(c, i, F.lit(2)).alias("pair")))
+    reach = lambda c: F.length(c) > F.lit(SHORT * percent / (200 - percent))
+    one = asked.filter(reach("number")).select("number", F.inline(pairs(F.col("number")))).withColumnRenamed("at", "i")
+    two = known.filter(reach("match")).select("match", F.inline(pairs(F.col("match")))).withColumnRenamed("at", "j")
+    total = F.length("number") + F.length("match")
+    fits = (200 * F.least(F.length("number"), F.length("match")) > percent * total) & (F.greatest(F.length("number"), F.length("match")) > SHORT)
+    far = one.join(two, "pair").filter(fits & (100 * F.abs(F.col("i") - F.col("j")) < (100 - percent) * total))
+    return near.select("number", "match").unionByName(far.select("number", "match")).distinct()
+
+
 def resolve_relations(relations: DataFrame, registry: DataFrame) -> DataFrame:
     """Resolves (rel_id, raw_text, go_number, year, confidence, context) by what the raw text names.
 
@@ -125,13 +168,13 @@ def resolve_relations(relations: DataFrame, registry: DataFrame) -> DataFrame:
     orders = registry.filter("ref_type = 'go'").select("number", F.col("year").cast("int").alias("year"), "canonical_id")
     asked = refs.filter("_kind = 'go'").select("ref_id", F.col("_number").alias("number"), F.col("year").cast("int").alias("year"))
     columns = ["ref_id", "canonical_id", "method", "confidence"]
-    exact = resolve_go(asked, orders).select(*columns, "number")
+    exact = written(resolve_go(asked, orders).select(*columns, "number"), "exact")
     fuzzy = {}
     fuzzy["go"] = resolve_fuzzy(exact.filter("canonical_id IS NULL").select("number"), registry, "go")
     found = exact.join(fuzzy["go"].select("number", F.col("canonical_id").alias("_f"), F.col("confidence").alias("_c")), "number", "left").select(
         "ref_id", F.coalesce("canonical_id", "_f").alias("canonical_id"), F.when(F.col("canonical_id").isNull() & F.col("_f").isNotNull(), "fuzzy").otherwise(F.col("method")).alias("method"),
         F.when(F.col("canonical_id").isNull() & F.col("_f").isNotNull(), F.col("_c")).otherwise(F.col("confidence")).alias("confidence"))
-    sections = resolve_parts(refs.filter("_kind = 'section'"), registry, "section").withColumn("number", base_number(F.col("raw_text"), "section"))
+    sections = written(resolve_parts(refs.filter("_kind = 'section'"), registry, "section").withColumn("number", base_number(F.col("raw_text"), "section")), "sections")
     fuzzy["section"] = resolve_fuzzy(sections.filter("canonical_id IS NULL AND number IS NOT NULL").select("number"), registry, "section")
     sections = sections.join(fuzzy["section"].select("number", F.col("canonical_id").alias("_f"), F.col("confidence").alias("_c")), "number", "left").select(
         "ref_id", F.coalesce("canonical_id", "_f").alias("canonical_id"), F.when(F.col("canonical_id").isNull() & F.col("_f").isNotNull(), "fuzzy").otherwise(F.col("method")).alias("method"),
