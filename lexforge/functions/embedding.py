@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What is put before a text, and its longest form.
-PREFIX, LONGEST = "Represent this document for retrieval: ", 20_000
+#: Fixed value: what is put before a text.
+PREFIX = "Represent this document for retrieval: "
 
 
 def hashed_words(texts: list[str], size: int = 64) -> np.ndarray:
@@ -25,19 +25,20 @@ def hashed_words(texts: list[str], size: int = 64) -> np.ndarray:
     return out
 
 
-def embed_texts(chunks: DataFrame, embedder: Callable[[list[str]], np.ndarray] = hashed_words, text_col: str = "text", batch: int = 32) -> DataFrame:
+def embed_texts(chunks: DataFrame, embedder: Callable[[list[str]], np.ndarray] = hashed_words, text_col: str = "text", batch: int = 32, longest: int | None = None) -> DataFrame:
     """Adds embedding (unit length) and embedding_error to chunks, text by text.
 
     The function gets lists of prefixed texts and returns a row for each.  Blank and null texts
     get no embedding and an error, as does a zero row; a text's embedding doesn't depend on its
-    neighbours or their order.
+    neighbours or their order.  Whole texts are embedded; `longest` cuts them
+    for services that take no more than so many characters, 20,000 say.
     """
     chunks = chunks.drop("embedding", "embedding_error")
     schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("embedding_error", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = [(x or "")[:LONGEST] for x in frame[text_col]]
+            texts = [(x or "")[:longest] for x in frame[text_col]]
             at = [i for i, x in enumerate(texts) if x.strip()]
             found: list = [None] * len(texts)
             error: list = ["Empty text"] * len(texts)

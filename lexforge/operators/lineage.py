@@ -1,4 +1,4 @@
-"""Chains and cycles of the relation graph, by pointer doubling and trimming."""
+"""Chains and cycles of the relation graph, by pointer doubling, contraction and trimming."""
 
 from __future__ import annotations
 
@@ -53,52 +53,194 @@ def newer_same_topic(orders: DataFrame, superseded: DataFrame | None = None) ->
     return out if superseded is None else out.join(superseded.select("go_id"), "go_id", "left_anti")
 
 
+def jumps(pointers: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Where following (node, to), one pointer a node, ends: (node, end, hops, least, at), and the
+    pointers of 1, 2, 4 ... hops that the rounds doubled.
+
+    A node that runs into a ring has a null end, and at is a node of the ring; least is the
+    least node of what it runs through, which for a node of the ring is the ring's.  Rounds
+    grow with the logarithm of the longest way and are written to the shared folder.
+    """
+    ends = pointers.select(F.col("to").alias("node")).distinct().join(pointers, "node", "left_anti")
+    now = pointers.select("node", F.col("to").alias("at"), F.lit(1).cast("long").alias("hops"), F.least("node", "to").alias("least"), F.lit(False).alias("done"))
+    now = written(now.unionByName(ends.select("node", F.col("node").alias("at"), F.lit(0).cast("long").alias("hops"), F.col("node").alias("least"), F.lit(True).alias("done"))), "jumps")
+    tables, before = [], None
+    while True:
+        tables.append(now.select("node", "at"))
+        on = now.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("least").alias("_least"), F.col("done").alias("_done"))
+        step = now.join(on, "at").select(
+            "node", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"), F.least("least", "_least").alias("least"), (F.col("done") | F.col("_done")).alias("done"),
+            ((F.col("done") | F.col("_done")) & ~F.col("done")).alias("_ended"), (F.col("_least") < F.col("least")).alias("_sank"),
+        )
+        step = written(step, "jumps")
+        # The nodes that open ways have come to grow fewer until they are those of the rings.
+        moved, rings = step.agg(F.max((F.col("_ended") | (F.col("_sank") & ~F.col("done"))).cast("int")), F.count_distinct(F.when(~F.col("done"), F.col("at")))).first()
+        now = step.drop("_ended", "_sank")
+        if not moved and rings in (0, before):
+            break
+        before = rings
+    return now.select("node", F.when(F.col("done"), F.col("at")).alias("end"), "hops", "least", "at"), tables
+
+
+def lineage_chains(relations: DataFrame) -> DataFrame:
+    """Every order of a supersedes or amends edge once, in a chain from older to newer:
+    (go_id, chain, place, next_chain, next_place).
+
+    What follows an order is the source of its first incoming edge, that of least (seq,
+    source_id).  An order that follows several stands in the chain of the least of them; the
+    others' chains end there and go on at (next_chain, next_place), so all chains together are
+    as long as there are orders.  A cycle is opened before its least order.  chain is the
+    chain's first order, places count from 0.
+    """
+    edges = relations.filter(F.col("relation_type").isin("supersedes", "amends") & F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
+    after = written(edges.groupBy(F.col("target_id").alias("node")).agg(F.min(F.struct("seq", "source_id"))["source_id"].alias("next")), "after")
+    # Back along the chains: each order points to the least one that it follows.
+    back = written(after.filter("node <> next").groupBy(F.col("next").alias("node")).agg(F.min("node").alias("to")), "back")
+    found, _ = jumps(back)
+    found = written(found, "found")
+    # In a cycle every order points on; the least one's pointer is left out.
+    looped = found.filter("end IS NULL").select("node", "least")
+    heads = looped.filter("node = least").select("node")
+    ranked = found.filter("end IS NOT NULL").select("node", F.col("end").alias("chain"), F.col("hops").alias("place"))
+    if heads.limit(1).count():
+        again, _ = jumps(back.join(looped, "node", "left_semi").join(heads, "node", "left_anti"))
+        ranked = ranked.unionByName(again.select("node", F.col("end").alias("chain"), F.col("hops").alias("place")))
+    orders = edges.select(F.col("source_id").alias("node")).union(edges.select("target_id")).distinct()
+    ranked = written(orders.join(ranked, "node", "left").select("node", F.coalesce("chain", "node").alias("chain"), F.coalesce("place", F.lit(0)).alias("place")), "ranked")
+    to = ranked.select(F.col("node").alias("next"), F.col("chain").alias("next_chain"), F.col("place").alias("next_place"))
+    linked = ranked.join(after, "node", "left").join(to, "next", "left")
+    # Inside a chain the next order is the next place; only a chain's last order links on.
+    inside = (F.col("next_chain") == F.col("chain")) & (F.col("next_place") == F.col("place") + 1)
+    link = lambda c: F.when(~F.coalesce(inside, F.lit(True)), F.col(c))
+    return linked.select(F.col("node").alias("go_id"), "chain", "place", link("next_chain").alias("next_chain"), link("next_place").alias("next_place"))
+
+
+def ordered_lineage(asked: DataFrame, chains: DataFrame) -> DataFrame:
+    """(start, place, go_id): the whole ordered chain from each asked order (go_id) on, oldest first.
+
+    A chain is followed over its links until it ends or would meet an order again; each round
+    adds one chain's stretch to every asked order.  Orders without edges are alone.
+    """
+    chains = chains.select("go_id", "chain", F.col("place").alias("_p"), "next_chain", "next_place")
+    last = chains.filter("next_chain IS NOT NULL").select(F.col("chain").alias("_c"), F.col("_p").alias("_until"), "next_chain", "next_place")
+    longest = chains.groupBy("chain").agg(F.max("_p").alias("_end"))
+    at = asked.select(F.col("go_id").alias("start")).distinct().join(chains.select(F.col("go_id").alias("start"), "chain", "_p"), "start", "left")
+    alone = at.filter("chain IS NULL").select("start", F.lit(0).cast("long").alias("place"), F.col("start").alias("go_id"))
+    open_ = written(at.filter("chain IS NOT NULL").select("start", "chain", F.col("_p").alias("first"), F.lit(0).cast("long").alias("base")), "open")
+    parts, seen = [alone], None
+    while open_.limit(1).count():
+        spans = open_.join(longest, "chain").withColumnRenamed("_end", "until")
+        if seen is not None:
+            # A stretch that was passed before ends the chain; so does reaching its first order again.
+            again = seen.select("start", "chain", F.col("first").alias("_f"))
+            spans = spans.join(again, ["start", "chain"], "left").groupBy("start", "chain", "first", "base", "until").agg(F.min(F.when(F.col("_f") >= F.col("first"), F.col("_f"))).alias("_stop"), F.max(F.when(F.col("_f") <= F.col("first"), F.lit(1))).alias("_met"))
+            spans = spans.filter("_met IS NULL").withColumn("until", F.coalesce(F.col("_stop") - 1, F.col("until"))).drop("_met", "_stop")
+        spans = written(spans, "spans")
+        seen = spans if seen is None else written(seen.unionByName(spans), "seen")
+        parts.append(spans.join(chains.select("chain", "_p", "go_id"), "chain").filter("_p >= first AND _p <= until").select("start", (F.col("base") + F.col("_p") - F.col("first")).alias("place"), "go_id"))
+        on = spans.join(last, (F.col("chain") == F.col("_c")) & (F.col("until") == F.col("_until")))
+        open_ = written(on.select("start", F.col("next_chain").alias("chain"), F.col("next_place").alias("first"), (F.col("base") + F.col("until") - F.col("first") + 1).alias("base")), "open")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def detect_cycles(edges: DataFrame) -> DataFrame:
     """Nodes of (src, dst) that can reach themselves, with the greatest node of their cycle group.
 
-    Nodes without a way in or out are trimmed until none is left.  Then every node takes the
-    greatest node that reaches it as its colour; the nodes of a colour that reach its own
-    node are one group, which is a cycle if it has an edge inside; they leave, and the rest is
-    trimmed and coloured anew.  Rounds are written to the shared folder.
+    Nodes with one way out are contracted into where their ways end, found by doubling, then
+    those with one way in, and nodes without a way in or out are left out, until nothing
+    shrinks; chains, rings and trees so take rounds by the logarithm of their length.  What is
+    left is coloured: every node takes the greatest node that reaches it, and those that reach
+    their colour's own node are a group, which leaves.  Then the contracted nodes that lie
+    between a group's nodes are added to it.  Rounds are written to the shared folder.
     """
     live = written(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "cycles")
-    found = []
-    while True:
-        before = live.count()
-        while before:
+    layers, groups = [], []
+    # A node with an edge to itself is a group of its own, if of no greater one.
+    own = live.filter("src = dst").select(F.col("src").alias("node"))
+    live = written(live.filter("src <> dst"), "cycles")
+    size = live.count()
+    while size:
+        before = size
+        for way, other in (("src", "dst"), ("dst", "src")):
+            live, layer, ring, loop = _contracted(live, way, other)
+            layers.append((loop, layer))
+            groups.append(ring)
             live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
             live = written(live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"), "cycles")
-            after = live.count()
-            if after == before:
-                break
-            before = after
-        if not before:
-            break
-        colour = written(live.select(F.col("dst").alias("node")).distinct().withColumn("colour", F.col("node")), "colours")
-        moved = 1
-        while moved:
-            heard = live.join(colour, live["src"] == colour["node"]).groupBy("dst").agg(F.max("colour").alias("heard"))
-            step = colour.join(heard, colour["node"] == heard["dst"], "left").select("node", F.greatest("colour", "heard").alias("new"), "colour")
-            colour = written(step, "colours")
-            moved = colour.filter("new <> colour").limit(1).count()
-            colour = colour.select("node", F.col("new").alias("colour"))
-        ends = [colour.select(F.col("node").alias(e), F.col("colour").alias(f"c_{e}")) for e in ("src", "dst")]
-        inside = written(live.join(ends[0], "src").join(ends[1], "dst").filter("c_src = c_dst").select("src", "dst", F.col("c_src").alias("colour")), "inside")
-        group = written(colour.filter("node = colour"), "groups")
-        grown = 1
-        while grown:
-            more = inside.join(group.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct().join(group, "node", "left_anti")
-            more = written(more, "groups")
-            grown = more.limit(1).count()
-            group = group.unionByName(more)
-        group = written(group, "groups")
-        looped = inside.join(group.select(F.col("node").alias("src")), "src", "left_semi").join(group.select(F.col("node").alias("dst")), "dst", "left_semi")
-        found.append(group.join(looped.select("colour").distinct(), "colour", "left_semi").select("node", F.col("colour").alias("cycle_group")))
-        gone = group.select(F.col("node").alias("src"))
-        live = written(live.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti"), "cycles")
-    if not found:
-        return edges.limit(0).select(F.col("src").alias("node"), F.col("dst").alias("cycle_group"))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+        size = live.count()
+        if size == before:
+            group = _coloured(live)
+            groups.append(group.withColumn("_n", F.count("*").over(W.partitionBy("rep"))).filter("_n > 1").drop("_n"))
+            gone = group.select(F.col("node").alias("src"))
+            live = written(live.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti"), "cycles")
+            size = live.count()
+    found = edges.limit(0).select(F.col("src").alias("node"), F.col("dst").alias("rep"))
+    for group in groups:
+        found = found.unionByName(group)
+    alone = lambda nodes: nodes.join(found, "node", "left_anti").select("node", F.col("node").alias("rep"))
+    found = written(found, "found")
+    for loop, layer in reversed(layers):
+        # A node that its contracted neighbours gave an edge to itself is a group, if it is in no greater one.
+        found = written(found.unionByName(alone(loop)), "found")
+        found = _expanded(found, *layer)
+    found = found.unionByName(alone(own))
+    return found.withColumn("cycle_group", F.max("node").over(W.partitionBy("rep"))).select("node", "cycle_group")
+
+
+def _contracted(live: DataFrame, way: str, other: str):
+    """Edges after contraction of the nodes with one edge from `way` to `other`, and what undoes it."""
+    degree = live.groupBy(F.col(way).alias("node")).agg(F.count("*").alias("n"), F.min(other).alias("to"))
+    single = written(degree.filter("n = 1").select("node", "to"), "single")
+    found, tables = jumps(single)
+    found = written(found, "ends")
+    # Ways that never end run into a ring, which has no other way on; its nodes point back to themselves.
+    lost = found.filter("end IS NULL")
+    ring = lost.join(lost.select(F.col("at").alias("node")).distinct(), "node", "left_semi").select("node", F.col("least").alias("rep"))
+    ends = found.filter("end IS NOT NULL").select("node", "end")
+    tree = written(single.join(ends, "node").select("node", "to", "end"), "tree")
+    rest = live.join(single.select(F.col("node").alias(way)), way, "left_anti")
+    rest = rest.join(lost.select(F.col("node").alias(other)), other, "left_anti")
+    moved = written(rest.join(ends.select(F.col("node").alias(other), "end"), other, "left").select(F.col(way), F.coalesce("end", other).alias(other), F.col(other).alias("entry")), "moved")
+    loop = moved.filter("src = dst").select(F.col("src").alias("node")).distinct()
+    left = written(moved.filter("src <> dst").select("src", "dst").distinct(), "cycles")
+    entries = moved.filter(F.col("entry") != F.col(other)).select(F.col(way).alias("from"), F.col(other).alias("end"), "entry")
+    return left, (tree, entries, tables), ring, loop
+
+
+def _expanded(found: DataFrame, tree: DataFrame, entries: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """found with the contracted nodes that lie on a way from an entry to its end inside a group."""
+    one, two = (found.select(F.col("node").alias(c), F.col("rep").alias(f"_{c}")) for c in ("from", "end"))
+    marked = entries.join(one, "from").join(two, "end").filter("_from = _end").select(F.col("entry").alias("node"), F.col("_end").alias("rep")).distinct()
+    marked = written(marked, "marked")
+    if not marked.limit(1).count():
+        return found
+    inside = tree.select("node")
+    for table in tables:
+        marked = written(marked.unionByName(marked.join(table, "node").select(F.col("at").alias("node"), "rep").join(inside, "node", "left_semi")).distinct(), "marked")
+    return written(found.unionByName(marked.join(found, "node", "left_anti")), "found")
+
+
+def _coloured(live: DataFrame) -> DataFrame:
+    """(node, rep) of a cycle group of each colour of a graph where every node has ways in and out."""
+    colour = written(live.select(F.col("dst").alias("node")).distinct().withColumn("colour", F.col("node")), "colours")
+    moved = 1
+    while moved:
+        heard = live.join(colour, live["src"] == colour["node"]).groupBy("dst").agg(F.max("colour").alias("heard"))
+        step = colour.join(heard, colour["node"] == heard["dst"], "left").select("node", F.greatest("colour", "heard").alias("new"), "colour")
+        colour = written(step, "colours")
+        moved = colour.filter("new <> colour").limit(1).count()
+        colour = colour.select("node", F.col("new").alias("colour"))
+    ends = [colour.select(F.col("node").alias(e), F.col("colour").alias(f"c_{e}")) for e in ("src", "dst")]
+    inside = written(live.join(ends[0], "src").join(ends[1], "dst").filter("c_src = c_dst").select("src", "dst", F.col("c_src").alias("colour")), "inside")
+    group = written(colour.filter("node = colour"), "groups")
+    grown = 1
+    while grown:
+        more = inside.join(group.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct().join(group, "node", "left_anti")
+        more = written(more, "groups")
+        grown = more.limit(1).count()
+        group = group.unionByName(more)
+    group = written(group, "groups")
+    return group.select("node", F.col("colour").alias("rep"))

@@ -10,6 +10,7 @@ from ..operators import relations as r
 from ..operators import resolution as res
 from ..operators import warehouse as w
 from ..plans.registering import Register
+from ..sources.staging import written
 
 register = Register()
 
@@ -144,7 +145,7 @@ def _misread(v):
 
 
 register("res_04_resolve_fuzzy", lambda v: res.resolve_fuzzy(_misread(v), v("books"), "go"))
-register("res_05_resolve_relations", lambda v: res.resolve_relations(v("mentions"), v("books")).select("rel_id", "canonical_id", "method", F.round("resolution_confidence", 9).alias("resolution_confidence"), F.round("confidence", 9).alias("confidence"), "status"))
+register("res_05_resolve_relations", lambda v: res.resolve_relations(written(v("mentions"), "mentions"), v("books")).select("rel_id", "canonical_id", "method", F.round("resolution_confidence", 9).alias("resolution_confidence"), F.round("confidence", 9).alias("confidence"), "status"))
 register("grf_02_newer_same_topic", lambda v: lineage.newer_same_topic(v("topics")), r"""
 WITH t AS (SELECT go_id, department, go_date, seq, unnest(list_distinct(list_filter(string_split(subject, ' '), lambda x: length(x) > 4))) AS w FROM topics),
 p AS (SELECT a.go_id, b.go_id AS later, b.seq FROM t a JOIN t b ON a.w = b.w AND a.department IS NOT DISTINCT FROM b.department AND b.go_date > a.go_date GROUP BY 1, 2, 3 HAVING count(*) >= 2)
@@ -153,6 +154,10 @@ register("grf_04_detect_cycles", lambda v: lineage.detect_cycles(v("rings")).sel
 WITH RECURSIVE reach AS (SELECT src, dst FROM rings UNION SELECT reach.src, e.dst FROM reach JOIN rings e ON e.src = reach.dst)
 SELECT src AS node FROM reach WHERE src = dst""")
 
+register("grf_04_cycle_groups", lambda v: lineage.detect_cycles(v("rings")), """
+WITH RECURSIVE reach AS (SELECT src, dst FROM rings UNION SELECT reach.src, e.dst FROM reach JOIN rings e ON e.src = reach.dst)
+SELECT a.src AS node, max(a.dst) AS cycle_group FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src GROUP BY 1""")
+
 
 def _again(v):
     rows = w.relations_to_judgments(v("relations"), v("docs"))

@@ -16,14 +16,14 @@ from .plans.fixtures import view, with_sql
 from .registered import relations as linked
 from .registered import details, jobs, search, structure, tables
 from .registered import text as texts
-from .sources.staging import new_folder
+from .sources.staging import new_folder, written
 from .streaming.ingest import ingest, not_yet_ingested
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _register(name: str, job, sql: str | None) -> None:
+def _register(name: str, job, sql: str | None = None) -> None:
     QUERIES[name] = lambda spark, sf_dir: job(lambda table: view(spark, sf_dir, table))
     if sql:
         ORACLE_SQL[name] = with_sql(sql)
@@ -194,8 +194,8 @@ WITH q AS (SELECT DISTINCT query_id, 1993 + query_id % 5 AS q FROM hits ), j AS
 SELECT query_id, chunk_id, source, year FROM j WHERE year IS NULL OR CASE o WHEN 0 THEN year < q WHEN 1 THEN year > q WHEN 2 THEN abs(year - q) <= 2 ELSE year = q END""")
 _register("ret_13_compare_documents", lambda v: t.compare_documents(v("hits"), v("docs")).withColumn("doc_date", F.col("doc_date").cast("string")),
           "SELECT query_id, document_id, min(title) AS title, CAST(min(doc_date) AS VARCHAR) AS doc_date, count(*) AS n_chunks, max(score) AS best FROM hits JOIN docs USING (document_id) GROUP BY 1, 2")
-_register("ret_17_answer_confidence", lambda v: t.answer_confidence(v("hits").filter("rnk <= 3"), v("docs")), """
-WITH g AS (SELECT query_id, count(*) AS n, count(*) FILTER (binding_strength = 'binding') AS n_binding FROM hits LEFT JOIN docs USING (document_id) WHERE rnk <= 3 GROUP BY 1)
+_register("ret_17_answer_confidence", lambda v: t.answer_confidence(v("hits"), v("docs")), """
+WITH g AS (SELECT query_id, count(*) AS n, count(*) FILTER (binding_strength = 'binding') AS n_binding FROM hits LEFT JOIN docs USING (document_id) GROUP BY 1)
 SELECT *, round(least(n / 5, 1.0) * 0.4 + least(n_binding / 3, 1.0) * 0.6, 9) AS confidence FROM g""")
 _register("evl_01_citation_accuracy", lambda v: t.citation_accuracy(v("golden"), v("answered")), """
 WITH j AS (SELECT coalesce(e.query_id, a.query_id) AS query_id, e.document_id AS e, a.document_id AS a FROM golden e FULL JOIN answered a ON e.query_id = a.query_id AND e.document_id = a.document_id),
@@ -274,9 +274,26 @@ WITH RECURSIVE f AS MATERIALIZED (SELECT source_id AS s, arg_min(target_id, (seq
 w AS (SELECT go_id, go_id AS node, CAST(0 AS BIGINT) AS depth FROM go_master UNION ALL SELECT go_id, t, depth + 1 FROM w JOIN f ON s = node)
 SELECT go_id, arg_max(node, depth) AS root, max(depth) AS depth FROM w GROUP BY 1""")
 
-_register("ret_12_timeline", lambda v: a.timeline(v("hits").filter("rnk <= 20"), v("docs")), """
+
+
+def _ordered(v):
+    """The chain of every order at which a way back ends."""
+    roots = lineage.trace_lineage(v("go_master"), v("relations")).filter("root IS NOT NULL").select(F.col("root").alias("go_id")).distinct()
+    return lineage.ordered_lineage(roots, written(lineage.lineage_chains(v("relations")), "chains")).select(F.col("start").alias("root"), "place", "go_id")
+
+
+_register("grf_03_ordered_lineage", _ordered, """
+WITH RECURSIVE f AS MATERIALIZED (SELECT source_id AS s, arg_min(target_id, (seq, target_id)) AS t FROM relations WHERE relation_type IN ('supersedes', 'amends') GROUP BY 1),
+w AS (SELECT go_id, go_id AS node, 0 AS depth FROM go_master UNION ALL SELECT go_id, t, depth + 1 FROM w JOIN f ON s = node),
+n AS MATERIALIZED (SELECT target_id AS s, arg_min(source_id, (seq, source_id)) AS t FROM relations WHERE relation_type IN ('supersedes', 'amends') GROUP BY 1),
+c AS (SELECT root, CAST(0 AS BIGINT) AS place, root AS go_id, [root] AS seen FROM (SELECT DISTINCT arg_max(node, depth) AS root FROM w GROUP BY go_id)
+  UNION ALL SELECT root, place + 1, t, list_append(seen, t) FROM c JOIN n ON n.s = c.go_id WHERE NOT list_contains(seen, t))
+SELECT root, place, go_id FROM c""")
+_register("grf_03_lineage_chains", lambda v: lineage.lineage_chains(v("relations")))
+
+_register("ret_12_timeline", lambda v: a.timeline(v("hits"), v("docs")), """
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_date, document_id) AS place, year(doc_date) AS year, document_id, title
-FROM (SELECT DISTINCT query_id, document_id FROM hits WHERE rnk <= 20) x JOIN docs USING (document_id)""")
+FROM (SELECT DISTINCT query_id, document_id FROM hits) x JOIN docs USING (document_id)""")
 _LAYERS = {"primary": (0.5, ["go", "regulation"]), "binding": (0.3, ["judgment"]), "impact": (0.2, ["policy", "report"])}
 _register("ret_10_layered_retrieve", lambda v: a.layered(v("hits"), v("docs"), _LAYERS, 20), """
 WITH l AS (SELECT query_id, chunk_id, min(CASE WHEN doc_type IN ('go', 'regulation') THEN 0 WHEN doc_type = 'judgment' THEN 1 ELSE 2 END) AS n, max(score) AS score FROM hits JOIN docs USING (document_id) GROUP BY 1, 2),
@@ -297,11 +314,11 @@ SELECT query_id, count(*) AS n, string_agg('[' || rank || '] ' || t || ' (' || d
 _SIGNALS = """
 WITH c AS (SELECT query_id, count(*) FILTER (document_id IN (SELECT target_id FROM relations WHERE relation_type = 'overrules')) AS overruled_precedent, count(*) FILTER (status = 'superseded') AS temporal_conflict,
 CAST(count(*) FILTER (doc_type = 'judgment' AND court = 'Supreme Court') > 1 AS BIGINT) AS conflicts_with_sc_judgment, CAST(count(*) FILTER (doc_type = 'go') > 0 AND count(*) FILTER (doc_type = 'regulation') > 0 AS BIGINT) AS conflicts_with_legal_act
-FROM hits LEFT JOIN docs USING (document_id) WHERE rnk <= 3 GROUP BY 1),
+FROM hits LEFT JOIN docs USING (document_id) GROUP BY 1),
 s AS (SELECT query_id, 'overruled_precedent' AS signal, overruled_precedent AS n, 6.0::DOUBLE AS w FROM c UNION ALL SELECT query_id, 'temporal_conflict', temporal_conflict, 5 FROM c
 UNION ALL SELECT query_id, 'conflicts_with_sc_judgment', conflicts_with_sc_judgment, 10 FROM c UNION ALL SELECT query_id, 'conflicts_with_legal_act', conflicts_with_legal_act, 8 FROM c)
 """
-_signals = lambda v: a.risk_signals(v("hits").filter("rnk <= 3"), v("relations"), v("docs"))
+_signals = lambda v: a.risk_signals(v("hits"), v("relations"), v("docs"))
 _register("rsk_01_risk_signals", _signals, _SIGNALS + "SELECT query_id, signal, n FROM s WHERE n > 0")
 _register("rsk_02_risk_score", lambda v: a.risk_score(_signals(v)), _SIGNALS + """, z AS (SELECT query_id, CAST(sum(n) AS BIGINT) AS n_signals, least(sum(n * w) * 5, 100.0::DOUBLE) AS risk_score FROM s WHERE n > 0 GROUP BY 1)
 SELECT *, CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 40 THEN 'medium' WHEN risk_score >= 20 THEN 'low' ELSE 'none' END AS risk_level FROM z""")

@@ -164,3 +164,12 @@ def test_ingest_corpus_reports_every_document(spark):
     assert len(results) == 27 and results["tiny"].failed_stage == results["none"].failed_stage == "extraction"
     assert all(x.n_chunks > 0 for x in results.values() if x.status == "success")
     assert {"supersedes", "amends"} <= {x.relation_type for x in out["relations"].collect()}
+
+
+def test_whole_texts_are_embedded(spark):
+    """A word behind the first 20,000 characters counts, unless a longest length is given."""
+    from lexforge.functions.embedding import embed_texts
+
+    df = spark.createDataFrame([("a", "same " * 5000), ("b", "same " * 5000 + "other " * 900)], "chunk_id string, text string")
+    whole, cut = ({r.chunk_id: r.embedding for r in embed_texts(df, longest=n).collect()} for n in (None, 20_000))
+    assert whole["a"] != whole["b"] and cut["a"] == cut["b"]
