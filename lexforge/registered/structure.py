@@ -120,9 +120,9 @@ def _legal(v):
 
 register("str_07_legal_nodes", lambda v: _legal(v).withColumn("content", F.md5("content")).withColumn("n_clauses", F.col("n_clauses").cast("long")),
          _LEGAL + "SELECT document_id, start, section_type, number, title, md5(content) AS content, n_clauses, confidence, part, chapter FROM lz")
-_CLAUSES = r"array_to_string(regexp_extract_all(lz.content, '(?im)^\s*\(([0-9a-zA-Z]|[ivx]+)\)\s+', 1), '|')"
+_NODE_CLAUSES = r"array_to_string(regexp_extract_all(lz.content, '(?im)^\s*\(([0-9a-zA-Z]|[ivx]+)\)\s+', 1), '|')"
 register("str_07_act_nodes", lambda v: act_nodes(v("filings").filter("vertical = 'legal'")).withColumns({"content": F.md5("content"), "clauses": F.array_join("clauses", "|")}),
-         _LEGAL + f"SELECT document_id, start, section_type, number, title, md5(content) AS content, {_CLAUSES} AS clauses, n_clauses, confidence, part, chapter FROM lz")
+         _LEGAL + f"SELECT document_id, start, section_type, number, title, md5(content) AS content, {_NODE_CLAUSES} AS clauses, n_clauses, confidence, part, chapter FROM lz")
 register("str_07_section_text", lambda v: section_text(act_nodes(v("filings")), v("filings").filter("vertical = 'legal'").select("document_id", F.when(F.col("k") % 2 == 0, "2").otherwise("1A").alias("number"))),
          _LEGAL + "SELECT f.document_id, f.number, lz2.content FROM (SELECT document_id, CASE WHEN k % 2 = 0 THEN '2' ELSE '1A' END AS number FROM filings WHERE vertical = 'legal') f LEFT JOIN (SELECT document_id, number, arg_min(content, start) AS content FROM lz GROUP BY 1, 2) lz2 ON lz2.document_id = f.document_id AND lz2.number = f.number")
 _AW = " OR ".join(f"contains(lower(substr(text, 1, 3000)), '{w}')" for w in ("be it enacted", "constitution of india", "notified", "regulation", "rules", "norms", "appendix", "ordinance"))
