@@ -6,11 +6,11 @@ docs have document_id, status, doc_date, jurisdiction, primary_domain and doc_ty
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .postings import SALTS, LexicalIndex, lexical_index, term_hits
 from .retrieval import authority_boost, exclude_overruled, rrf, source_priority
 
 #: Domain of a vertical, verticals of a domain, document type of a vertical.
@@ -40,57 +40,56 @@ def query_terms(text: Column, first: bool = False) -> Column:
     return F.array_distinct(found)
 
 
-def term_hits(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(chunk_id, document_id, term): the terms that a chunk's lower-cased text contains.
+def _dealt(asked: DataFrame, lists: DataFrame, on: list[str]) -> DataFrame:
+    """Each query's rows of its terms' lists; lists are short, so each goes to all parts that a term's queries are dealt into."""
+    salted = asked.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"])
 
-    One pass over the chunks with an automaton of the distinct terms, which are at most five
-    for each query of the set, so it grows with the queries and not with the chunks; no pairs
-    of queries and chunks are formed that don't match.
-    """
-    words = [r[0] for r in terms.select("term").distinct().collect()]
-
-    def find(batches):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word in words:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
-        for batch in batches:
-            out = [(c, d, t) for c, d, x in zip(*(col.to_pylist() for col in batch.columns), strict=True) for t in ({w for _, w in automaton.iter(x)} if words and x else ())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=["chunk_id", "document_id", "term"])
-
-    rows = chunks.select(F.col("chunk_id").cast("string"), F.col("document_id").cast("string"), F.lower("text").alias("text"))
-    return rows.mapInArrow(find, "chunk_id string, document_id string, term string")
 
-
-def lexical_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top: int) -> DataFrame:
+def lexical_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top: int, index: LexicalIndex | None = None) -> DataFrame:
     """Each query's first 2 * top chunks that contain any of its terms, the latest documents first.
 
     Only active documents of the query's domains, and where the query has since_date or
     jurisdiction (null: any) of that date or later and that place.  Scores are 1 / rank.
     Queries without terms or with null domains find nothing; ties go to the smaller chunk_id.
+
+    `index` is that of the chunks, made here if not given.  A term's chunks are cut to the
+    first 2 * top of each domain and jurisdiction before they meet the queries: whatever is
+    among a query's first is among the first of each of these lists that it stands in.
     """
+    index = index or lexical_index(chunks)
     optional = [c for c in ("since_date", "jurisdiction") if c in queries.columns]
-    asked = queries.select("query_id", "domains", *[F.col(c).alias(f"q_{c}") for c in optional], F.explode(query_terms(F.col("text"))).alias("term"))
-    known = docs.filter("status = 'active'").select("document_id", "doc_date", "primary_domain", "jurisdiction")
-    hits = term_hits(chunks, asked).join(known, "document_id").join(asked, "term").filter(F.array_contains("domains", F.col("primary_domain")))
+    asked = queries.select("query_id", F.array_distinct("domains").alias("domains"), *[F.col(c).alias(f"q_{c}") for c in optional], F.explode(query_terms(F.col("text"))).alias("term"))
+    known = docs.filter("status = 'active' AND primary_domain IS NOT NULL").select("document_id", "doc_date", "primary_domain", "jurisdiction")
+    group = ["term", "primary_domain", "jurisdiction"]
+    found = term_hits(index, asked).join(known, "document_id").groupBy(*group, "chunk_id").agg(F.max(F.struct("doc_date", "document_id")).alias("_d"))
+    found = found.select(*group, "chunk_id", "_d.doc_date", "_d.document_id")
+    latest = [F.col("doc_date").desc_nulls_last(), F.col("chunk_id")]
+    lists = found.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*latest))).filter(F.col("_n") <= 2 * top).drop("_n")
+    hits = _dealt(asked.withColumn("primary_domain", F.explode("domains")).drop("domains"), lists, ["term", "primary_domain"])
     if "since_date" in optional:
         hits = hits.filter("q_since_date IS NULL OR doc_date >= q_since_date")
     if "jurisdiction" in optional:
         hits = hits.filter("q_jurisdiction IS NULL OR jurisdiction = q_jurisdiction")
-    hits = hits.groupBy("query_id", "chunk_id").agg(F.first("document_id").alias("document_id"), F.max("doc_date").alias("doc_date"))
-    order = W.partitionBy("query_id").orderBy(F.col("doc_date").desc_nulls_last(), "chunk_id")
+    hits = hits.groupBy("query_id", "chunk_id").agg(F.max(F.struct("doc_date", "document_id")).alias("_d")).select("query_id", "chunk_id", "_d.doc_date", "_d.document_id")
+    order = W.partitionBy("query_id").orderBy(*latest)
     return hits.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= 2 * top).select(
         "query_id", "chunk_id", "document_id", F.lit("lexical").alias("source"), (1.0 / F.col("rnk")).alias("score"), "rnk"
     )
 
 
-def clause_search(queries: DataFrame, clauses: DataFrame, top: int) -> DataFrame:
-    """Each query's first `top` clauses, by id, that contain a long word among its first five."""
+def clause_search(queries: DataFrame, clauses: DataFrame, top: int, index: LexicalIndex | None = None) -> DataFrame:
+    """Each query's first `top` clauses, by id, that contain a long word among its first five.
+
+    `index` is that of the clauses, made here if not given; a term's clauses are cut to its
+    first `top` before they meet the queries.
+    """
+    index = index or lexical_index(clauses)
     asked = queries.select("query_id", F.explode(query_terms(F.col("text"), first=True)).alias("term"))
-    hits = term_hits(clauses, asked).join(asked, "term").select("query_id", "chunk_id", "document_id").distinct()
-    order = W.partitionBy("query_id").orderBy("chunk_id")
+    first = F.row_number().over(W.partitionBy("term").orderBy("chunk_id", "document_id"))
+    lists = term_hits(index, asked).distinct().withColumn("_n", first).filter(F.col("_n") <= top).drop("_n")
+    hits = _dealt(asked, lists, ["term"]).select("query_id", "chunk_id", "document_id").distinct()
+    order = W.partitionBy("query_id").orderBy("chunk_id", "document_id")
     return hits.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= top).withColumn("score", 1.0 / F.col("rnk"))
 
 
