@@ -14,7 +14,7 @@ from .operators import retrieval as t
 from .operators import warehouse as w
 from .plans.fixtures import view, with_sql
 from .registered import relations as linked
-from .registered import details, jobs, search, structure, tables
+from .registered import details, jobs, routed, search, structure, tables
 from .registered import text as texts
 from .sources.staging import new_folder, written
 from .streaming.ingest import ingest, not_yet_ingested
@@ -394,6 +394,6 @@ SELECT count(*) AS total_queries, count(*) FILTER (expected = actual) AS correct
 count(*) FILTER (expected = 'none' AND actual IN ('low', 'medium', 'high', 'critical')) AS false_positives, count(*) FILTER (expected IN ('low', 'medium', 'high', 'critical') AND actual = 'none') AS false_negatives,
 round(coalesce(count(*) FILTER (expected = actual) / nullif(count(*), 0), 0), 9) AS accuracy FROM b""")
 
-for _family in (search, linked, structure, texts, tables, jobs, details):
+for _family in (search, linked, structure, texts, tables, jobs, details, routed):
     QUERIES.update(_family.register.queries)
     ORACLE_SQL.update(_family.register.sql)
