@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import classify, entities, mentions
 from ..functions.segments import query_type
 from ..functions.unicode import clean_text
+from ..sources.commits import append_committed, create_tables, is_committed
 from ..sources.staging import written
 from . import chunking, extraction, resolution
 from .answers import citations, risk_score, risk_signals, timeline
@@ -77,3 +79,20 @@ def ingest_corpus(texts: DataFrame, registry: DataFrame) -> dict[str, DataFrame]
         "document_id", "vertical", F.when(failed.isNull(), "success").otherwise("failed").alias("status"), failed.alias("failed_stage"), "n_words", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("n_relations", F.lit(0)).alias("n_relations")
     )
     return {"documents": documents, "chunks": chunks, "entities": found, "relations": relations, "results": results}
+
+
+#: Columns that an ingested table can't do without.
+REQUIRED = {"documents": ["document_id"], "chunks": ["document_id", "chunk_id"], "entities": ["document_id"], "relations": ["rel_id", "source_id"], "results": ["document_id", "status"]}
+
+
+def ingest_to_tables(texts: DataFrame, registry: DataFrame, root: str, run_id: str) -> bool:
+    """ingest_corpus with its tables appended under `root` in one commit; False if run_id is there.
+
+    A run that dies leaves all tables as they were; rerun it under the same id.
+    """
+    if is_committed(texts.sparkSession, root, run_id):
+        return False
+    made = ingest_corpus(texts, registry)
+    schemas = {k: T.StructType([T.StructField(f.name, f.dataType, f.name not in REQUIRED[k]) for f in v.schema]) for k, v in made.items()}
+    create_tables(texts.sparkSession, root, f"{run_id}/create", schemas)
+    return append_committed(texts.sparkSession, root, run_id, made)

@@ -9,7 +9,7 @@ from ..functions import embedding, report_tables
 from ..functions import unicode as u
 from ..operators import anchors, packages
 from ..plans.registering import Register
-from ..sources import files, sinks
+from ..sources import commits, files, sinks
 from ..sources.staging import new_folder
 from .search import _hybrid
 
@@ -90,6 +90,26 @@ register("snk_02_load_table", _loaded, """
 SELECT CASE WHEN k % 5 <> 0 AND k % 7 <> 0 THEN document_id END AS go_id, CASE WHEN k % 5 <> 0 AND k % 7 <> 0 THEN k END AS amount, CASE WHEN k % 5 = 0 AND k % 7 = 0 THEN 'go_id,amount' WHEN k % 5 = 0 THEN 'go_id' WHEN k % 7 = 0 THEN 'amount' END AS missing FROM papers""")
 
 
+def _tables(v):
+    """Papers appended to two tables, one run twice; a dropped table is empty again."""
+    spark, root = v("documents").sparkSession, _folder(v, "tables")
+    rows = v("papers").select(F.when(F.col("k") % 5 != 0, F.col("document_id")).alias("go_id"), F.when(F.col("k") % 7 == 0, "many").otherwise(F.col("k").cast("string")).alias("amount"), F.col("title").alias("note"), F.lit(1).alias("other"))
+    commits.create_tables(spark, root, "make", {"orders": _SCHEMA, "gone": _SCHEMA})
+    for run in ("first", "first", "second"):
+        commits.append_committed(spark, root, run, {"orders": rows, "gone": rows.filter("amount <> 'many'")})
+    commits.create_tables(spark, root, "again", {"orders": _SCHEMA})
+    commits.create_tables(spark, root, "drop", {"gone": _SCHEMA}, drop=True)
+    good, bad = commits.read_committed(spark, root, "orders"), commits.read_committed(spark, root, "quarantine")
+    left = commits.read_committed(spark, root, "gone").select("go_id", "amount", F.lit("left").alias("state"))
+    return good.select("go_id", "amount", "note").unionByName(left.withColumnRenamed("state", "note")).unionByName(
+        bad.filter("table = 'orders'").select(F.get_json_object("raw_payload", "$.go_id").alias("go_id"), F.lit(None).cast("long").alias("amount"), F.col("error_type").alias("note")))
+
+
+register("snk_02_committed_tables", _tables, """
+SELECT CASE WHEN k % 5 <> 0 THEN document_id END AS go_id, CASE WHEN k % 5 <> 0 AND k % 7 <> 0 THEN k END AS amount,
+CASE WHEN k % 5 = 0 AND k % 7 = 0 THEN 'go_id,amount' WHEN k % 5 = 0 THEN 'go_id' WHEN k % 7 = 0 THEN 'amount' ELSE title END AS note FROM papers, (VALUES (1), (2)) x(run)""")
+
+
 def _payload(v):
     rows = v("chunks").join(v("papers").select("document_id", "k"), "document_id").select("document_id", "chunk_id", F.repeat("text", 20).alias("text"), F.when(F.col("k") % 2 == 0, "GO ").alias("vertical"), (F.col("k") % 3 == 0).alias("is_table"))
     got = sinks.vector_payload(rows)
@@ -139,4 +159,20 @@ def _ingested(v):
 
 
 register("tbl_19_ingest_corpus", _ingested)
+
+
+def _committed(v):
+    """The ingested documents as their tables give them back, a run committed twice."""
+    spark, root = v("documents").sparkSession, _folder(v, "ingested")
+    for _ in range(2):
+        packages.ingest_to_tables(v("filings").select("document_id", "file_name", "text"), v("books"), root, "night")
+    counts = [commits.read_committed(spark, root, t).select("document_id", F.lit(t).alias("table")) for t in ("documents", "chunks", "entities", "results")]
+    counts.append(commits.read_committed(spark, root, "relations").select(F.col("source_id").alias("document_id"), F.lit("relations").alias("table")))
+    rows = counts[0]
+    for part in counts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("document_id", "table").agg(F.count("*").alias("n"))
+
+
+register("tbl_19_committed_tables", _committed)
 register("cln_08_clean_text", lambda v: v("filings").select("document_id", F.md5(u.clean_text(F.col("text"))).alias("cleaned_md5")))
