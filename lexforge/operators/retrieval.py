@@ -170,3 +170,24 @@ def overall_score(citations: DataFrame, authority: DataFrame, dates: DataFrame,
     )
     score = sum(w * ((1 - F.col(n)) if n == "hallucination_rate" else F.col(n)) for n, w in SCORE_WEIGHTS.items())
     return rows.withColumn("overall_score", F.round(score, 6))
+
+
+def evaluation_results(runs: DataFrame, expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """A row a query of an evaluation: whether it ran, its error, and its citation counts.
+
+    runs: every query's query_id and error (null: it ran).  A query that failed has no counts
+    and takes no part in the metrics; neither do answers to queries outside the runs.
+    """
+    counts = citation_accuracy(expected, actual)
+    ran = F.col("error").isNull()
+    rows = runs.select("query_id", "error").join(counts, "query_id", "left")
+    return rows.select("query_id", ran.alias("success"), "error", *[F.when(ran, F.coalesce(c, F.lit(0))).alias(c) for c in ("correct", "incorrect", "missing")], F.when(ran, F.coalesce("accuracy", F.lit(0.0))).alias("accuracy"))
+
+
+def evaluation_counts(results: DataFrame) -> DataFrame:
+    """One row: how many queries there were, ran and failed, and the share of expected citations found by those that ran."""
+    total = F.sum(F.col("correct") + F.col("missing"))
+    return results.agg(
+        F.count("*").alias("total_queries"), F.count_if("success").alias("successful_queries"), F.count_if(~F.col("success")).alias("failed_queries"),
+        F.round(F.coalesce(F.sum("correct") / F.nullif(total, F.lit(0)), F.lit(0.0)), 9).alias("recall"),
+    )

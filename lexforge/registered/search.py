@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import retrieval as t
 from ..operators import search as s
 from ..plans.registering import Register
+from ..sources.staging import new_folder
 
 register = Register()
 
@@ -90,3 +91,23 @@ k AS (SELECT sum(query_id % 9 + 1) AS claims, sum(least(query_id % 9 + 1, query_
 r AS (SELECT count(*) FILTER (expected = actual) / count(*) AS acc FROM risks WHERE expected IS NOT NULL)
 SELECT round(both_n / total, 9) AS citation_accuracy, round(auth / both_n, 9) AS authority_correctness, round(years / both_n, 9) AS temporal_correctness, round(1 - good / claims, 9) AS hallucination_rate, round(acc, 9) AS risk_detection,
 round(0.3 * round(both_n / total, 9) + 0.25 * round(auth / both_n, 9) + 0.15 * round(years / both_n, 9) + 0.2 * (1 - round(1 - good / claims, 9)) + 0.1 * round(acc, 9), 6) AS overall_score FROM m, n, k, r""")
+
+
+def _results(v):
+    """Results by query, saved as JSON lines and read back."""
+    runs = v("golden").select("query_id").distinct().withColumn("error", F.when(F.col("query_id") % 7 == 3, "timeout"))
+    rows = t.evaluation_results(runs, v("golden"), v("answered"))
+    path = new_folder(rows.sparkSession, "evaluation")
+    rows.write.json(path)
+    return rows.sparkSession.read.schema(rows.schema).json(path)
+
+
+_RESULTS = """
+WITH e AS (SELECT DISTINCT query_id, document_id FROM golden), a AS (SELECT DISTINCT query_id, document_id FROM answered), g AS (SELECT DISTINCT query_id FROM golden),
+n AS (SELECT g.query_id, (SELECT count(*) FROM e WHERE e.query_id = g.query_id) AS n_e, (SELECT count(*) FROM a WHERE a.query_id = g.query_id) AS n_a, (SELECT count(*) FROM e JOIN a ON e.query_id = a.query_id AND e.document_id = a.document_id WHERE e.query_id = g.query_id) AS n_both FROM g),
+r AS (SELECT query_id, query_id % 7 <> 3 AS success, CASE WHEN query_id % 7 = 3 THEN 'timeout' END AS error, CASE WHEN query_id % 7 <> 3 THEN n_both END AS correct, CASE WHEN query_id % 7 <> 3 THEN n_a - n_both END AS incorrect,
+      CASE WHEN query_id % 7 <> 3 THEN n_e - n_both END AS missing, CASE WHEN query_id % 7 <> 3 THEN round(n_both / n_e, 9) END AS accuracy FROM n)
+"""
+register("evl_06_query_results", _results, _RESULTS + "SELECT * FROM r")
+register("evl_06_counts", lambda v: t.evaluation_counts(_results(v)), _RESULTS + """
+SELECT count(*) AS total_queries, count(*) FILTER (success) AS successful_queries, count(*) FILTER (NOT success) AS failed_queries, round(sum(correct) / sum(correct + missing), 9) AS recall FROM r""")
