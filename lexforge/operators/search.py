@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .postings import SALTS, LexicalIndex, lexical_index, term_hits
+from .postings import LexicalIndex, lexical_index, term_hits
 from .retrieval import authority_boost, exclude_overruled, rrf, source_priority
 
 #: Domain of a vertical, verticals of a domain, document type of a vertical.
@@ -40,10 +40,17 @@ def query_terms(text: Column, first: bool = False) -> Column:
     return F.array_distinct(found)
 
 
+#: Queries of one term that meet its list in one part.
+PART = 1000
+
+
 def _dealt(asked: DataFrame, lists: DataFrame, on: list[str]) -> DataFrame:
-    """Each query's rows of its terms' lists; lists are short, so each goes to all parts that a term's queries are dealt into."""
-    salted = asked.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"])
+    """Each query's rows of its terms' lists.  A term that many queries ask is dealt into parts
+    of a thousand of them, to each of which its list, which is short, goes."""
+    parts = asked.groupBy(*on).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
+    salted = asked.join(parts, on).withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int")).drop("_parts")
+    dealt = lists.join(parts, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return salted.join(dealt, [*on, "_salt"])
 
 
 def lexical_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top: int, index: LexicalIndex | None = None) -> DataFrame:
