@@ -48,18 +48,21 @@ def lexical_index(chunks: DataFrame, path: str | None = None) -> LexicalIndex:
     return read_index(chunks.sparkSession, path)
 
 
-def term_hits(index: LexicalIndex, terms: DataFrame) -> DataFrame:
-    """(term, chunk_id, document_id): chunks whose lower-cased text contains the term, once for
-    each of its words that does.
+def term_words(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """(term, word): the indexed words that contain a term.
 
     terms: (term), of four characters or more and without white space, so a text contains one
     if a word of it does.  Each term is looked up by its rarest gram among the distinct words,
-    the words found are verified, and only their postings are read; no text is.
+    and the words found are verified; no text is read.
     """
     asked = terms.select("term").distinct()
     parts = asked.select("term", F.explode(_grams(F.col("term"))).alias("gram"))
     sizes = index.grams.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = parts.join(sizes, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram"))["gram"].alias("gram"))
-    words = index.grams.join(rarest, "gram").filter(F.col("word").contains(F.col("term"))).select("term", "word")
-    dealt = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return index.grams.join(rarest, "gram").filter(F.col("word").contains(F.col("term"))).select("term", "word")
+
+
+def term_hits(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """(term, chunk_id, document_id): chunks that contain the term, once for each of its words that does."""
+    dealt = term_words(index, terms).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return index.postings.join(dealt, ["word", "salt"]).select("term", "chunk_id", "document_id")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .postings import LexicalIndex, lexical_index, term_hits
+from .postings import LexicalIndex, lexical_index, term_hits, term_words
 from .retrieval import authority_boost, exclude_overruled, rrf, source_priority
 
 #: Domain of a vertical, verticals of a domain, document type of a vertical.
@@ -68,11 +68,17 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top:
     optional = [c for c in ("since_date", "jurisdiction") if c in queries.columns]
     asked = queries.select("query_id", F.array_distinct("domains").alias("domains"), *[F.col(c).alias(f"q_{c}") for c in optional], F.explode(query_terms(F.col("text"))).alias("term"))
     known = docs.filter("status = 'active' AND primary_domain IS NOT NULL").select("document_id", "doc_date", "primary_domain", "jurisdiction")
-    group = ["term", "primary_domain", "jurisdiction"]
-    found = term_hits(index, asked).join(known, "document_id").groupBy(*group, "chunk_id").agg(F.max(F.struct("doc_date", "document_id")).alias("_d"))
-    found = found.select(*group, "chunk_id", "_d.doc_date", "_d.document_id")
     latest = [F.col("doc_date").desc_nulls_last(), F.col("chunk_id")]
-    lists = found.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*latest))).filter(F.col("_n") <= 2 * top).drop("_n")
+
+    def first(rows: DataFrame, key: str) -> DataFrame:
+        group = [key, "primary_domain", "jurisdiction"]
+        once = rows.groupBy(*group, "chunk_id").agg(F.max(F.struct("doc_date", "document_id")).alias("_d")).select(*group, "chunk_id", "_d.doc_date", "_d.document_id")
+        return once.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*latest))).filter(F.col("_n") <= 2 * top).drop("_n")
+
+    # Words are cut before terms, since a term's words share few chunks but a word many terms.
+    words = term_words(index, asked)
+    of_words = first(index.postings.join(words.select("word").distinct(), "word", "left_semi").join(known, "document_id"), "word")
+    lists = first(of_words.join(words, "word"), "term")
     hits = _dealt(asked.withColumn("primary_domain", F.explode("domains")).drop("domains"), lists, ["term", "primary_domain"])
     if "since_date" in optional:
         hits = hits.filter("q_since_date IS NULL OR doc_date >= q_since_date")
