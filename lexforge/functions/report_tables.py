@@ -1,4 +1,4 @@
-"""Tables of reports: the lines under a caption that look like a table, in Arrow batches."""
+"""Tables of reports, the lines under a caption that look like a table, their charts and numbered sections, in Arrow batches."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ LINES = [re.compile(r"(\s{3,}\S+){3,}"), re.compile(r"\|[^\n]*\|[^\n]*\|"), re.c
 CHART = re.compile(r"(?:Figure|Chart|Graph)\s+(\d+(?:\.\d+)?)[:\.]?\s*(.+?)(?:\n|$)", re.I)
 SECTION = re.compile(r"^(?:Chapter|Section|CHAPTER|SECTION)\s+(\d+(?:\.\d+)?)[:\.]?\s*(.+?)$", re.M)
 NUMBER, GARBLED = re.compile(r"\d+(?:,\d+)*(?:\.\d+)?"), re.compile(r"\(cid:\d+\)")
-REACH, MOST_LINES, NEAR, ALONE = 2000, 50, 200, 1000
+REACH, MOST_LINES, NEAR, ALONE, CHART_REACH = 2000, 50, 200, 1000, 500
 
 
 def looks_like_row(line: str) -> bool:
@@ -74,3 +74,49 @@ def report_tables(text: Column) -> Column:
         return pd.Series([[dict(zip(names, t, strict=True)) for t in tables(x or "")] for x in texts], dtype=object)
 
     return run(text)
+
+
+def _titled(kind: str, m: re.Match) -> str:
+    return f"{kind} {m[1]}: {m[2].strip()}" if m[2].strip() else f"{kind} {m[1]}"
+
+
+def charts(text: str) -> list[tuple[str, str, int, int, str]]:
+    """(kind, title, start, end, content) of each figure: up to the next caption or figure, else 500 characters.
+
+    A caption directly behind a figure's heading doesn't end it.  Each pattern's next place is
+    kept until it is passed, so the time is in proportion to the text.
+    """
+    out, ahead = [], {}
+    for m in CHART.finditer(text):
+        after = []
+        for p in (*CAPTIONS, CHART):
+            if p not in ahead or (ahead[p] is not None and ahead[p] < m.end()):
+                behind = p.search(text, m.end())
+                ahead[p] = behind.start() if behind else None
+            if ahead[p] is not None:
+                after.append(ahead[p])
+        end = min(after, default=m.end())
+        end = end if end > m.end() else min(m.end() + CHART_REACH, len(text))
+        out.append(("chart", _titled("Figure", m), m.start(), end, text[m.start() : end].strip()))
+    return out
+
+
+def sections(text: str) -> list[tuple[str, str, int, int, str]]:
+    """(kind, title, start, end, content) of each numbered chapter or section: up to the next."""
+    found = list(SECTION.finditer(text))
+    ends = [m.start() for m in found[1:]] + [len(text)]
+    return [("analysis", _titled("Section", m), m.start(), end, text[m.end() : end].strip()) for m, end in zip(found, ends, strict=False)]
+
+
+_PART = "array<struct<section_type:string,title:string,start:int,end:int,content:string>>"
+
+
+def report_parts(text: Column) -> Column:
+    """Charts and numbered sections of a report by place; null text gives none."""
+
+    @pandas_udf(_PART)
+    def run(texts: pd.Series) -> pd.Series:
+        names = ("section_type", "title", "start", "end", "content")
+        return pd.Series([[dict(zip(names, t, strict=True)) for t in sorted(charts(x or "") + sections(x or ""), key=lambda t: (t[2], t[0]))] for x in texts], dtype=object)
+
+    return run(text)

@@ -20,6 +20,7 @@ GO_DEPARTMENT = r"(?i)(?:Department|Dept\.?)\s+of\s+([A-Z][A-Za-z\s&]+?)(?:,|\.|
 ORDER_START = r"(?imd)^\s*ORDER[S]?\s*:?\s*$"
 ANNEXURE_START = r"(?imd)^\s*ANNEXURE"
 PREAMBLE_END = r"(?i)(?:NOW,?\s+THEREFORE|WHEREAS|In exercise of)"
+PREAMBLE_REFERENCE = r"(?i)G\.?O\.?(?:Ms|Rt)?\.?\s*No\.?\s*(\d+)"
 PARAGRAPH = r"(?md)^\s*((?:(?:\d+|[a-zA-Z]+)[\.\)]|(?:\d+|[a-zA-Z]+)\([0-9a-zA-Z]+\)\.?|\([0-9a-zA-Z]+\)))\s+"
 CLAUSE = r"(?:\s|^)\(([IVXivx0-9a-z]+)\)"
 PROVISO = r"(?i)\.\s+(Provided that|Subject to)"
@@ -60,6 +61,7 @@ CASE_NUMBER = r"(?i)(?:Case|Petition|Appeal|Crl\.A\.|W\.P\.|RT)\s*(?:No\.?|No(?:
 COURT = r"(?i)(?:Supreme\s+Court\s+of\s+India|High\s+Court\s+of\s+[A-Za-z\s]+|District\s+Court\s+at\s+[A-Za-z\s]+|IN\s+THE\s+HIGH\s+COURT\s+OF\s+[A-Za-z\s]+)"
 DECIDED = r"(?i)(?:Dated?|Date\s+of\s+Decision)[:\s]+(\d{1,2}[-/\.]\d{1,2}[-/\.]\d{2,4})"
 BENCH = r"(?i)(?:BEFORE|CORAM|PRESENT|Bench)[:\s]+([^\n]*)"
+PARTIES = r"(?is)Between[:\s\n]+(.*?)\n\s*AND\s*\n?(.*?)(?=\n\s*(?:JUDGMENT|ORDER|PRESENT|[:A-Z]+|$))"
 CITATION = r"(?i)\(\d{4}\)\s*\d+\s*[A-Z]{2,}\s*\d+"
 PETITION = {
     "partly_allowed": r"(?i)(?:petition|appeal|writ)\s+(?:is\s+)?(?:partly|partially)\s+(?:allowed|granted)",
@@ -146,6 +148,12 @@ def go_paragraphs(orders: Column) -> Column:
     return F.when(orders == "", F.array().cast("array<struct<para_no:string,content:string,confidence:string>>")).when(F.size(numbers) > 0, rows).otherwise(whole)
 
 
+def preamble_references(preamble: Column) -> Column:
+    """array<struct<ref_text, number, confidence>> of the orders that a preamble names, in order, repeats included."""
+    names, numbers = (F.regexp_extract_all(_text(preamble), F.lit(PREAMBLE_REFERENCE), F.lit(g)) for g in (0, 1))
+    return F.zip_with(names, numbers, lambda n, d: F.struct(n.alias("ref_text"), d.alias("number"), F.lit("explicit").alias("confidence")))
+
+
 def order_semantics(content: Column) -> dict[str, Column]:
     """Effect, scope, whether it invalidates, numbers it points at and when it takes effect."""
     low = F.lower(_text(content))
@@ -287,6 +295,12 @@ def bullets(sections: Column, kind: str) -> Column:
     return F.transform(F.regexp_extract_all(_text(own), F.lit(BULLET), F.lit(1)), strip)
 
 
+def judgment_parties(text: Column) -> dict[str, Column]:
+    """Petitioner and respondent as the first 3,000 characters name them behind "Between"; null if they don't."""
+    top = F.substring(_text(text), 1, 3000)
+    return {"petitioner": strip(found(top, PARTIES, 1)), "respondent": strip(found(top, PARTIES, 2))}
+
+
 def judgment_identity(text: Column) -> dict[str, Column]:
     """Court, case, date, bench, citation, level, binding scope, jurisdiction, strength and outcome."""
     text = _text(text)

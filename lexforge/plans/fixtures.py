@@ -109,6 +109,15 @@ SELECT doc_id AS k, 'AP_GO_' || CAST(doc_id AS STRING) AS document_id, CASE doc_
             WHEN 2 THEN 'THE ANDHRA PRADESH EDUCATION ACT, ' || CAST(2000 + doc_id % 20 AS STRING) || '' || chr(10) || 'ACT No. ' || CAST(doc_id % 97 + 1 AS STRING) || ' of ' || CAST(2000 + doc_id % 20 AS STRING) || '' || chr(10) || 'PART I — PRELIMINARY' || chr(10) || 'CHAPTER I — GENERAL' || chr(10) || 'Section 1. Short title — This Act may be called the Education Act. (a) one (b) two' || chr(10) || 'Section 2. Definitions — In this Act unless the context requires otherwise, as per 19.' || chr(10) || 'CHAPTER II — SCHOOLS' || chr(10) || 'Section ' || CAST(doc_id % 50 AS STRING) || '. Schools — ' || substr(replace(replace(text, chr(10), ' '), chr(13), ' '), 1, 300) || '' || chr(10) || 'Rule 4. Fees — The fee shall be paid; supersedes 9.' || chr(10) || 'SCHEDULE I' || chr(10) || 'list'
             WHEN 3 THEN 'AMMA VODI SCHEME' || chr(10) || 'Overview: ' || substr(replace(replace(text, chr(10), ' '), chr(13), ' '), 1, 300) || '' || chr(10) || 'Objectives: to help' || chr(10) || 'Eligibility: the following' || chr(10) || '- income below limit' || chr(10) || '- enrolled in school' || chr(10) || 'Benefits: the following' || chr(10) || '* Rs. 15,000 a year' || chr(10) || 'How to apply: at the office' || chr(10) || 'Implementation: by departments, cancels ' || CAST(doc_id % 97 + 1 AS STRING) || ''
             ELSE 'ANNUAL REPORT ' || CAST(2000 + doc_id % 20 AS STRING) || '' || chr(10) || 'Budget Estimates for the financial year ' || CAST(2000 + doc_id % 20 AS STRING) || '-' || CAST(2000 + doc_id % 20 AS STRING) || '' || chr(10) || 'Department of Finance, Amaravati' || chr(10) || 'Table 1: Enrolment' || chr(10) || 'School | Boys | Girls' || chr(10) || 'A | 10 | 12' || chr(10) || 'B | 9 | 11' || chr(10) || '' || substr(replace(replace(text, chr(10), ' '), chr(13), ' '), 1, 300) || '' || chr(10) || 'Figure 2: Growth' END AS text
+FROM documents WHERE text IS NOT NULL""",
+    "suits": """
+SELECT doc_id AS k, 'S_' || CAST(doc_id AS STRING) AS document_id, CASE WHEN doc_id % 5 = 0 THEN 'No parties here.' ELSE 'IN THE HIGH COURT' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'BETWEEN:' || chr(10) ELSE 'Between ' END || 'Party ' || CAST(doc_id % 97 AS STRING) || ' and Sons' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'of Guntur' ELSE '' END || chr(10)
+       || CASE WHEN doc_id % 4 = 0 THEN '  and' ELSE 'AND' END || chr(10) || 'The State, No. ' || CAST(doc_id % 50 AS STRING) || chr(10) || CASE WHEN doc_id % 7 = 0 THEN '(12) others' || chr(10) ELSE '' END || 'JUDGMENT' || chr(10) || substr(replace(replace(text, chr(10), ' '), chr(13), ' '), 1, 200) END AS text
+FROM documents WHERE text IS NOT NULL""",
+    "surveys": """
+SELECT doc_id AS k, 'R_' || CAST(doc_id AS STRING) AS document_id, 'ANNUAL SURVEY' || chr(10) || 'Chapter 1: Pupils' || chr(10) || substr(replace(replace(text, chr(10), ' '), chr(13), ' '), 1, 300) || chr(10) || 'Figure 1: Growth of ' || CAST(doc_id % 97 AS STRING) || chr(10)
+       || CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'It grew.' || chr(10) END || 'Chart 2.1. Shares by place' || chr(10) || 'Half of it.' || chr(10) || 'Table 3: Enrolment' || chr(10) || 'A | 1 | 2' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Section 2.1 Results' || chr(10) || 'They rose.' || chr(10) ELSE '' END
+       || CASE WHEN doc_id % 5 = 0 THEN 'CHAPTER 4' || chr(10) || 'Outlook' || chr(10) ELSE '' END || 'Graph 7' || chr(10) || 'Last of all ' || substr(replace(replace(text, chr(10), ' '), chr(13), ' '), 301, 900) AS text
 FROM documents WHERE text IS NOT NULL""",
     "named_relations": """
 SELECT 'go_' || CAST(doc_id AS STRING) AS source_id, CASE doc_id % 4 WHEN 0 THEN 'case of Mehta v. Rao' WHEN 1 THEN 'go_' || CAST(doc_id + 1 AS STRING) WHEN 2 THEN 'order ' || CAST(doc_id % 100 AS STRING) END AS target_id,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import structure as st
+from ..functions.report_tables import report_parts
 from ..operators.acts import act_nodes, section_text
 from ..plans.registering import Register
 
@@ -60,6 +61,11 @@ array_to_string(regexp_extract_all(content, '(?i)G\.?O\.?(?:Ms|Rt)?\.?\s*No\.?\s
 coalesce(nullif(regexp_extract(content, '(?i)comes?\s+into\s+force\s+(?:with\s+effect\s+)?from\s+([0-9\-\./]+)', 1), ''), nullif(regexp_extract(content, '(?i)effective\s+from\s+([0-9\-\./]+)', 1), '')) AS effective_from FROM m""")
 
 
+register("str_03_preamble_references", lambda v: _sections(v).select("document_id", F.posexplode(st.preamble_references(F.col("preamble"))).alias("place", "r")).select("document_id", "place", "r.*"), rf"""
+WITH {_CUT}, n AS (SELECT document_id, regexp_extract_all(preamble, '(?i)G\.?O\.?(?:Ms|Rt)?\.?\s*No\.?\s*([0-9]+)') AS a, regexp_extract_all(preamble, '(?i)G\.?O\.?(?:Ms|Rt)?\.?\s*No\.?\s*([0-9]+)', 1) AS b FROM z)
+SELECT document_id, CAST(generate_subscripts(a, 1) - 1 AS INT) AS place, unnest(a) AS ref_text, unnest(b) AS number, 'explicit' AS confidence FROM n""")
+
+
 def _clauses(v):
     rows = _paragraphs(v).select("document_id", "place", F.posexplode(st.go_clauses(F.col("content"), F.col("para_no"))).alias("at", "c"))
     return rows.select("document_id", "place", "at", "c.*")
@@ -209,3 +215,20 @@ def _cells(v):
 register("str_14_table_cells", _cells, rf"""
 WITH r AS (SELECT document_id, list_filter(list_transform(string_split(text, chr(10)), lambda r: list_transform(string_split(r, '|'), lambda c: {trim("c")})), lambda r: len(list_filter(r, lambda c: c <> '')) > 0) AS k FROM filings WHERE vertical = 'data')
 SELECT document_id, array_to_string(k[1], '/') AS headers, md5(array_to_string(list_transform(k, lambda r: array_to_string(r, ' | ')), chr(10))) AS table_text, len(k) AS n_rows, len(k[1]) AS n_columns FROM r""")
+
+
+_BETWEEN = r"(?is)Between[:\s\n]+(.*?)\n\s*AND\s*\n?(.*?)\n\s*(?:JUDGMENT|ORDER|PRESENT|[:A-Z]+|$)"
+register("str_10_judicial_parties", lambda v: v("suits").select("document_id", *[c.alias(n) for n, c in st.judgment_parties(F.col("text")).items()]), f"""
+SELECT document_id, {trim(f"nullif(regexp_extract({_J3}, '{_BETWEEN}', 1), '')")} AS petitioner, {trim(f"nullif(regexp_extract({_J3}, '{_BETWEEN}', 2), '')")} AS respondent FROM suits""")
+
+_SECTION, _CHART = r"(?m)^(?:Chapter|Section|CHAPTER|SECTION)\s+([0-9]+(?:\.[0-9]+)?)[:\.]?\s*(.+?)$", r"(?:Figure|Chart|Graph)\s+([0-9]+(?:\.[0-9]+)?)[:\.]?\s*(.+?)(?:\n|$)"
+_MARK = rf"(?i){_CHART}|(?:Table|Annexure)\s+[0-9]+(?:\.[0-9]+)?[:\.]?\s*.+?(?:\n|$)|(?:Demand\s+Reference|Demand\s*Number)\s*[:\.]?\s*[A-Za-z0-9]+.*"
+_TITLED = "'{} ' || regexp_extract(mk, '{}', 1) || ': ' || " + trim("regexp_extract(mk, '{}', 2)")
+register("str_12_report_parts", lambda v: v("surveys").select("document_id", F.explode(report_parts(F.col("text"))).alias("p")).select("document_id", "p.section_type", "p.title", "p.start", "p.end", F.md5("p.content").alias("content")), rf"""
+WITH r AS (SELECT document_id, text, 'analysis' AS kind, regexp_extract_all(text, '{_SECTION}') AS m, regexp_split_to_array(text, '{_SECTION}') AS g FROM surveys
+UNION ALL SELECT document_id, text, 'chart', regexp_extract_all(text, '{_MARK}'), regexp_split_to_array(text, '{_MARK}') FROM surveys),
+u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM r),
+w AS (SELECT document_id, text, kind, m[i] AS mk, g[i + 1] AS body, i = len(m) AS final, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS INT) AS off FROM u),
+x AS (SELECT *, CASE WHEN kind = 'chart' AND (final OR body = '') THEN least(off + 500, length(text)) ELSE off + length(body) END AS stop FROM w WHERE kind = 'analysis' OR regexp_matches(mk, '^(?i)(?:Figure|Chart|Graph)'))
+SELECT document_id, kind AS section_type, CASE kind WHEN 'chart' THEN {_TITLED.format("Figure", "(?i)" + _CHART, "(?i)" + _CHART)} ELSE {_TITLED.format("Section", _SECTION, _SECTION)} END AS title,
+CAST(off - length(mk) AS INT) AS start, CAST(stop AS INT) AS "end", md5({trim("substr(text, CASE kind WHEN 'chart' THEN off - length(mk) ELSE off END + 1, stop - CASE kind WHEN 'chart' THEN off - length(mk) ELSE off END)")}) AS content FROM x""")
