@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.staging import written
+from .ranges import told
 
 
 def trace_lineage(orders: DataFrame, relations: DataFrame) -> DataFrame:
@@ -40,15 +41,28 @@ def newer_same_topic(orders: DataFrame, superseded: DataFrame | None = None) ->
 
     orders: go_id, department (null is a department), go_date, subject, seq.  Words count if
     longer than four characters.  Orders in `superseded` (go_id) ask for none, but may be the
-    later one.  Each pair of an order's words is a key; along a key's orders from the latest
-    to the earliest the least seq so far is the answer, so orders are never paired up.
+    later one.
+
+    Words of one order only are left out, then each pair of an order's words is a key.  A key's
+    orders of one day are one row, so what its window holds grows with days and not with
+    orders; along these, from the latest, the least seq so far is the answer.  Orders are never
+    paired up, and a key of very many orders gets its answers in parts.
     """
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("subject", F.lit(""))), r"\s+"), lambda w: F.length(w) > 4)))
-    pair = F.flatten(F.transform(F.col("_w"), lambda a, i: F.transform(F.slice("_w", i + 2, F.size("_w")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    rows = orders.filter("go_date IS NOT NULL").withColumn("_w", words).filter(F.size("_w") > 1)
-    keyed = rows.select("go_id", "department", "seq", (-F.unix_date("go_date")).alias("age"), F.explode(pair).alias("pair"))
-    later = W.partitionBy("department", "pair").orderBy("age").rangeBetween(W.unboundedPreceding, -1)
-    first = keyed.withColumn("hit", F.min(F.struct("seq", "go_id")).over(later)).filter("hit IS NOT NULL").groupBy("go_id").agg(F.min("hit").alias("hit"))
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("subject", F.lit(""))), r"\s+"), lambda w: F.length(w) > 4))
+    # A null department is one of its own.
+    own = F.when(F.col("department").isNull(), "").otherwise(F.concat(F.lit("="), "department"))
+    rows = orders.filter("go_date IS NOT NULL").select("go_id", own.alias("office"), "seq", (-F.unix_date("go_date")).alias("age"), F.explode(words).alias("word"))
+    shared = rows.groupBy("office", "word").count().filter("count > 1").drop("count")
+    kept = told(rows, shared, ["office", "word"], "go_id").groupBy("go_id", "office", "seq", "age").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    # In two steps, so that no row holds all pairs of a long subject.  Words are kept as 64-bit
+    # hashes with their department, so a key of two is one of 128 bits.
+    firsts = kept.select("go_id", "seq", "age", F.transform("words", lambda w: F.xxhash64("office", w)).alias("words")).select("go_id", "seq", "age", "words", F.posexplode("words").alias("at", "a"))
+    pairs = firsts.select("go_id", "seq", "age", "a", F.explode(F.slice("words", F.col("at") + 2, F.size("words"))).alias("b"))
+    keyed, key = written(pairs, "pairs"), ["a", "b"]
+    days = keyed.groupBy(*key, "age").agg(F.min(F.struct("seq", "go_id")).alias("first"))
+    later = W.partitionBy(*key).orderBy("age").rowsBetween(W.unboundedPreceding, -1)
+    answers = days.select(*key, "age", F.min("first").over(later).alias("hit")).filter("hit IS NOT NULL")
+    first = told(keyed, answers, [*key, "age"], "go_id").groupBy("go_id").agg(F.min("hit").alias("hit"))
     out = first.select("go_id", F.col("hit.go_id").alias("superseded_by"))
     return out if superseded is None else out.join(superseded.select("go_id"), "go_id", "left_anti")
 

@@ -1,4 +1,4 @@
-"""Places in large groups, dealt out in ranges so that no group has to fit one task."""
+"""Places and values in large groups, dealt out so that no group has to fit one task."""
 
 from __future__ import annotations
 
@@ -23,3 +23,20 @@ def counted_before(rows: DataFrame, by: str, order: list[str], weight: str | Non
     found = laid.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
     found = found.join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_at")))
     return found.select(*rows.columns, (F.col("_inside") + F.col("_offset")).cast("long").alias("before"))
+
+
+#: Parts that a key's rows are dealt into.
+SALTS = 64
+
+
+def told(rows: DataFrame, values: DataFrame, key: list[str], spread: str) -> DataFrame:
+    """Rows joined to values, which has one row a key; rows without one go.
+
+    A key's rows are dealt into parts by a hash of `spread`, and its value goes to the parts
+    that there are, so a key that a third of all rows share is no task of its own.  Null keys
+    match nothing.  Joins are merged: stored rows that compress well look small enough to
+    broadcast and are not.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    parts = dealt.select(*key, "_salt").distinct().join(values.hint("merge"), key)
+    return dealt.join(parts.hint("merge"), [*key, "_salt"]).drop("_salt")
