@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as t
 from ..operators import search as s
+from ..operators.vector_index import open_search, vector_index
 from ..plans.registering import Register
 from ..sources.staging import new_folder
 
@@ -111,3 +112,21 @@ r AS (SELECT query_id, query_id % 7 <> 3 AS success, CASE WHEN query_id % 7 = 3
 register("evl_06_query_results", _results, _RESULTS + "SELECT * FROM r")
 register("evl_06_counts", lambda v: t.evaluation_counts(_results(v)), _RESULTS + """
 SELECT count(*) AS total_queries, count(*) FILTER (success) AS successful_queries, count(*) FILTER (NOT success) AS failed_queries, round(sum(correct) / sum(correct + missing), 9) AS recall FROM r""")
+
+
+def _dated(v):
+    """Vectors with the year and place of their document, where it is known."""
+    return v("vectors").join(v("papers").select("document_id", F.year("doc_date").alias("year"), "jurisdiction"), "document_id", "left")
+
+
+def _open(v, share):
+    asked = _vectors(v).withColumns({"year": F.when(F.col("query_id") % 2 == 0, (2000 + F.col("query_id") % 20).cast("int")), "jurisdiction": F.when(F.col("query_id") % 3 == 0, "AP")})
+    return open_search(asked, vector_index(_dated(v)), 20, share).select("query_id", "chunk_id", "document_id", "score", "rnk")
+
+
+register("ret_05_open_search", lambda v: _open(v, 1.0), """
+WITH qv AS (SELECT CAST(substr(document_id, 2) AS BIGINT) AS query_id, CAST(vector AS DOUBLE[]) AS q FROM vectors WHERE CAST(substr(document_id, 2) AS INT) % 25 = 0),
+dv AS (SELECT chunk_id, v.document_id, CAST(vector AS DOUBLE[]) AS x, year(doc_date) AS y, jurisdiction FROM vectors v LEFT JOIN papers p ON p.document_id = v.document_id),
+pv AS (SELECT query_id, chunk_id, document_id, round(list_cosine_similarity(q, x), 9) AS score FROM qv JOIN dv ON (query_id % 2 <> 0 OR y = 2000 + query_id % 20) AND (query_id % 3 <> 0 OR jurisdiction = 'AP'))
+SELECT query_id, chunk_id, document_id, score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rnk FROM pv) x WHERE rnk <= 20""")
+register("ret_05_listed_search", lambda v: open_search(_vectors(v), vector_index(v("vectors")), 20).select("query_id", "chunk_id", "document_id", "score", "rnk"))
