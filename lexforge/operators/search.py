@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.staging import written
 from .postings import LexicalIndex, lexical_index, term_hits, term_words
 from .retrieval import authority_boost, exclude_overruled, rrf, source_priority
 
@@ -53,6 +54,17 @@ def _dealt(asked: DataFrame, lists: DataFrame, on: list[str]) -> DataFrame:
     return salted.join(dealt, [*on, "_salt"])
 
 
+#: Bytes of the rows that may be broadcast.
+BROADCAST = 16 << 20
+
+
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """df stored, and broadcast where it is joined if its rows together are under BROADCAST bytes."""
+    kept = written(df, name)
+    size = kept.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in kept.columns), F.lit(24)))).first()[0]
+    return F.broadcast(kept) if (size or 0) <= BROADCAST else kept
+
+
 def lexical_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top: int, index: LexicalIndex | None = None) -> DataFrame:
     """Each query's first 2 * top chunks that contain any of its terms, the latest documents first.
 
@@ -67,18 +79,20 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top:
     index = index or lexical_index(chunks)
     optional = [c for c in ("since_date", "jurisdiction") if c in queries.columns]
     asked = queries.select("query_id", F.array_distinct("domains").alias("domains"), *[F.col(c).alias(f"q_{c}") for c in optional], F.explode(query_terms(F.col("text"))).alias("term"))
-    known = docs.filter("status = 'active' AND primary_domain IS NOT NULL").select("document_id", "doc_date", "primary_domain", "jurisdiction")
+    known = _small(docs.filter("status = 'active' AND primary_domain IS NOT NULL").select("document_id", "doc_date", "primary_domain", "jurisdiction"), "known")
     latest = [F.col("doc_date").desc_nulls_last(), F.col("chunk_id")]
+    # A chunk_id of m dates takes m places of a list, so lists are m times as long.
+    dates = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("document_id").cast("string").alias("document_id")).join(known, "document_id")
+    places = 2 * top * (dates.groupBy("chunk_id").agg(F.count_distinct(F.struct("doc_date")).alias("n")).agg(F.max("n")).first()[0] or 1)
 
     def first(rows: DataFrame, key: str) -> DataFrame:
-        group = [key, "primary_domain", "jurisdiction"]
-        once = rows.groupBy(*group, "chunk_id").agg(F.max(F.struct("doc_date", "document_id")).alias("_d")).select(*group, "chunk_id", "_d.doc_date", "_d.document_id")
-        return once.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*latest))).filter(F.col("_n") <= 2 * top).drop("_n")
+        order = W.partitionBy(key, "primary_domain", "jurisdiction").orderBy(*latest)
+        return rows.withColumn("_n", F.dense_rank().over(order)).filter(F.col("_n") <= places).drop("_n")
 
     # Words are cut before terms, since a term's words share few chunks but a word many terms.
-    words = term_words(index, asked)
-    of_words = first(index.postings.join(words.select("word").distinct(), "word", "left_semi").join(known, "document_id"), "word")
-    lists = first(of_words.join(words, "word"), "term")
+    found = _small(term_words(index, asked), "words")
+    of_words = first(index.postings.select("word", "chunk_id", "document_id").join(_small(found.select("word").distinct(), "word"), "word", "left_semi").join(known, "document_id"), "word")
+    lists = first(of_words.join(found, "word").drop("word").distinct(), "term")
     hits = _dealt(asked.withColumn("primary_domain", F.explode("domains")).drop("domains"), lists, ["term", "primary_domain"])
     if "since_date" in optional:
         hits = hits.filter("q_since_date IS NULL OR doc_date >= q_since_date")
