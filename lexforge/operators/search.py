@@ -92,7 +92,8 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top:
     # Words are cut before terms, since a term's words share few chunks but a word many terms.
     found = _small(term_words(index, asked), "words")
     of_words = first(index.postings.select("word", "chunk_id", "document_id").join(_small(found.select("word").distinct(), "word"), "word", "left_semi").join(known, "document_id"), "word")
-    lists = first(of_words.join(found, "word").drop("word").distinct(), "term")
+    # A chunk that several words of a term bring has one place, so repeats go after the cut.
+    lists = first(of_words.join(found, "word").drop("word"), "term").distinct()
     hits = _dealt(asked.withColumn("primary_domain", F.explode("domains")).drop("domains"), lists, ["term", "primary_domain"])
     if "since_date" in optional:
         hits = hits.filter("q_since_date IS NULL OR doc_date >= q_since_date")
