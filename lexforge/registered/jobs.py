@@ -127,10 +127,12 @@ register("emb_03_embed_text", lambda v: embedding.norms(embedding.embed_texts(v(
 
 
 def _anchored(v):
-    words = v("papers").select("document_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
-    words = words.select("document_id", "pos", "text", F.floor(F.col("pos") / 400).cast("int").alias("page"), (F.col("pos") % 10).cast("double").alias("x0"), (F.col("pos") % 20).cast("double").alias("y0"), (F.col("pos") % 10 + 0.5).cast("double").alias("x1"), (F.col("pos") % 20 + 1).cast("double").alias("y1"))
+    box = lambda p: {"x0": p % 10, "y0": p % 20, "x1": p % 10 + 0.5, "y1": p % 20 + 1}
+    sheets = v("papers").select("document_id", F.split("text", " ").alias("ws")).select("document_id", "ws", F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 400).cast("int"))).alias("page"))
+    placed = F.transform(F.slice("ws", F.col("page") * 400 + 1, 400), lambda w, i: F.struct(w.alias("text"), *[c.cast("double").alias(n) for n, c in box(F.col("page") * 400 + i).items()]))
+    sheets = sheets.select("document_id", "page", placed.alias("words"))
     some = v("papers").select("document_id", F.lit(0).alias("para_id"), F.array_join(F.slice(F.split("text", " "), 4, 9), " ").alias("content")).filter(F.size(F.split("content", " ")) > 6)
-    return anchors.visual_anchors(some, words)
+    return anchors.visual_anchors(some, sheets)
 
 
 _BARE = "lower(trim({}, '.,()'))"
