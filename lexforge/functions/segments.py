@@ -94,6 +94,11 @@ def numbered(df: DataFrame, parts: Column, key: str) -> DataFrame:
     return df.select(key, F.posexplode(parts).alias("place", "part"))
 
 
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with \\b between A-Z, a-z, 0-9, _ and others; Java's own counts more letters, depending on its version."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def query_type(text: Column) -> tuple[Column, Column, Column]:
     """(primary type, its confidence, other types over 0.3 joined by commas) of a query; null as "".
 
@@ -102,7 +107,7 @@ def query_type(text: Column) -> tuple[Column, Column, Column]:
     """
     low, scores = F.lower(F.coalesce(text, F.lit(""))), {}
     for name, patterns in QUERY_TYPES.items():
-        hits = sum((low.rlike(p).cast("int") for p in patterns), F.lit(0))
+        hits = sum((low.rlike(ascii_bounds(p)).cast("int") for p in patterns), F.lit(0))
         scores[name] = F.when(hits > 1, F.least(F.lit(1.0), hits * 1.5 / len(patterns))).otherwise(hits / len(patterns))
     best = F.greatest(*scores.values())
     top = F.lit(None).cast("string")
