@@ -25,6 +25,18 @@ def counted_before(rows: DataFrame, by: str, order: list[str], weight: str | Non
     return found.select(*rows.columns, (F.col("_inside") + F.col("_offset")).cast("long").alias("before"))
 
 
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds place: each row's number from 1 in order, which must be total.
+
+    Rows are sorted in range partitions and written; the partitions' counts give their offsets,
+    so no task holds all rows, as an unpartitioned window would.
+    """
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    laid = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": at}), "places")
+    counts = laid.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_offset", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return laid.join(F.broadcast(counts.select("_part", "_offset")), "_part").select(*rows.columns, (F.col("_offset") + F.col("_at") + 1).alias("place"))
+
+
 #: Parts that a key's rows are dealt into.
 SALTS = 64
 

@@ -51,32 +51,49 @@ def base_number(text: Column, kind: str) -> Column:
     return F.nullif(F.regexp_extract(text, word, 1), F.lit(""))
 
 
+def _books(registry: DataFrame, kind: str) -> DataFrame:
+    """(base, _n, _docs) of a kind's numbers: the candidates' count and, for each document, its first."""
+    of = registry.filter((F.col("ref_type") == kind) & F.col("canonical_id").isNotNull()).select(F.col("number").alias("base"), "canonical_id", "source_document", "seq")
+    docs = of.groupBy("base", F.lower("source_document").alias("doc")).agg(F.count("*").alias("n"), F.min(F.struct("seq", "canonical_id")).alias("first"))
+    return docs.groupBy("base").agg(F.sum("n").alias("_n"), F.collect_list(F.struct("doc", "first")).alias("_docs"))
+
+
+def choose_parts(references: DataFrame, registry: DataFrame, kind: str) -> DataFrame:
+    """(ref_id, raw_text, base, seq, canonical_id, method, confidence): resolve_parts without alternatives.
+
+    A candidate's points depend on its document alone, so each reference is held against the
+    first candidate of each document that has its number, not against every candidate.
+    """
+    asked = references.withColumn("base", base_number(F.col("raw_text"), kind)).withColumn("_low", F.lower(F.coalesce("context", F.lit(""))))
+    points = lambda cond, n: F.when(cond, n).otherwise(0)
+    low = F.col("_low")
+    score = lambda doc: points((low != "") & low.contains(doc), 10) + points(low.contains("rte") & doc.contains("rte"), 5) + points(low.contains("education act") & doc.contains("education act"), 5)
+    best = F.array_min(F.transform("_docs", lambda d: F.struct((-score(d["doc"])).alias("s"), d["first"].alias("first"))))["first"]
+    rows = asked.join(_books(registry, kind), "base", "left").withColumn("_best", best)
+    return rows.select(
+        "ref_id", "raw_text", "base", "_best.seq", "_best.canonical_id",
+        F.when(F.col("_n") == 1, "exact").when(F.col("_n") > 1, "exact_with_disambiguation").otherwise("failed").alias("method"),
+        F.when(F.col("_n") == 1, SINGLE).when(F.col("_n") > 1, OF_SEVERAL).otherwise(0.0).alias("confidence"),
+    )
+
+
 def resolve_parts(references: DataFrame, registry: DataFrame, kind: str) -> DataFrame:
     """(ref_id, raw_text, context) of sections or rules to canonical ids.
 
     One candidate counts 0.95.  Of several the best by context counts 0.85: 10 where it names
     the candidate's document, 5 each where both speak of RTE or an education act; ties go to
-    the registry's order, and the others are alternatives in that order.
+    the registry's order, and the others are alternatives in that order.  These are listed
+    once for each candidate that can be the best, not for each reference.
     """
-    candidates = registry.filter(F.col("ref_type") == kind).select(F.col("number").alias("base"), "canonical_id", "source_document", "seq")
-    asked = references.withColumn("base", base_number(F.col("raw_text"), kind))
-    low, doc = F.lower(F.coalesce("context", F.lit(""))), F.lower("source_document")
-    points = lambda cond, n: F.when(cond, n).otherwise(0)
-    score = points((low != "") & low.contains(doc), 10) + points(low.contains("rte") & doc.contains("rte"), 5) + points(low.contains("education act") & doc.contains("education act"), 5)
-    rows = asked.join(candidates, "base", "left").withColumn("_score", F.coalesce(score, F.lit(0)))
-    # A number has as many candidates as books, so a reference's list is short.
-    ranked = rows.groupBy("ref_id").agg(
-        F.first("raw_text").alias("raw_text"), F.count("canonical_id").alias("n"),
-        F.array_sort(F.collect_list(F.when(F.col("canonical_id").isNotNull(), F.struct((-F.col("_score")).alias("s"), "seq", "canonical_id")))).alias("list"),
-    )
-    best = F.try_element_at("list", F.lit(1))
-    others = F.array_sort(F.transform(F.slice("list", 2, F.greatest(F.size("list"), F.lit(1))), lambda x: F.struct(x["seq"], x["canonical_id"])))
-    return ranked.select(
-        "ref_id", "raw_text", best["canonical_id"].alias("canonical_id"),
-        F.when(F.col("n") == 1, "exact").when(F.col("n") > 1, "exact_with_disambiguation").otherwise("failed").alias("method"),
-        F.when(F.col("n") == 1, SINGLE).when(F.col("n") > 1, OF_SEVERAL).otherwise(0.0).alias("confidence"),
-        F.transform(others, lambda x: x["canonical_id"]).alias("alternatives"),
-    )
+    chosen = choose_parts(references, registry, kind)
+    of = registry.filter((F.col("ref_type") == kind) & F.col("canonical_id").isNotNull())
+    every = of.groupBy(F.col("number").alias("base")).agg(F.array_sort(F.collect_list(F.struct("seq", "canonical_id"))).alias("all"))
+    firsts = _books(registry, kind).select("base", F.explode(F.array_distinct(F.transform("_docs", lambda d: d["first"]))).alias("first"))
+    at = F.array_position("all", F.col("first")).cast("int")
+    others = F.concat(F.slice("all", F.lit(1), at - 1), F.slice("all", at + 1, F.size("all")))
+    lists = firsts.join(every, "base").select("base", "first.seq", "first.canonical_id", F.transform(others, lambda x: x["canonical_id"]).alias("alternatives"))
+    out = chosen.join(lists, ["base", "seq", "canonical_id"], "left")
+    return out.select("ref_id", "raw_text", "canonical_id", "method", "confidence", F.coalesce("alternatives", F.array().cast("array<string>")).alias("alternatives"))
 
 
 @pandas_udf(T.DoubleType())
@@ -174,12 +191,12 @@ def resolve_relations(relations: DataFrame, registry: DataFrame) -> DataFrame:
     found = exact.join(fuzzy["go"].select("number", F.col("canonical_id").alias("_f"), F.col("confidence").alias("_c")), "number", "left").select(
         "ref_id", F.coalesce("canonical_id", "_f").alias("canonical_id"), F.when(F.col("canonical_id").isNull() & F.col("_f").isNotNull(), "fuzzy").otherwise(F.col("method")).alias("method"),
         F.when(F.col("canonical_id").isNull() & F.col("_f").isNotNull(), F.col("_c")).otherwise(F.col("confidence")).alias("confidence"))
-    sections = written(resolve_parts(refs.filter("_kind = 'section'"), registry, "section").withColumn("number", base_number(F.col("raw_text"), "section")), "sections")
+    sections = written(choose_parts(refs.filter("_kind = 'section'"), registry, "section").select(*columns, F.col("base").alias("number")), "sections")
     fuzzy["section"] = resolve_fuzzy(sections.filter("canonical_id IS NULL AND number IS NOT NULL").select("number"), registry, "section")
     sections = sections.join(fuzzy["section"].select("number", F.col("canonical_id").alias("_f"), F.col("confidence").alias("_c")), "number", "left").select(
         "ref_id", F.coalesce("canonical_id", "_f").alias("canonical_id"), F.when(F.col("canonical_id").isNull() & F.col("_f").isNotNull(), "fuzzy").otherwise(F.col("method")).alias("method"),
         F.when(F.col("canonical_id").isNull() & F.col("_f").isNotNull(), F.col("_c")).otherwise(F.col("confidence")).alias("confidence"))
-    rules = resolve_parts(refs.filter("_kind = 'rule'"), registry, "rule").select(columns)
+    rules = choose_parts(refs.filter("_kind = 'rule'"), registry, "rule").select(columns)
     every = found.unionByName(sections).unionByName(rules).select(F.col("ref_id").alias("rel_id"), "canonical_id", "method", F.col("confidence").alias("resolution_confidence"))
     out = relations.join(every, "rel_id", "left").withColumns({"method": F.coalesce("method", F.lit("failed")), "resolution_confidence": F.coalesce("resolution_confidence", F.lit(0.0))})
     factor = F.when(F.col("canonical_id").isNull(), 0.3).when(F.col("resolution_confidence") < 0.7, F.col("resolution_confidence")).otherwise(1.0)
