@@ -98,16 +98,21 @@ def _any(text: Column, words) -> Column:
 def vertical(text: Column, file_name: Column) -> tuple[Column, Column]:
     """(vertical, confidence): counts of keywords, five more for each in the file name; the first
     of equal ones.  Under three is data at 0.3; confidence is the share of all counts, 0.8 at most."""
-    low, name = _low(text), _low(file_name)
-    def score(words: Column) -> Column:
+    def score(words: Column, low: Column, name: Column) -> Column:
         count = lambda n, w: n + F.floor((F.length(low) - F.length(F.replace(low, w, F.lit("")))) / F.length(w)).cast("int") + F.when(name.contains(w), 5).otherwise(0)
         return F.aggregate(words, F.lit(0), count)
 
-    # Keywords are data here, not code, so the generated code stays small.
-    scores = F.transform(F.array(*[F.array(*map(F.lit, words)) for words in VERTICALS.values()]), score)
-    best, total = F.array_max(scores), F.aggregate(scores, F.lit(0), lambda a, x: a + x)
-    first = F.element_at(F.array(*map(F.lit, VERTICALS)), F.array_position(scores, best).cast("int"))
-    return F.when(best < 3, "data").otherwise(first), F.when(best < 3, 0.3).otherwise(F.least(F.lit(0.8), best / F.greatest(total, F.lit(1))))
+    def judged(scores: Column) -> Column:
+        best, total = F.array_max(scores), F.aggregate(scores, F.lit(0), lambda a, x: a + x)
+        first = F.element_at(F.array(*map(F.lit, VERTICALS)), F.array_position(scores, best).cast("int"))
+        return F.struct(F.when(best < 3, "data").otherwise(first).alias("name"), F.when(best < 3, 0.3).otherwise(F.least(F.lit(0.8), best / F.greatest(total, F.lit(1)))).alias("sure"))
+
+    # Keywords are data here, not code, so the generated code stays small.  Lists of one bind
+    # the lower-cased text and the scores, which are then made once, not once a keyword.
+    keywords = F.array(*[F.array(*map(F.lit, words)) for words in VERTICALS.values()])
+    scores = F.transform(F.array(F.struct(_low(text).alias("low"), _low(file_name).alias("name"))), lambda t: F.transform(keywords, lambda words: score(words, t["low"], t["name"])))
+    found = F.element_at(F.transform(scores, judged), 1)
+    return found["name"], found["sure"]
 
 
 def document_type(text: Column, kind: Column, file_name: Column) -> tuple[Column, Column, Column]:
