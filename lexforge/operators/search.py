@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.staging import written
-from .postings import LexicalIndex, lexical_index, term_hits, term_words
+from .postings import LexicalIndex, chunk_words, dealt, first_chunks, small, word_grams
 from .retrieval import authority_boost, exclude_overruled, rrf, source_priority
 
 #: Domain of a vertical, verticals of a domain, document type of a vertical.
@@ -41,28 +41,34 @@ def query_terms(text: Column, first: bool = False) -> Column:
     return F.array_distinct(found)
 
 
-#: Queries of one term that meet its list in one part.
-PART = 1000
+#: Queries of one term that meet its list in one part, and rows of lists a task makes on average.
+PART, TASK = 1000, 500_000
 
 
-def _dealt(asked: DataFrame, lists: DataFrame, on: list[str]) -> DataFrame:
-    """Each query's rows of its terms' lists.  A term that many queries ask is dealt into parts
-    of a thousand of them, to each of which its list, which is short, goes."""
-    parts = asked.groupBy(*on).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
+def _dealt(asked: DataFrame, lists: DataFrame, on: list[str], places: int) -> DataFrame:
+    """Each query's rows of its terms' lists, dealt by query.  A term that many queries ask is dealt
+    into parts of a thousand of them, to each of which its list, which is short, goes."""
+    size = asked.count() * places // TASK
+    parts = written(asked.groupBy(*on).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts")), "parts")
     salted = asked.join(parts, on).withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int")).drop("_parts")
-    dealt = lists.join(parts, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    return salted.join(dealt, [*on, "_salt"])
+    spread = lists.join(parts, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    key = [*on, "_salt"]
+    return dealt(dealt(salted, size, *key).join(dealt(spread, size, *key).hint("merge"), key), size, "query_id")
 
 
-#: Bytes of the rows that may be broadcast.
-BROADCAST = 16 << 20
+def _postings(chunks: DataFrame, index: LexicalIndex | None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks and their postings, those of the known documents with their columns, and the words' grams.
 
-
-def _small(df: DataFrame, name: str) -> DataFrame:
-    """df stored, and broadcast where it is joined if its rows together are under BROADCAST bytes."""
-    kept = written(df, name)
-    size = kept.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in kept.columns), F.lit(24)))).first()[0]
-    return F.broadcast(kept) if (size or 0) <= BROADCAST else kept
+    Without an index the words of each chunk are stored as one row, and words are told apart as
+    they are read: nothing is dealt or sorted by word that is for one set of queries.
+    """
+    told = lambda rows: rows if known is None else rows.join(known, "document_id")
+    if index is not None:
+        ids = [F.col(c).cast("string").alias(c) for c in ("chunk_id", "document_id")]
+        return told(chunks.select(*ids)), told(index.postings.drop("salt")), index.grams
+    held = written(told(chunk_words(chunks)), "words")
+    postings = held.withColumn("word", F.explode("words")).drop("words")
+    return held.drop("words"), postings, written(word_grams(postings.select("word").distinct()), "grams")
 
 
 def lexical_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top: int, index: LexicalIndex | None = None) -> DataFrame:
@@ -72,35 +78,32 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top:
     jurisdiction (null: any) of that date or later and that place.  Scores are 1 / rank.
     Queries without terms or with null domains find nothing; ties go to the smaller chunk_id.
 
-    `index` is that of the chunks, made here if not given.  A term's chunks are cut to the
-    first 2 * top of each domain and jurisdiction before they meet the queries: whatever is
-    among a query's first is among the first of each of these lists that it stands in.
+    `index` is that of the chunks; without one their words are read.  A term's chunks are cut
+    to the first 2 * top of each domain and jurisdiction before they meet the queries: whatever
+    is among a query's first is among the first of each of these lists that it stands in.
     """
-    index = index or lexical_index(chunks)
     optional = [c for c in ("since_date", "jurisdiction") if c in queries.columns]
+    # Ages rise as dates fall, nulls last; a group is a domain and a jurisdiction, which may be null.
+    never = 2**31 - 1
+    age = F.coalesce(-F.unix_date("doc_date"), F.lit(never)).alias("age")
+    group = F.concat(F.col("primary_domain"), F.coalesce(F.concat(F.lit("\n"), "jurisdiction"), F.lit(""))).alias("grp")
+    living = docs.filter("status = 'active' AND primary_domain IS NOT NULL")
+    groups = F.broadcast(written(living.select("primary_domain", F.col("jurisdiction").alias("_place"), group).distinct(), "groups"))
     asked = queries.select("query_id", F.array_distinct("domains").alias("domains"), *[F.col(c).alias(f"q_{c}") for c in optional], F.explode(query_terms(F.col("text"))).alias("term"))
-    known = _small(docs.filter("status = 'active' AND primary_domain IS NOT NULL").select("document_id", "doc_date", "primary_domain", "jurisdiction"), "known")
-    latest = [F.col("doc_date").desc_nulls_last(), F.col("chunk_id")]
+    asked = asked.withColumn("primary_domain", F.explode("domains")).join(groups, "primary_domain").drop("domains", "primary_domain")
+    if "jurisdiction" in optional:
+        asked = asked.filter("q_jurisdiction IS NULL OR _place = q_jurisdiction").drop("q_jurisdiction")
+    asked = written(asked.drop("_place"), "asked")
+    known = small(living.select(F.col("document_id").cast("string").alias("document_id"), age, group), "known")
+    held, postings, grams = _postings(chunks, index, known)
     # A chunk_id of m dates takes m places of a list, so lists are m times as long.
-    dates = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("document_id").cast("string").alias("document_id")).join(known, "document_id")
-    places = 2 * top * (dates.groupBy("chunk_id").agg(F.count_distinct(F.struct("doc_date")).alias("n")).agg(F.max("n")).first()[0] or 1)
-
-    def first(rows: DataFrame, key: str) -> DataFrame:
-        order = W.partitionBy(key, "primary_domain", "jurisdiction").orderBy(*latest)
-        return rows.withColumn("_n", F.dense_rank().over(order)).filter(F.col("_n") <= places).drop("_n")
-
-    # Words are cut before terms, since a term's words share few chunks but a word many terms.
-    found = _small(term_words(index, asked), "words")
-    of_words = first(index.postings.select("word", "chunk_id", "document_id").join(_small(found.select("word").distinct(), "word"), "word", "left_semi").join(known, "document_id"), "word")
-    # A chunk that several words of a term bring has one place, so repeats go after the cut.
-    lists = first(of_words.join(found, "word").drop("word"), "term").distinct()
-    hits = _dealt(asked.withColumn("primary_domain", F.explode("domains")).drop("domains"), lists, ["term", "primary_domain"])
+    places = 2 * top * (held.groupBy("chunk_id").agg(F.count_distinct("age").alias("n")).agg(F.max("n")).first()[0] or 1)
+    lists = first_chunks(postings, held, grams, asked.select("term", "grp").distinct(), ["age", "chunk_id"], places)
+    hits = _dealt(asked, lists, ["term", "grp"], places).withColumn("doc_date", F.when(F.col("age") < never, F.date_from_unix_date(-F.col("age"))))
     if "since_date" in optional:
         hits = hits.filter("q_since_date IS NULL OR doc_date >= q_since_date")
-    if "jurisdiction" in optional:
-        hits = hits.filter("q_jurisdiction IS NULL OR jurisdiction = q_jurisdiction")
     hits = hits.groupBy("query_id", "chunk_id").agg(F.max(F.struct("doc_date", "document_id")).alias("_d")).select("query_id", "chunk_id", "_d.doc_date", "_d.document_id")
-    order = W.partitionBy("query_id").orderBy(*latest)
+    order = W.partitionBy("query_id").orderBy(F.col("doc_date").desc_nulls_last(), "chunk_id")
     return hits.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= 2 * top).select(
         "query_id", "chunk_id", "document_id", F.lit("lexical").alias("source"), (1.0 / F.col("rnk")).alias("score"), "rnk"
     )
@@ -109,14 +112,14 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top:
 def clause_search(queries: DataFrame, clauses: DataFrame, top: int, index: LexicalIndex | None = None) -> DataFrame:
     """Each query's first `top` clauses, by id, that contain a long word among its first five.
 
-    `index` is that of the clauses, made here if not given; a term's clauses are cut to its
-    first `top` before they meet the queries.
+    `index` is that of the clauses; without one their words are read.  A term's clauses are
+    cut to its first `top` before they meet the queries.
     """
-    index = index or lexical_index(clauses)
-    asked = queries.select("query_id", F.explode(query_terms(F.col("text"), first=True)).alias("term"))
-    first = F.row_number().over(W.partitionBy("term").orderBy("chunk_id", "document_id"))
-    lists = term_hits(index, asked).distinct().withColumn("_n", first).filter(F.col("_n") <= top).drop("_n")
-    hits = _dealt(asked, lists, ["term"]).select("query_id", "chunk_id", "document_id").distinct()
+    asked = written(queries.select("query_id", F.lit("").alias("grp"), F.explode(query_terms(F.col("text"), first=True)).alias("term")), "asked")
+    held, postings, grams = _postings(clauses, index)
+    held, postings = held.withColumn("grp", F.lit("")), postings.withColumn("grp", F.lit(""))
+    lists = first_chunks(postings, held, grams, asked.select("term", "grp").distinct(), ["chunk_id", "document_id"], top)
+    hits = _dealt(asked, lists, ["term", "grp"], top).select("query_id", "chunk_id", "document_id").distinct()
     order = W.partitionBy("query_id").orderBy("chunk_id", "document_id")
     return hits.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= top).withColumn("score", 1.0 / F.col("rnk"))
 
