@@ -38,6 +38,8 @@ CHAPTER, PART = rf"(?imd)^\s*CHAPTER\s+([IVXLCDM]+|\d+){_TAIL}", rf"(?imd)^\s*PA
 BOUNDARY = r"(?imd)^\s*(Section|Sec\.?|Article|Rule|Regulation|Norm\s*s?|CHAPTER|PART|(?:THE\s+)?SCHEDULE|APPENDIX)\s+"
 SUBCLAUSE = r"(?imd)^\s*\(([0-9a-zA-Z]|[ivx]+)\)\s+"
 ACT = r"(?i)(?:THE\s+)?(.+?)\s+\b(Act|Rules|Regulations|Regulation|Rule|Norms|Norm|Appendix|Ordinance)\b(?:,?\s+(\d{4}))?"
+ACT_WORD = r"(?i)\s(?:Act|Rules?|Regulations?|Norms?|Appendix|Ordinance)\b"
+ACT_LAST = rf"(?s)\A.*{ACT_WORD}(?:,?\s+\d{{4}})?"
 ACT_WORDS = ["be it enacted", "constitution of india", "notified", "regulation", "rules", "norms", "appendix", "ordinance"]
 #: First marks of a judgment's sections, in order of precedence at one place.
 JUDGMENT_SECTIONS = {
@@ -241,18 +243,30 @@ def _nodes(text: Column, hits: Column, kind: str, pattern: str, parts: Column, c
 
 
 def act_name(text: Column) -> Column:
-    """Name of an act or rules: the last name of the first line of the top that holds one."""
+    """Name of an act or rules: the last name of the first line of the top that holds one.
+
+    Only lines with one of the words are searched, up to the last of these, since behind it
+    every place would be tried to the line's end; a line's names are found once, and the last
+    is then taken apart.
+    """
     text = _text(text)
     top = F.lower(F.substring(text, 1, 3000))
 
-    def name(line: Column) -> Column:
-        group = lambda g: F.try_element_at(F.regexp_extract_all(line, F.lit(ACT), F.lit(g)), F.lit(-1))
-        title = strip(group(1))
-        full = F.concat(title, F.lit(" "), group(2), F.when(F.coalesce(group(3), F.lit("")) != "", F.concat(F.lit(", "), group(3))).otherwise(""))
-        return F.when(F.length(line) < 5, None).when(title.isNotNull(), F.when(F.length(title) <= 150, full)).when(F.lower(line).contains("norms") & (F.length(line) < 100), line)
+    def named(line: Column) -> Column:
+        upto = F.regexp_extract(line, ACT_LAST, 0)
+        return F.struct(line.alias("line"), F.try_element_at(F.regexp_extract_all(upto, F.lit(ACT), F.lit(0)), F.lit(-1)).alias("found"))
+
+    def parts(x: Column) -> Column:
+        group = lambda g: F.regexp_extract(x["found"], ACT, g)
+        return F.struct(x["line"].alias("line"), strip(group(1)).alias("title"), group(2).alias("word"), group(3).alias("year"))
+
+    def name(x: Column) -> Column:
+        full = F.concat(x["title"], F.lit(" "), x["word"], F.when(x["year"] != "", F.concat(F.lit(", "), x["year"])).otherwise(""))
+        return F.when(F.length(x["line"]) < 5, None).when(x["title"].isNotNull(), F.when(F.length(x["title"]) <= 150, full)).when(F.lower(x["line"]).contains("norms") & (F.length(x["line"]) < 100), x["line"])
 
-    lines = F.transform(F.split(F.substring(text, 1, 2500), "\n"), strip)
-    first = F.try_element_at(F.filter(F.transform(lines, name), lambda x: x.isNotNull()), F.lit(1))
+    lines = F.filter(F.split(F.substring(text, 1, 2500), "\n"), lambda x: x.rlike(ACT_WORD) | F.lower(x).contains("norms"))
+    names = F.transform(F.transform(F.transform(F.transform(lines, strip), named), parts), name)
+    first = F.try_element_at(F.filter(names, lambda x: x.isNotNull()), F.lit(1))
     return F.when(has(top, *ACT_WORDS), F.coalesce(first, F.when(top.contains("constitution of india"), "Constitution of India")))
 
 
