@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -27,8 +27,18 @@ def _form(name: str):
     return run
 
 
+#: Rows of an Arrow batch, of which a Python worker holds some copies: whole texts are long rows.
+BATCH = 256
+
+
 def normal_form(text: Column, name: str) -> Column:
-    """The text in a Unicode normal form; only rows with other than ASCII characters go to Python."""
+    """The text in a Unicode normal form; only rows with other than ASCII characters go to Python.
+
+    The session's Arrow batches are held at BATCH rows from here on, since Spark reads the setting when the frame is run.
+    """
+    session, key = SparkSession.active(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(session.conf.get(key)) <= BATCH:
+        session.conf.set(key, str(BATCH))
     return F.coalesce(_form(name)(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
