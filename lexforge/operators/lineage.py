@@ -10,30 +10,61 @@ from ..sources.staging import written
 from .ranges import told
 
 
+#: Doubled pointers up to so many rows go to every task; of more, rows are sorted and merged.
+SMALL = 100_000
+
+
+def doubled(pointers: DataFrame) -> tuple[list[tuple[DataFrame, int]], DataFrame | None]:
+    """The pointers (node, at), one a node and stored, of 1, 2, 4 ... hops with their counts, and
+    the last of those whose nodes run into rings, whose at are the rings' nodes (None: no rings).
+
+    A table holds only nodes that have as many hops before them, so tables shrink as ways end,
+    and one that shrinks no more holds nodes without an end only.  Rounds grow with the
+    logarithm of the longest way and are written to the shared folder.
+    """
+    tables, size, before, rings = [], pointers.count(), None, None
+    while size:
+        tables.append((pointers, size))
+        if size == before:
+            was, rings = rings, pointers.agg(F.count_distinct("at")).first()[0]
+            if rings == was:
+                return tables, pointers
+        pointers = _twice(pointers)
+        before, size = size, pointers.count()
+    return tables, None
+
+
+def _twice(pointers: DataFrame) -> DataFrame:
+    on = pointers.select(F.col("node").alias("at"), F.col("at").alias("_at"))
+    return written(pointers.join(on, "at").select("node", F.col("_at").alias("at")), "doubled")
+
+
+def _hopped(rows: DataFrame, node: str, table: DataFrame, size: int) -> DataFrame:
+    """rows with _at, where a doubled pointer leads from their node, or null."""
+    on = table.select(F.col("node").alias(node), F.col("at").alias("_at"))
+    return rows.join(on.hint("broadcast" if size <= SMALL else "merge"), node, "left")
+
+
 def trace_lineage(orders: DataFrame, relations: DataFrame) -> DataFrame:
     """go_id, root and depth: where following each order's first supersedes or amends edge ends.
 
-    The first edge is that of least (seq, target_id).  Pointers double each round, so a chain
-    of n edges takes log2(n) rounds, each a join on an id, written to the shared folder.  A
-    round that brings none to its end leaves only orders that run into a cycle; these have a
-    null root and depth.
+    The first edge is that of least (seq, target_id).  Orders go the doubled pointers, each at
+    most once, from the longest to the shortest.  Those that are then still on a way that runs
+    into a cycle, or at a first edge without a target, have a null root and depth.
     """
-    first = relations.filter(F.col("relation_type").isin("supersedes", "amends")).groupBy(F.col("source_id").alias("go_id")).agg(F.min(F.struct("seq", "target_id"))["target_id"].alias("root"))
-    ends = first.select(F.col("root").alias("go_id")).distinct().join(first, "go_id", "left_anti")
-    hops = written(first.withColumn("depth", F.lit(1).cast("long")).unionByName(ends.select("go_id", F.col("go_id").alias("root"), F.lit(0).cast("long").alias("depth"))), "hops")
-    moved = None
-    while moved != 0:
-        on = hops.select(F.col("go_id").alias("root"), F.col("root").alias("_next"), F.col("depth").alias("_more"))
-        hops = written(hops.join(on, "root").select("go_id", F.col("_next").alias("root"), (F.col("depth") + F.col("_more")).alias("depth"), (F.col("_more") > 0).alias("_moved")), "hops")
-        before, moved = moved, hops.filter("_moved").count()
-        hops = hops.drop("_moved")
-        if moved == before:
-            break
-    done = hops.join(ends.withColumnRenamed("go_id", "root"), "root", "left_semi").select("go_id", "root", "depth").withColumn("_ok", F.lit(True))
-    linked = first.select("go_id", F.lit(True).alias("_linked"))
-    rows = orders.select("go_id").join(done, "go_id", "left").join(linked, "go_id", "left")
-    alone = F.col("_linked").isNull() & F.col("_ok").isNull()
-    return rows.select("go_id", F.when(alone, F.col("go_id")).otherwise(F.col("root")).alias("root"), F.when(alone, 0).otherwise(F.col("depth")).cast("long").alias("depth"))
+    edges = relations.filter(F.col("relation_type").isin("supersedes", "amends") & F.col("source_id").isNotNull())
+    first = written(edges.groupBy(F.col("source_id").alias("node")).agg(F.min(F.struct("seq", "target_id"))["target_id"].alias("at")), "first")
+    tables, looped = doubled(first.filter("at IS NOT NULL"))
+    rows = orders.select("go_id", F.col("go_id").alias("root"), F.lit(0).cast("long").alias("depth"))
+    for n, (table, size) in reversed(list(enumerate(tables))):
+        rows = _hopped(rows, "root", table, size).select("go_id", F.coalesce("_at", "root").alias("root"), F.when(F.col("_at").isNull(), F.col("depth")).otherwise(F.col("depth") + (1 << n)).alias("depth"))
+    lost = first.filter("at IS NULL").select("node")
+    if looped is None and not lost.limit(1).count():
+        return rows
+    lost = lost if looped is None else lost.union(looped.select("node"))
+    rows = rows.join(lost.select(F.col("node").alias("root"), F.lit(True).alias("_lost")), "root", "left")
+    ended = lambda c: F.when(F.col("_lost").isNull(), F.col(c)).alias(c)
+    return rows.select("go_id", ended("root"), ended("depth"))
 
 
 def newer_same_topic(orders: DataFrame, superseded: DataFrame | None = None) -> DataFrame:
@@ -96,6 +127,16 @@ def jumps(pointers: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return now.select("node", F.when(F.col("done"), F.col("at")).alias("end"), "hops", "least", "at"), tables
 
 
+def _edges(relations: DataFrame) -> DataFrame:
+    return relations.filter(F.col("relation_type").isin("supersedes", "amends") & F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
+
+
+def following(relations: DataFrame) -> DataFrame:
+    """(node, at): what follows each order, the source of its first incoming edge, that of least
+    (seq, source_id)."""
+    return _edges(relations).groupBy(F.col("target_id").alias("node")).agg(F.min(F.struct("seq", "source_id"))["source_id"].alias("at"))
+
+
 def lineage_chains(relations: DataFrame) -> DataFrame:
     """Every order of a supersedes or amends edge once, in a chain from older to newer:
     (go_id, chain, place, next_chain, next_place).
@@ -106,8 +147,8 @@ def lineage_chains(relations: DataFrame) -> DataFrame:
     as long as there are orders.  A cycle is opened before its least order.  chain is the
     chain's first order, places count from 0.
     """
-    edges = relations.filter(F.col("relation_type").isin("supersedes", "amends") & F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
-    after = written(edges.groupBy(F.col("target_id").alias("node")).agg(F.min(F.struct("seq", "source_id"))["source_id"].alias("next")), "after")
+    edges = _edges(relations)
+    after = written(following(relations).select("node", F.col("at").alias("next")), "after")
     # Back along the chains: each order points to the least one that it follows.
     back = written(after.filter("node <> next").groupBy(F.col("next").alias("node")).agg(F.min("node").alias("to")), "back")
     found, _ = jumps(back)
@@ -132,32 +173,48 @@ def lineage_chains(relations: DataFrame) -> DataFrame:
 def ordered_lineage(asked: DataFrame, chains: DataFrame) -> DataFrame:
     """(start, place, go_id): the whole ordered chain from each asked order (go_id) on, oldest first.
 
-    A chain is followed over its links until it ends or would meet an order again; each round
-    adds one chain's stretch to every asked order.  Orders without edges are alone.
+    It is followed over the chains' links until it ends or would meet an order again.  Orders
+    without edges are alone.
     """
-    chains = chains.select("go_id", "chain", F.col("place").alias("_p"), "next_chain", "next_place")
-    last = chains.filter("next_chain IS NOT NULL").select(F.col("chain").alias("_c"), F.col("_p").alias("_until"), "next_chain", "next_place")
-    longest = chains.groupBy("chain").agg(F.max("_p").alias("_end"))
-    at = asked.select(F.col("go_id").alias("start")).distinct().join(chains.select(F.col("go_id").alias("start"), "chain", "_p"), "start", "left")
-    alone = at.filter("chain IS NULL").select("start", F.lit(0).cast("long").alias("place"), F.col("start").alias("go_id"))
-    open_ = written(at.filter("chain IS NOT NULL").select("start", "chain", F.col("_p").alias("first"), F.lit(0).cast("long").alias("base")), "open")
-    parts, seen = [alone], None
-    while open_.limit(1).count():
-        spans = open_.join(longest, "chain").withColumnRenamed("_end", "until")
-        if seen is not None:
-            # A stretch that was passed before ends the chain; so does reaching its first order again.
-            again = seen.select("start", "chain", F.col("first").alias("_f"))
-            spans = spans.join(again, ["start", "chain"], "left").groupBy("start", "chain", "first", "base", "until").agg(F.min(F.when(F.col("_f") >= F.col("first"), F.col("_f"))).alias("_stop"), F.max(F.when(F.col("_f") <= F.col("first"), F.lit(1))).alias("_met"))
-            spans = spans.filter("_met IS NULL").withColumn("until", F.coalesce(F.col("_stop") - 1, F.col("until"))).drop("_met", "_stop")
-        spans = written(spans, "spans")
-        seen = spans if seen is None else written(seen.unionByName(spans), "seen")
-        parts.append(spans.join(chains.select("chain", "_p", "go_id"), "chain").filter("_p >= first AND _p <= until").select("start", (F.col("base") + F.col("_p") - F.col("first")).alias("place"), "go_id"))
-        on = spans.join(last, (F.col("chain") == F.col("_c")) & (F.col("until") == F.col("_until")))
-        open_ = written(on.select("start", F.col("next_chain").alias("chain"), F.col("next_place").alias("first"), (F.col("base") + F.col("until") - F.col("first") + 1).alias("base")), "open")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    to = chains.select(F.col("chain").alias("_c"), F.col("place").alias("_p"), F.col("go_id").alias("at"))
+    links = chains.select(F.col("go_id").alias("node"), F.coalesce("next_chain", "chain").alias("_c"), F.coalesce("next_place", F.col("place") + 1).alias("_p"))
+    return ordered_ways(asked, links.join(to, ["_c", "_p"]).select("node", "at"))
+
+
+def ordered_ways(asked: DataFrame, pointers: DataFrame) -> DataFrame:
+    """(start, place, go_id): the way of the pointers (node, at), one a node, from each asked order
+    (go_id) on, until it ends or would meet an order again.
+
+    From the longest of the doubled pointers to the shortest, each place found so far gives the
+    one that lies so many hops on, so every place is made once, by as many joins as the longest
+    way has binary digits.
+    """
+    tables, looped = doubled(written(pointers, "after"))
+    rows = asked.select(F.col("go_id").alias("start")).distinct().select("start", F.lit(0).cast("long").alias("place"), F.col("start").alias("go_id"), F.lit(None).cast("long").alias("length"))
+    if looped is not None:
+        lengths = written(_lengths(tables[0][0], looped), "lengths")
+        rows = rows.drop("length").join(lengths.withColumnRenamed("node", "start"), "start", "left")
+        longest = lengths.agg(F.max("length")).first()[0]
+        while 1 << len(tables) < longest:
+            tables.append((_twice(tables[-1][0]), tables[-1][1]))
+    for n, (table, size) in reversed(list(enumerate(tables))):
+        on = F.col("place") + (1 << n)
+        here, there = F.struct("place", "go_id"), F.struct(on.alias("place"), F.col("_at").alias("go_id"))
+        more = F.col("_at").isNotNull() & (F.col("length").isNull() | (on < F.col("length")))
+        rows = _hopped(rows, "go_id", table, size).select("start", "length", F.explode(F.when(more, F.array(here, there)).otherwise(F.array(here))).alias("_row")).select("start", "_row.place", "_row.go_id", "length")
+    return rows.select("start", "place", "go_id")
+
+
+def _lengths(pointers: DataFrame, looped: DataFrame) -> DataFrame:
+    """(node, length): how many nodes are met from each node that runs into a ring, itself included."""
+    ring = written(looped.select(F.col("at").alias("node")).distinct(), "ring")
+    ways = pointers.join(looped.select("node"), "node", "left_semi").select("node", F.col("at").alias("to"))
+    around = jumps(ways.join(ring, "node", "left_semi"))[0].select("node", "least")
+    sizes = around.groupBy("least").agg(F.count("*").alias("length"))
+    around = written(around.join(sizes, "least").select("node", "length"), "ring")
+    tails = jumps(ways.join(ring, "node", "left_anti"))[0].filter("hops > 0").select("node", "end", "hops")
+    entered = tails.join(around.withColumnRenamed("node", "end"), "end").select("node", (F.col("hops") + F.col("length")).alias("length"))
+    return around.unionByName(entered)
 
 
 def detect_cycles(edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from .plans.fixtures import view, with_sql
 from .registered import relations as linked
 from .registered import details, jobs, routed, search, structure, tables
 from .registered import text as texts
-from .sources.staging import new_folder, written
+from .sources.staging import new_folder
 from .streaming.ingest import ingest, not_yet_ingested
 
 QUERIES: dict = {}
@@ -279,7 +279,7 @@ SELECT go_id, arg_max(node, depth) AS root, max(depth) AS depth FROM w GROUP BY
 def _ordered(v):
     """The chain of every order at which a way back ends."""
     roots = lineage.trace_lineage(v("go_master"), v("relations")).filter("root IS NOT NULL").select(F.col("root").alias("go_id")).distinct()
-    return lineage.ordered_lineage(roots, written(lineage.lineage_chains(v("relations")), "chains")).select(F.col("start").alias("root"), "place", "go_id")
+    return lineage.ordered_ways(roots, lineage.following(v("relations"))).select(F.col("start").alias("root"), "place", "go_id")
 
 
 _register("grf_03_ordered_lineage", _ordered, """
