@@ -12,6 +12,7 @@ guessed from the text itself; no column but the text enters a score.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from dataclasses import dataclass
 
@@ -296,18 +297,28 @@ def toxicity(
             words = pa.array([hashes(r).tobytes() for r in raws], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, pa.array(map(language, raws), pa.string())], names=["id", "toxic", "words", "lang"])
 
+    def fit(batches):
+        fitted = [b for b in batches if b.num_rows]
+        if not fitted:
+            return
+        fitted = pa.Table.from_batches(fitted).sort_by("id")
+        kept = np.array([zlib.crc32(str(i).encode()) % 5 == 4 for i in fitted["id"].to_pylist()], bool)
+        toxic, langs = fitted["toxic"].to_numpy(), fitted["lang"].to_pylist()
+        texts = [np.frombuffer(w.as_py(), np.uint64).reshape(len(PREFIXES), -1) for w in fitted["words"]]
+        del fitted
+        pa.default_memory_pool().release_unused()
+        model = pickle.dumps(train(texts, toxic, kept, langs))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
     # At most most_rows rows of two numbers: bounded by the parameter, so broadcast.  Of rows
     # that repeat an id the least text is fitted, so reruns agree.
     chosen = training.join(F.broadcast(known), training[id_col] == known["_tx_id"]).groupBy("_tx_id", "_tx_toxic").agg(F.min(F.col(text_col)).cast("binary").alias("_tx_text"))
-    fitted = chosen.mapInArrow(hashed, f"id {dict(labels.dtypes)[id_col]}, toxic int, words binary, lang string").toArrow().sort_by("id")
-    kept = np.array([zlib.crc32(str(i).encode()) % 5 == 4 for i in fitted["id"].to_pylist()], bool)
-    toxic, langs = fitted["toxic"].to_numpy(), fitted["lang"].to_pylist()
-    texts = [np.frombuffer(w.as_py(), np.uint64).reshape(len(PREFIXES), -1) for w in fitted["words"]]
-    del fitted
-    model = train(texts, toxic, kept, langs) if texts else None
+    fitted = chosen.mapInArrow(hashed, f"id {dict(labels.dtypes)[id_col]}, toxic int, words binary, lang string")
+    # One task fits these rows; only the model comes to the driver, never their words.
+    models = fitted.repartition(1).mapInArrow(fit, "model binary").collect()
+    model = pickle.loads(models[0]["model"]) if models else None
     # Words and filters: bounded by most_rows texts.
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    pa.default_memory_pool().release_unused()
 
     def score(batches):
         model = shared.value

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexforge.llm import ngram_jaccard
+from lexforge.llm.toxicity import toxicity
 
 
 def test_near_copies_of_the_stage(spark):
@@ -160,3 +161,27 @@ def test_empty_stages_and_reruns(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
     first, again = (corpus_pipeline.run(spark, str(tmp_path)).collect() for _ in range(2))
     assert key(first) == key(again) and first
+
+
+def test_toxicity_keeps_its_texts_off_the_driver(spark, monkeypatch):
+    """What comes to the driver is the model, not the words of the rows that it is fitted on."""
+    rng = random.Random(3)
+    docs = [(i, " ".join("".join(rng.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(500)) + (" vile" if i % 3 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kind, came = type(frame), []
+
+    def noted(f):
+        def call(self, *args, **more):
+            out = f(self, *args, **more)
+            came.append(out.nbytes if hasattr(out, "nbytes") else sum(len(x) if isinstance(x, (bytes, bytearray)) else 8 for row in out for x in row))
+            return out
+
+        return call
+
+    for name in ("collect", "toArrow"):
+        monkeypatch.setattr(kind, name, noted(getattr(kind, name)))
+    scored = toxicity(frame, labels)
+    monkeypatch.undo()
+    assert 0 < sum(came) < sum(len(t) for _, t in docs) // 10
+    assert {x.doc_id for x in scored.filter("predicted = 1").collect()} == {i for i, _ in docs if i % 3 == 0}
