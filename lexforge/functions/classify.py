@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .segments import as_re2
+
 #: Keywords of each vertical, first vertical first.
 VERTICALS = {
     "go": ["government order", "g.o.", "preamble", "order", "whereas", "now therefore", "annexure"],
@@ -156,16 +158,25 @@ def go_role(preamble: Column, orders: Column) -> tuple[Column, Column]:
     return role, F.coalesce(F.try_element_at(table, role), F.lit(0.5))
 
 
+def _or_else(labels: Column, other: Column) -> Column:
+    """labels, or other if there are none; a list of one binds the labels, so that their patterns are searched once."""
+    return F.transform(F.array(labels), lambda own: F.when(F.size(own) > 0, own).otherwise(other))[0]
+
+
 def go_logic(text: Column) -> dict[str, Column]:
-    """Labels of each kind that fit an order's text, or the kind's default; empty lists for blank texts."""
+    """Labels of each kind that fit an order's text, or the kind's default; empty lists for blank texts.
+
+    All alternatives of a pattern begin at a word's bound, which is tested once for all of them.
+    """
     text = F.coalesce(text, F.lit(""))
-    blank = F.trim(F.regexp_replace(text, r"\s", "")) == ""
+    blank = ~F.regexp_like(text, F.lit(r"\S"))
     none = F.array().cast("array<string>")
     out = {}
     for kind, labels in LOGIC.items():
-        fit = F.array_compact(F.array(*[F.when(F.regexp_like(text, F.lit(f"(?id){p}")), k) for k, p in labels.items()]))
+        bound = {k: r"\b(?:" + p.removeprefix(r"\b").replace(r"|\b", "|") + ")" for k, p in labels.items()}
+        fit = F.array_compact(F.array(*[F.when(F.regexp_like(text, F.lit(f"(?id){as_re2(p)}")), k) for k, p in bound.items()]))
         other = F.array(F.lit(LOGIC_DEFAULTS[kind])) if kind in LOGIC_DEFAULTS else none
-        out[kind] = F.when(blank, none).when(F.size(fit) > 0, fit).otherwise(other)
+        out[kind] = F.when(blank, none).otherwise(_or_else(fit, other))
     return out
 
 

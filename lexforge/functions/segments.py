@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +101,24 @@ def ascii_bounds(pattern: str) -> str:
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 
+def as_re2(pattern: str) -> str:
+    """The pattern as RE2 reads it under (?i): \\b as in ascii_bounds, \\s without the vertical tab, s and k with the
+    two letters beyond A-Z that fold to them."""
+    wide = {"s": "\u017f", "k": "\u212a"}
+
+    def part(found: re.Match) -> str:
+        token = found[0]
+        if token == r"\b":
+            return ascii_bounds(token)
+        if token == r"\s":
+            return r"[\t\n\f\r ]"
+        if token[0] == "[":
+            return token[:-1] + "".join(w for c, w in wide.items() if c in token.lower()) + "]"
+        return token if token[0] == "\\" else f"[{token}{wide[token.lower()]}]"
+
+    return re.sub(r"\\.|\[[^\]]*\]|[sSkK]", part, pattern)
+
+
 def query_type(text: Column) -> tuple[Column, Column, Column]:
     """(primary type, its confidence, other types over 0.3 joined by commas) of a query; null as "".
 
