@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .segments import as_re2
+from .spans import bound
 
 #: Keywords of each vertical, first vertical first.
 VERTICALS = {
@@ -159,8 +160,8 @@ def go_role(preamble: Column, orders: Column) -> tuple[Column, Column]:
 
 
 def _or_else(labels: Column, other: Column) -> Column:
-    """labels, or other if there are none; a list of one binds the labels, so that their patterns are searched once."""
-    return F.transform(F.array(labels), lambda own: F.when(F.size(own) > 0, own).otherwise(other))[0]
+    """labels, or other if there are none; bound, so that their patterns are searched once."""
+    return bound(labels, lambda own: F.when(F.size(own) > 0, own).otherwise(other))
 
 
 def go_logic(text: Column) -> dict[str, Column]:

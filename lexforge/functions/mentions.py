@@ -13,6 +13,7 @@ from .spans import strip
 _NAME = r"[A-Z][A-Za-z\s,]+?\bAct\b"
 #: Patterns of act names, and what marks a false one.
 ACTS = [rf"(?i)(?:The\s+)?({_NAME},?\s+\d{{4}})", rf"(?i)(?:The\s+)?({_NAME})(?:,|:|\.)(?:\s|$)", rf"(?i)({_NAME}\s+No\.?\s+\d+\s+of\s+\d{{4}})", rf"(?i)under\s+(?:the\s+)?({_NAME})(?:\s+of\s+\d{{4}}|,|:|\.)"]
+ACT_WORD = r"(?i)\bAct\b"
 FALSE_ACTS = r"officers.*for.*act|state.*for.*act|for\s+\w+\s+act|providing\s+\w+.*act|necessary\s+act|attract\w*|exact\w*|nutritious.*act"
 NO_ACTS = ["necessary", "nutritious", "attract", "exact", "impact", "contact", "practical", "actual", "officers", "state", "providing"]
 SMALL_WORDS = ["the", "and", "of", "for", "in", "to", "a", "an"]
@@ -30,7 +31,8 @@ TOP = 10
 def act_mentions(text: Column) -> Column:
     """Names of acts in a text, sorted, ten at most, without the false ones."""
     text = F.coalesce(text, F.lit(""))
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in ACTS])
+    # Most texts don't have the word that every pattern ends on, and the patterns try each letter before it.
+    found = F.when(F.regexp_like(text, F.lit(ACT_WORD)), F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in ACTS])).otherwise(F.array().cast("array<string>"))
     tidy = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(strip(x), r"^,+|,+$", ""), r"^\.+|\.+$", ""))
 
     def real(act: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,14 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"\A(?U:\s+)|(?U:\s+)\z", "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once, however often it is used: it is the only element of a list.
+
+    What else use needs belongs into the value: a column's name inside it could mean an alias of the same select.
+    """
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def spans(text: Column, pattern: str, group: int = 1) -> Column:
     """array<struct<start, matched, value>> of a pattern's matches from left to right.
 
@@ -22,19 +32,23 @@ def spans(text: Column, pattern: str, group: int = 1) -> Column:
     the empty text; null text gives an empty array.
     """
     text = F.coalesce(text, F.lit(""))
-    matched = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(matched, F.slice(gaps, 1, F.size(matched)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap")))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
-        pairs, nothing,
-        lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts")),
-        lambda a: a["starts"],
-    )
-    joined = F.zip_with(F.zip_with(starts, matched, lambda s, m: F.struct(s.alias("start"), m.alias("matched"))), value,
-                        lambda a, v: F.struct(a["start"].alias("start"), a["matched"].alias("matched"), v.alias("value")))
-    return F.when(F.regexp_like(text, F.lit(pattern)), joined).otherwise(F.array().cast("array<struct<start:int,matched:string,value:string>>"))
+    hits = {"matched": F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "gaps": F.split(text, pattern, -1)}
+    if group:
+        hits["value"] = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    def placed(h: Column) -> Column:
+        pairs = F.zip_with(h["matched"], F.slice(h["gaps"], 1, F.size(h["matched"])), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap")))
+        nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(
+            pairs, nothing,
+            lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts")),
+            lambda a: a["starts"],
+        )
+        return F.zip_with(F.zip_with(starts, h["matched"], lambda s, m: F.struct(s.alias("start"), m.alias("matched"))), h["value"] if group else h["matched"],
+                          lambda a, v: F.struct(a["start"].alias("start"), a["matched"].alias("matched"), v.alias("value")))
+
+    found = bound(F.struct(*[c.alias(n) for n, c in hits.items()]), placed)
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<start:int,matched:string,value:string>>"))
 
 
 def around(text: Column, start: Column, length: Column, reach: int) -> Column:

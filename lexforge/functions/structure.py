@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import spans, strip
+from .spans import bound, spans, strip
 
 #: Patterns of an order's parts.
 GO_NUMBER = r"(?i)G\.?O\.?(?:Ms|Rt)?\.?\s*No\.?\s*([0-9A-Z]+)"
@@ -118,36 +118,53 @@ def go_identity(text: Column) -> dict[str, Column]:
     }
 
 
-def _cut(text: Column, pattern: str) -> tuple[Column, Column, Column]:
-    """Whether the pattern occurs, and the text before and behind its first match."""
-    parts = F.split(text, pattern, 2)
-    return F.regexp_like(text, F.lit(pattern)), F.element_at(parts, 1), F.try_element_at(parts, F.lit(2))
+def _cut(text: Column, pattern: str, **kept: Column) -> Column:
+    """struct<text, found, parts> and what is kept: whether the pattern occurs, and the text before and behind its first match."""
+    return F.struct(text.alias("text"), F.regexp_like(text, F.lit(pattern)).alias("found"), F.split(text, pattern, 2).alias("parts"), *[c.alias(n) for n, c in kept.items()])
+
+
+def cut_order(text: Column) -> Column:
+    """struct<preamble, orders, annexures>: split at ORDER, else behind the preamble's last words, else all orders."""
+    before, behind = lambda c: c["parts"][0], lambda c: F.get(c["parts"], F.lit(1))
+    split = lambda some, preamble, rest, text: F.struct(some.alias("some"), preamble.alias("preamble"), rest.alias("rest"), text.alias("text"))
+
+    def opened(c: Column) -> Column:
+        head = strip(F.concat(before(c), F.regexp_extract(c["text"], PREAMBLE_END, 0)))
+        return split(c["found"], F.when(c["found"], head).otherwise(""), strip(F.when(c["found"], behind(c)).otherwise(c["text"])), c["text"])
+
+    def ordered(c: Column) -> Column:
+        return F.when(c["found"], split(c["found"], strip(before(c)), strip(behind(c)), c["text"])).otherwise(bound(_cut(c["text"], PREAMBLE_END), opened))
+
+    def ended(c: Column) -> Column:
+        whole, rest = c["whole"], c["text"]
+        some = whole["some"] & c["found"]
+        return F.struct(
+            whole["preamble"].alias("preamble"), F.when(some, strip(before(c))).when(whole["some"], rest).otherwise(whole["text"]).alias("orders"),
+            F.when(some, strip(F.substr(rest, F.length(before(c)) + 1))).otherwise("").alias("annexures"),
+        )
+
+    whole = bound(_cut(_text(text), ORDER_START), ordered)
+    return bound(whole, lambda s: bound(_cut(s["rest"], ANNEXURE_START, whole=s), ended))
 
 
 def go_sections(text: Column) -> dict[str, Column]:
-    """Preamble, orders and annexures: split at ORDER, else behind the preamble's last words, else all orders."""
-    text = _text(text)
-    ordered, before, behind = _cut(text, ORDER_START)
-    opened, head, tail = _cut(text, PREAMBLE_END)
-    rest = strip(F.when(ordered, behind).when(opened, tail).otherwise(text))
-    annexed, orders, _ = _cut(rest, ANNEXURE_START)
-    some = (ordered | opened) & annexed
-    return {
-        "preamble": F.when(ordered, strip(before)).when(opened, strip(F.concat(head, F.regexp_extract(text, PREAMBLE_END, 0)))).otherwise(""),
-        "orders": F.when(some, strip(orders)).when(ordered | opened, rest).otherwise(text),
-        "annexures": F.when(some, strip(F.substr(rest, F.length(orders) + 1))).otherwise(""),
-    }
+    """Preamble, orders and annexures of cut_order."""
+    cut = cut_order(text)
+    return {k: cut[k] for k in ("preamble", "orders", "annexures")}
 
 
 def go_paragraphs(orders: Column) -> Column:
     """array<struct<para_no, content, confidence>> of the numbered paragraphs; one of low confidence if none is."""
     orders = _text(orders)
-    numbers = F.regexp_extract_all(orders, F.lit(PARAGRAPH), F.lit(1))
-    parts = F.split(orders, PARAGRAPH, -1)
-    rows = F.zip_with(numbers, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda n, c: F.struct(
-        F.regexp_replace(n, r"^[.)]+|[.)]+$", "").alias("para_no"), strip(c).alias("content"), F.lit("high").alias("confidence")))
-    whole = F.array(F.struct(F.lit("1").alias("para_no"), orders.alias("content"), F.lit("low").alias("confidence")))
-    return F.when(orders == "", F.array().cast("array<struct<para_no:string,content:string,confidence:string>>")).when(F.size(numbers) > 0, rows).otherwise(whole)
+    found = F.struct(orders.alias("text"), F.regexp_extract_all(orders, F.lit(PARAGRAPH), F.lit(1)).alias("numbers"), F.split(orders, PARAGRAPH, -1).alias("parts"))
+
+    def listed(f: Column) -> Column:
+        rows = F.zip_with(f["numbers"], F.slice(f["parts"], 2, F.greatest(F.size(f["parts"]) - 1, F.lit(0))), lambda n, c: F.struct(
+            F.regexp_replace(n, r"^[.)]+|[.)]+$", "").alias("para_no"), strip(c).alias("content"), F.lit("high").alias("confidence")))
+        whole = F.array(F.struct(F.lit("1").alias("para_no"), f["text"].alias("content"), F.lit("low").alias("confidence")))
+        return F.when(F.size(f["numbers"]) > 0, rows).otherwise(whole)
+
+    return F.when(orders == "", F.array().cast("array<struct<para_no:string,content:string,confidence:string>>")).otherwise(bound(found, listed))
 
 
 def preamble_references(preamble: Column) -> Column:
@@ -280,15 +297,21 @@ def marked_sections(text: Column, marks: dict[str, str], before: str) -> Column:
         F.when(F.regexp_like(text, F.lit(p)), F.struct(F.length(F.element_at(F.split(text, p, 2), 1)).alias("start"), F.lit(i).alias("i"), F.lit(k).alias("section_type")))
         for i, (k, p) in enumerate(marks.items())
     ])))
-    def cut(m: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(places, i + 1)["start"], F.length(text))
-        return F.struct(m["start"].alias("start"), m["section_type"].alias("section_type"), strip(F.substr(text, m["start"] + 1, end - m["start"])).alias("content"))
 
-    head = F.struct(F.lit(0).alias("start"), F.lit(before).alias("section_type"), strip(F.substr(text, F.lit(1), F.get(places, F.lit(0))["start"])).alias("content"))
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit("content").alias("section_type"), text.alias("content")))
-    cuts = F.filter(F.concat(F.array(head), F.transform(places, cut)), lambda s: s["content"] != "")
+    def sections(m: Column) -> Column:
+        found, text = m["places"], m["text"]
+
+        def cut(m: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(found, i + 1)["start"], F.length(text))
+            return F.struct(m["start"].alias("start"), m["section_type"].alias("section_type"), strip(F.substr(text, m["start"] + 1, end - m["start"])).alias("content"))
+
+        head = F.struct(F.lit(0).alias("start"), F.lit(before).alias("section_type"), strip(F.substr(text, F.lit(1), F.get(found, F.lit(0))["start"])).alias("content"))
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.lit("content").alias("section_type"), text.alias("content")))
+        cuts = F.filter(F.concat(F.array(head), F.transform(found, cut)), lambda s: s["content"] != "")
+        return F.when(F.size(found) == 0, whole).otherwise(cuts)
+
     empty = F.array().cast("array<struct<start:int,section_type:string,content:string>>")
-    return F.when(text == "", empty).when(F.size(places) == 0, whole).otherwise(cuts)
+    return F.when(text == "", empty).otherwise(bound(F.struct(text.alias("text"), places.alias("places")), sections))
 
 
 def judgment_sections(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import structure as st
 from ..functions.packing import pack_paragraphs, pack_points
 from ..functions.segments import paragraphs
-from ..functions.spans import spans, strip
+from ..functions.spans import bound, spans, strip
 from ..sources.staging import written
 from .acts import act_leads, act_nodes, has_nodes
 
@@ -22,8 +22,8 @@ LEAST_TEXT = 50
 
 def points(text: Column, pattern: str) -> Column:
     """Pieces of a text from each match of a pattern to the next."""
-    hits = spans(text, pattern, 0)
-    cut = F.transform(hits, lambda h, i: strip(F.substr(text, h["start"] + 1, F.coalesce(F.get(hits, i + 1)["start"], F.length(text)) - h["start"])))
+    cut = bound(F.struct(text.alias("text"), spans(text, pattern, 0).alias("hits")), lambda b: F.transform(
+        b["hits"], lambda h, i: strip(F.substr(b["text"], h["start"] + 1, F.coalesce(F.get(b["hits"], i + 1)["start"], F.length(b["text"])) - h["start"]))))
     return F.filter(cut, lambda p: p != "")
 
 
@@ -48,10 +48,12 @@ def chunk_go(docs: DataFrame) -> DataFrame:
     on from one part to the next, and annexures count from 1000.  Documents without orders
     have none; see rejected.
     """
-    own = docs.select("document_id", *[c.alias(n) for n, c in st.go_sections(F.col("text")).items()], *[c.alias(f"id_{n}") for n, c in st.go_identity(F.col("text")).items()])
+    named = st.go_identity(F.col("text"))
+    own = docs.select("document_id", st.cut_order(F.col("text")).alias("cut"), *[named[n].alias(f"id_{n}") for n in ("go_number", "year")])
+    own = own.select("document_id", "cut.*", "id_go_number", "id_year").filter("orders <> ''")
     orders = F.transform(st.go_paragraphs(F.col("orders")), lambda p: F.struct(p["para_no"].alias("para_no"), p["content"].alias("content")))
     # Written once, since three parts read it and the patterns are dear.
-    base = written(own.select("document_id", "preamble", orders.alias("orders"), "annexures", "id_go_number", "id_year").filter(F.size("orders") > 0), "orders")
+    base = written(own.select("document_id", "preamble", orders.alias("orders"), "annexures", "id_go_number", "id_year"), "orders")
     named = F.concat(F.lit("AP_GO_"), F.coalesce("id_go_number", F.lit("UNK")), F.lit("_"), F.coalesce("id_year", F.lit("UNK")), F.lit("_P"))
     none = F.lit(None).cast("string")
     part = lambda rows, place, at, kind, priority, canonical, effect, content: rows.select(

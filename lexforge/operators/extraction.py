@@ -55,17 +55,18 @@ def extract_relations(docs: DataFrame) -> DataFrame:
     judgments' relations.  Null texts give none.
     """
     low = F.lower("text")
-    found, number = [], 0
+    found, searched, number = [], [], 0
     for kind, (patterns, confidence, scope, judicial) in RELATIONS.items():
         may = reduce(lambda a, b: a | b, (low.contains(w) for w in KEY_WORDS[kind]))
         if judicial:
             may = may & (F.col("vertical") == "judicial")
+        searched.append(F.when(may, F.col("text")).alias(f"_{kind}"))
         for pattern in patterns:
             group = 0 if judicial else 1
-            hits = spans(F.when(may, F.col("text")), f"(?i){pattern}", group)
+            hits = spans(F.col(f"_{kind}"), f"(?i){pattern}", group)
             found.append(_described(hits, kind, number, confidence, scope, judicial))
             number += 1
-    rows = docs.select("document_id", "text", F.explode(F.concat(*found)).alias("r")).select("document_id", "text", "r.*")
+    rows = docs.select("document_id", "text", *searched).select("document_id", "text", F.explode(F.concat(*found)).alias("r")).select("document_id", "text", "r.*")
     context = strip(F.when(F.col("reach") == 100, around(F.col("text"), F.col("start"), F.length("matched"), 100)).otherwise(around(F.col("text"), F.col("start"), F.length("matched"), 50)))
     named = F.col("relation_type").isin("supersedes", "cancels")
     return rows.withColumn("context", context).select(
@@ -83,7 +84,9 @@ def validate_relations(relations: DataFrame, docs: DataFrame) -> DataFrame:
     """
     tokens = F.regexp_extract_all("text", F.lit(r"\b([A-Za-z0-9.-]+)\b"), F.lit(1))
     number, raw, low = F.col("go_number"), F.col("raw_text"), F.lower("context")
-    seen = F.coalesce(F.array_contains(tokens, number), F.lit(False)) | F.coalesce((raw != "") & F.col("text").contains(raw), F.lit(False)) | (F.col("confidence") > 0.98)
+    # A text is cut into tokens last, since that is dear and few relations need it.
+    token = F.coalesce(F.col("text").contains(number) & F.array_contains(tokens, number), F.lit(False))
+    seen = F.coalesce((raw != "") & F.col("text").contains(raw), F.lit(False)) | (F.col("confidence") > 0.98) | token
     risk = F.coalesce(number.isNotNull() & (~number.rlike("^[0-9]+$") | F.col("context").rlike(r"\b[0-9][A-Z]\b")), F.lit(False))
     rows = relations.join(docs.select("document_id", "text"), "document_id")
     rows = rows.filter((number.isNull() | seen) & ~low.contains("copy to") & ~low.contains("forwarded"))

@@ -68,7 +68,7 @@ def ingest_corpus(texts: DataFrame, registry: DataFrame) -> dict[str, DataFrame]
     eligible = good.filter(extraction.qualifies(F.col("vertical"), F.col("text")))
     raw = written(extraction.extract_relations(eligible), "relations")
     checked = extraction.validate_relations(raw, eligible).withColumn("rel_id", F.concat_ws("/", "document_id", "seq.pattern", "seq.start")).withColumn("year", F.lit(None).cast("string"))
-    resolved = resolution.resolve_relations(checked, registry)
+    resolved = resolution.resolve_relations(written(checked, "checked"), registry)
     relations = drop_self_refs(resolved.withColumns({"source_id": F.col("document_id"), "target_id": F.coalesce("canonical_id", F.concat(F.lit("No. "), F.col("go_number")), F.col("raw_text"))}))
     relations = written(relations.select("rel_id", "source_id", "target_id", "relation_type", F.round("confidence", 9).alias("confidence"), "scope", "status", "method"), "resolved")
     n_chunks = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
