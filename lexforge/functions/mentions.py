@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from .spans import strip
 
 _NAME = r"[A-Z][A-Za-z\s,]+?\bAct\b"
+#: Where a name can start: behind the match before, or at the first letter of its run of letters, commas and white
+#: space.  Where that fails no later letter of the run can do better, as a name takes in all that stands before Act.
+_START = r"(?:\G[\s,]*+|(?<![A-Za-z][\s,]{0,3}))"
 #: Patterns of act names, and what marks a false one.
-ACTS = [rf"(?i)(?:The\s+)?({_NAME},?\s+\d{{4}})", rf"(?i)(?:The\s+)?({_NAME})(?:,|:|\.)(?:\s|$)", rf"(?i)({_NAME}\s+No\.?\s+\d+\s+of\s+\d{{4}})", rf"(?i)under\s+(?:the\s+)?({_NAME})(?:\s+of\s+\d{{4}}|,|:|\.)"]
+ACTS = [rf"(?i){_START}(?:The\s+)?({_NAME},?\s+\d{{4}})", rf"(?i){_START}(?:The\s+)?({_NAME})(?:,|:|\.)(?:\s|$)", rf"(?i){_START}({_NAME}\s+No\.?\s+\d+\s+of\s+\d{{4}})", rf"(?i)under\s+(?:the\s+)?({_NAME})(?:\s+of\s+\d{{4}}|,|:|\.)"]
 ACT_WORD = r"(?i)\bAct\b"
 FALSE_ACTS = r"officers.*for.*act|state.*for.*act|for\s+\w+\s+act|providing\s+\w+.*act|necessary\s+act|attract\w*|exact\w*|nutritious.*act"
 NO_ACTS = ["necessary", "nutritious", "attract", "exact", "impact", "contact", "practical", "actual", "officers", "state", "providing"]
