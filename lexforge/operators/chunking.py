@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import structure as st
 from ..functions.packing import pack_paragraphs, pack_points
 from ..functions.segments import paragraphs
-from ..functions.spans import bound, spans, strip
+from ..functions.spans import spans, strip
 from ..sources.staging import written
 from .acts import act_leads, act_nodes, has_nodes
 
@@ -22,8 +22,9 @@ LEAST_TEXT = 50
 
 def points(text: Column, pattern: str) -> Column:
     """Pieces of a text from each match of a pattern to the next."""
-    cut = bound(F.struct(text.alias("text"), spans(text, pattern, 0).alias("hits")), lambda b: F.transform(
-        b["hits"], lambda h, i: strip(F.substr(b["text"], h["start"] + 1, F.coalesce(F.get(b["hits"], i + 1)["start"], F.length(b["text"])) - h["start"]))))
+    # Not bound: with it in their argument the packing functions are not taken out of Spark's plan and can't run.
+    hits = spans(text, pattern, 0)
+    cut = F.transform(hits, lambda h, i: strip(F.substr(text, h["start"] + 1, F.coalesce(F.get(hits, i + 1)["start"], F.length(text)) - h["start"])))
     return F.filter(cut, lambda p: p != "")
 
 
